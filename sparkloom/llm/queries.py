@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkloom.llm import langid, licenses, packing, quality, sharding
+from sparkloom.llm import decontamination, langid, licenses, neighbours, packing, quality, sharding, substrings
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,14 @@ def op2_permutation_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs, "doc_id", [f"shard-{i:03d}" for i in range(128)])
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
+def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_read(spark, sf_dir, "documents"))
 
@@ -31,6 +40,10 @@ def op7_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_stable_projection_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_language(_read(spark, sf_dir, "documents"))
 
