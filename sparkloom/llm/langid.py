@@ -192,23 +192,45 @@ def fit(docs: DataFrame, learn: F.Column, texts: int = 256, symbols: int = 100_0
     return Model(languages, ["\x00".join(by[x])[:most] for x in languages])
 
 
+def _model_of(model: Model) -> Model | None:
+    """The worker's built model; None where there is nothing to tell apart."""
+    key = (tuple(model.languages), tuple(model.samples))
+    if key not in _BUILT and model.languages:
+        _BUILT.clear()
+        _BUILT[key] = Model(model.languages, model.samples).build()
+    return _BUILT.get(key)
+
+
+def _predict(model: Model, batch: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
+    data, off = utf8(batch.column("text"))
+    texts = [data[off[i] : off[i + 1]].tobytes() for i in range(batch.num_rows)]
+    built = _model_of(model)
+    return built.predict(texts) if built and texts else (["und"] * len(texts), np.zeros(len(texts)))
+
+
 def identify_language(docs: DataFrame, learn: F.Column | None = None, **bounds: int) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row; one pass over the texts without a shuffle."""
     learn = F.crc32(F.col("doc_id").cast("string")) % 5 != 0 if learn is None else learn
     model = fit(docs, learn, **bounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (tuple(model.languages), tuple(model.samples))
-        if key not in _BUILT:
-            _BUILT.clear()
-            if model.languages:
-                _BUILT[key] = Model(model.languages, model.samples).build()
         for whole in batches:
             for b in slices(whole, 4 << 20):
-                data, off = utf8(b.column("text"))
-                texts = [data[off[i] : off[i + 1]].tobytes() for i in range(b.num_rows)]
-                names, score = _BUILT[key].predict(texts) if model.languages and texts else (["und"] * len(texts), np.zeros(len(texts)))
+                names, score = _predict(model, b)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("held_out"), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     held = docs.select("doc_id", F.coalesce(~learn, F.lit(True)).alias("held_out"), "text")
     return held.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, learn: F.Column | None = None, **bounds: int) -> DataFrame:
+    """The rows of `docs`, all columns, whose text is in some language; `und` goes. No shuffle."""
+    learn = F.crc32(F.col("doc_id").cast("string")) % 5 != 0 if learn is None else learn
+    model = fit(docs, learn, **bounds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, 4 << 20):
+                yield b.filter(pa.array([x != "und" for x in _predict(model, b)[0]], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontamination, jaccard, langid, licenses, neighbours, packing, quality, sharding, substrings
+from sparkloom.llm import decontamination, jaccard, katz, langid, licenses, neighbours, packing, quality, sharding, substrings
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op9_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_language(_read(spark, sf_dir, "documents"))
 
 
+def op10_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 

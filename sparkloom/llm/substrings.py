@@ -172,17 +172,20 @@ def _run_table(doc: np.ndarray, pos: np.ndarray, n: np.ndarray, key: np.ndarray,
     return pa.Table.from_arrays([pa.array(x.astype(np.int64)) for x in (doc, pos, n, key)] + [pa.array(kind.astype(np.int32))], schema=_RUNS)
 
 
-def squeezed(docs: DataFrame) -> DataFrame:
-    """doc_id and the compressed text, for a shuffle of whole texts."""
+def squeezed(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, z (the compressed text) and the columns `carry` as c0, c1, ..., for a shuffle of whole texts."""
+    carry = carry or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
         for b in batches:
             data, off = utf8(b.column("text"))
             blobs = [z.compress(data[off[i] : off[i + 1]].tobytes()) for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "z"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(blobs, pa.binary()), *b.columns[2:]], names=["doc_id", "z", *b.schema.names[2:]])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, z binary")
+    kinds = dict(docs.dtypes)
+    ddl = "".join(f", c{i} {kinds[c]}" for i, c in enumerate(carry))
+    return docs.select("doc_id", "text", *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]).mapInArrow(run, "doc_id long, z binary" + ddl)
 
 
 _PIECES = pa.schema([("array", pa.int64()), ("key", pa.int64()), ("doc_id", pa.int64()), ("p", pa.int64()), ("n", pa.int64()), ("s", pa.binary())])
@@ -266,33 +269,57 @@ def removed_bytes(size: int, p: np.ndarray, n: np.ndarray, length: int) -> np.nd
     return np.cumsum(step)[:-1] > 0
 
 
-def _apply(length: int, with_text: bool):
+def _cleaned(b: pa.RecordBatch, length: int) -> Iterator[tuple[bytes, np.ndarray]]:
+    """Each row's text and which of its bytes go."""
+    z = zstandard.ZstdDecompressor()
+    for blob, spans in zip(b.column("z"), b.column("spans"), strict=True):
+        raw = z.decompress(blob.as_py())
+        if spans.is_valid:
+            v = spans.values
+            yield raw, removed_bytes(len(raw), v.field("p").to_numpy(zero_copy_only=False), v.field("n").to_numpy(zero_copy_only=False), length)
+        else:
+            yield raw, np.zeros(len(raw), bool)
+
+
+def _kept(raw: bytes, mask: np.ndarray) -> bytes:
+    return np.frombuffer(raw, np.uint8)[~mask].tobytes() if mask.any() else raw
+
+
+_DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdDecompressor()
         for b in batches:
-            rows = []
-            for doc, blob, spans in zip(b.column("doc_id").to_pylist(), b.column("z"), b.column("spans"), strict=True):
-                raw = z.decompress(blob.as_py())
-                gone, pieces = 0, 0
-                if spans.is_valid:
-                    v = spans.values
-                    mask = removed_bytes(len(raw), v.field("p").to_numpy(zero_copy_only=False), v.field("n").to_numpy(zero_copy_only=False), length)
-                    gone, pieces = int(mask.sum()), int((mask[1:] & ~mask[:-1]).sum() + mask[:1].sum())
-                    kept = np.frombuffer(raw, np.uint8)[~mask].tobytes()
-                else:
-                    kept = raw
-                rows.append((doc, len(raw), gone, pieces, hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "ignore")] if with_text else [])))
-            schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), *([("kept", pa.string())] if with_text else [])])
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
+            rows = [(len(raw), int(m.sum()), int((m[1:] & ~m[:-1]).sum() + m[:1].sum()), hashlib.sha256(_kept(raw, m)).hexdigest()) for raw, m in _cleaned(b, length)]
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(columns, list(_DIGEST)[1:], strict=True))], schema=_DIGEST)
 
-    return run
+    joined = squeezed(docs).join(repeated_spans(docs, length, hot), "doc_id", "left").select("doc_id", "z", "spans")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with `with_text` also kept, the text that is left.
+def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """The rows of `docs`, all columns, with the text that is left; n_chars, where there is one, is its new length.
 
-    Cuts may part a character; what is left of it is no UTF-8 and is not in `kept`, while the
-    digest is over all bytes left."""
-    spans = repeated_spans(docs, length, hot)
-    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
-    return squeezed(docs).join(spans, "doc_id", "left").select("doc_id", "z", "spans").mapInArrow(_apply(length, with_text), ddl)
+    Cuts may part a character; its rest is no UTF-8 and is left out. A text without repeats,
+    null included, stays as it is."""
+    carry = [c for c in docs.columns if c not in ("doc_id", "text")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [_kept(raw, m).decode("utf-8", "ignore") for raw, m in _cleaned(b, length)]
+            texts = [None if null else t for t, null in zip(texts, b.column("gone").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), *b.columns[4:]], names=["doc_id", "text", *b.schema.names[4:]])
+
+    kinds = dict(docs.dtypes)
+    marked = docs.withColumn("__null", F.col("text").isNull())
+    joined = squeezed(marked, ["__null", *carry]).join(repeated_spans(docs, length, hot), "doc_id", "left")
+    joined = joined.select("doc_id", "z", "spans", F.col("c0").alias("gone"), *[F.col(f"c{i + 1}") for i in range(len(carry))])
+    out = joined.mapInArrow(run, "doc_id long, text string" + "".join(f", c{i + 1} {kinds[c]}" for i, c in enumerate(carry)))
+    back = {c: F.col(f"c{i + 1}").alias(c) for i, c in enumerate(carry)} | {"doc_id": F.col("doc_id").cast(kinds["doc_id"]), "text": F.col("text")}
+    if "n_chars" in carry:
+        back["n_chars"] = F.coalesce(F.length("text").cast(kinds["n_chars"]), F.col(f"c{carry.index('n_chars') + 1}")).alias("n_chars")
+    return out.select(*[back[c].alias(c) for c in docs.columns])
