@@ -35,7 +35,14 @@ class Written:
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
         self.path = f"{scratch_root(self.spark)}/sparkloom-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        # shuffle files are of no use once the table stands
+        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        kept = self.spark.conf.get(key, "false")
+        self.spark.conf.set(key, "true")
+        try:
+            df.write.parquet(self.path)
+        finally:
+            self.spark.conf.set(key, kept)
         jvm = self.spark._jvm
         self._where = jvm.org.apache.hadoop.fs.Path(self.path)
         self._fs = self._where.getFileSystem(self.spark._jsc.hadoopConfiguration())
