@@ -39,8 +39,12 @@ GRAM = 48
 #: Text bytes whose runs make one shard, and bytes of runs that make one suffix array.
 SHARD_BYTES = 24 << 20
 ARRAY_BYTES = 1 << 20
-STRETCH = 2 << 20
+#: Text bytes whose windows are hashed at once, and those whose runs are combined before they are sent.
+STRETCH = 1 << 20
+COMBINED = 8 << 20
 HOT = 20_000
+#: Runs of texts that leave a task as one batch.
+PIECE_ROWS = 16_384
 
 
 def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
@@ -120,26 +124,38 @@ _RUNS_DDL = "doc_id long, p long, n long, key long, kind int"
 DONE, ASK, HOT_ASK = 0, 1, 2
 
 
+def _messages(found: list[tuple[np.ndarray, ...]], shards: int) -> pa.RecordBatch:
+    """Runs of some stretches, combined, as one message to each shard."""
+    key, content, doc, pos, n, twice = (np.concatenate(x) for x in zip(*found, strict=True))
+    first, later = _firsts(content ^ mix64(key), doc, pos)
+    names, blobs = [], []
+    if len(later):  # repeats within these stretches are marked; they go with the messages of some shard
+        names.append(-1 - int(doc[later[0]] % shards))
+        blobs.append(pack(doc[later], pos[later].astype(np.uint32), n[later].astype(np.uint32)))
+    key, content, doc, pos, n, twice = (x[first] for x in (key, content, doc, pos, n, twice))
+    shard = ((key >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+    order = np.lexsort((pos, doc, shard))
+    cut = runs(shard[order])
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        k = order[a:b]
+        names.append(int(shard[k[0]]))
+        step = np.diff(doc[k], prepend=0)
+        blobs.append(pack(key[k].astype(np.uint32), content[k], step, pos[k].astype(np.uint32), n[k].astype(np.uint32), twice[k]))
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], schema=_MESSAGE)
+
+
 def _scatter(shards: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
         for batch in batches:
             for part in stretches(batch, length):
-                key, content, doc, pos, n, twice = window_runs(*part, length)
-                first, later = _firsts(content ^ mix64(key), doc, pos)
-                names, blobs = [], []
-                if len(later):  # repeats within the stretch are marked; they go with the messages of some shard
-                    names.append(-1 - int(doc[later[0]] % shards))
-                    blobs.append(pack(doc[later], pos[later].astype(np.uint32), n[later].astype(np.uint32)))
-                key, content, doc, pos, n, twice = (x[first] for x in (key, content, doc, pos, n, twice))
-                shard = ((key >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
-                order = np.lexsort((pos, doc, shard))
-                cut = runs(shard[order])
-                for a, b in zip(cut[:-1], cut[1:], strict=True):
-                    k = order[a:b]
-                    names.append(int(shard[k[0]]))
-                    step = np.diff(doc[k], prepend=0)
-                    blobs.append(pack(key[k].astype(np.uint32), content[k], step, pos[k].astype(np.uint32), n[k].astype(np.uint32), twice[k]))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], schema=_MESSAGE)
+                found.append(window_runs(*part, length))
+                size += len(part[1])
+                if size >= COMBINED:
+                    yield _messages(found, shards)
+                    found, size = [], 0
+        if found:
+            yield _messages(found, shards)
 
     return run
 
@@ -207,8 +223,8 @@ def _cut(arrays: int, length: int):
                     at = np.concatenate([np.arange(i, i + m) for i, m, h in zip(p, n, kind, strict=True) if h == HOT_ASK])
                     own = span_hash(prefix, at, at + length).view(np.int64)
                     rows += [(k % arrays, k, doc, i, 1, raw[i : i + length]) for i, k in zip(at.tolist(), own.tolist(), strict=True)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECES, strict=True)], schema=_PIECES)
+                for at in range(0, len(rows), PIECE_ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + PIECE_ROWS], strict=True), _PIECES, strict=True)], schema=_PIECES)
 
     return run
 
