@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +88,18 @@ def utf8(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
+_KEPT: dict = {}
+
+
+def kept(key: object, make: Callable[[], object]):
+    """What `make` gives, held by the Python worker for its next tasks. A worker holds one such
+    thing: another key frees the last, so stages in a row do not add up."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def slices(batch: pa.RecordBatch, most: int = 16 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about `most` text bytes each; one long text is a run of its own."""
     _, off = utf8(batch.column(column))

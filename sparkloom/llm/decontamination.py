@@ -137,7 +137,7 @@ def _window_rows(ids: np.ndarray, data: np.ndarray, off: np.ndarray, sizes: list
 def _rows(df: DataFrame, key: str, sizes: list[int] | None, n: int, wanted: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, 4 << 20):
+            for b in slices(whole, 1 << 20):
                 yield _window_rows(b.column("id").to_numpy(zero_copy_only=False).astype(np.int64), *utf8(b.column("text")), sizes, n, wanted)
 
     return df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), "text").mapInArrow(run, _HIT)

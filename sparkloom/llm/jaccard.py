@@ -101,7 +101,7 @@ def _sign(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):  # hashes wrap around
             for whole in batches:
-                for b in slices(whole, 4 << 20):
+                for b in slices(whole, 1 << 20):
                     rows = [[] for _ in _SIGNED]
                     for doc, x in zip(b.column("doc_id").to_pylist(), shingle_sets(*utf8(b.column("text"))), strict=True):
                         if not len(x):

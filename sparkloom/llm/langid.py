@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import slices, utf8
+from sparkloom.llm.common import kept, slices, utf8
 
 SYMBOLS = 64  # 0: no letter; 1: a letter that the samples have rarely or never
 STRETCH = 512
@@ -174,9 +174,6 @@ class Model:
         return [self.languages[b] if x else "und" for b, x in zip(best, some, strict=True)], np.where(some, score, 0.0)
 
 
-_BUILT: dict[tuple, Model] = {}
-
-
 def fit(docs: DataFrame, learn: F.Column, texts: int = 256, symbols: int = 100_000, each: int = 24_000, per_text: int = 2_000) -> Model:
     """The samples of every language among rows where `learn` holds: of up to `texts` texts in
     hash order of their ids, `per_text` code points each, `each` a language, `symbols` in all.
@@ -194,11 +191,9 @@ def fit(docs: DataFrame, learn: F.Column, texts: int = 256, symbols: int = 100_0
 
 def _model_of(model: Model) -> Model | None:
     """The worker's built model; None where there is nothing to tell apart."""
-    key = (tuple(model.languages), tuple(model.samples))
-    if key not in _BUILT and model.languages:
-        _BUILT.clear()
-        _BUILT[key] = Model(model.languages, model.samples).build()
-    return _BUILT.get(key)
+    if not model.languages:
+        return None
+    return kept((Model, *model.languages, *model.samples), lambda: Model(model.languages, model.samples).build())
 
 
 def _predict(model: Model, batch: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
@@ -215,7 +210,7 @@ def identify_language(docs: DataFrame, learn: F.Column | None = None, **bounds:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, 4 << 20):
+            for b in slices(whole, 2 << 20):
                 names, score = _predict(model, b)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("held_out"), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
@@ -230,7 +225,7 @@ def keep_identified(docs: DataFrame, learn: F.Column | None = None, **bounds: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, 4 << 20):
+            for b in slices(whole, 2 << 20):
                 yield b.filter(pa.array([x != "und" for x in _predict(model, b)[0]], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from sparkloom.llm.common import LOWER, WHITE, prefix_hash, slices, span_hash, utf8
+from sparkloom.llm.common import LOWER, WHITE, kept, prefix_hash, slices, span_hash, utf8
 
 
 @dataclass(frozen=True)
@@ -162,7 +162,7 @@ class WordPieces:
     letters and a mark is at once in pieces and goes to the merge table directly. Equality
     with the tokenizer run over whole texts is tested."""
 
-    MOST_CHUNKS, MOST_BYTES = 1_000_000, 64 << 20
+    MOST_CHUNKS, MOST_BYTES = 250_000, 16 << 20
     #: Letters up to U+024F (all of them stable under NFC), but for one whose lower case is no letter, then marks.
     _PLAIN = re.compile(r"((?:(?![\u0130\u00d7\u00f7\u00aa\u00ba])[a-z\u00c0-\u024f])+)([.,;:!?)]*)")
     _A_TO_Z = np.array([97 <= b <= 122 for b in range(256)])
@@ -251,14 +251,9 @@ class WordPieces:
         return out, edges
 
 
-_WORKER: dict[str, WordPieces] = {}
-
-
 def word_pieces(path: str) -> WordPieces:
     """The worker's own; it is kept between tasks."""
-    if path not in _WORKER:
-        _WORKER[path] = WordPieces(path)
-    return _WORKER[path]
+    return kept((WordPieces, path), lambda: WordPieces(path))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int = 1, loss_of: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
@@ -288,7 +283,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), e
             return out
 
         for whole in batches:
-            for batch in slices(whole, 2 << 20):
+            for batch in slices(whole, 1 << 20):
                 data, off = utf8(batch.column("text"))
                 flat, edge = words.ids(data, off, end_id)
                 for i, doc in enumerate(batch.column("doc_id").to_pylist()):
