@@ -11,6 +11,8 @@ RULE_BUDGET = 4500
 TEST_BUDGET = 250
 INPUT_BUDGET = 20_000
 MOST_BLOCKS, MOST_CHARS = 4, 4000
+#: Parts that a group is cut into before its own running sum.
+SALTS = 64
 
 
 def _running(group: list[str], order: list[str]):
@@ -20,9 +22,14 @@ def _running(group: list[str], order: list[str]):
 def prefix_within_budget(df: DataFrame, group: list[str], order: list[str], cost: Column, budget: int, keep_first: bool = False) -> DataFrame:
     """Rows of each group until the first one that overflows; `keep_first` keeps the first whatever it costs.
 
-    Costs are not negative, so the running sum passes the budget once and for all."""
-    w = _running(group, order)
-    out = df.withColumn("running", F.sum(cost).over(w))
+    Costs are not negative, so the running sum passes the budget once and for all. A row that
+    stands behind an overflow among any part of its group's rows is out; so a group is first cut
+    by hash into `SALTS` parts that each keep their rows up to the first overflow, and only
+    those meet in the group's own window. A hot group is no single task, and results are exact."""
+    salted = df.withColumn("__cost", cost).withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
+    before = F.sum("__cost").over(_running([*group, "__part"], order)) - F.coalesce("__cost", F.lit(0))
+    some = salted.withColumn("__before", before).where(F.coalesce("__before", F.lit(0)) <= budget).drop("__before", "__part")
+    out = some.withColumn("running", F.sum("__cost").over(_running(group, order))).drop("__cost")
     fits = F.col("running") <= budget
     if keep_first:
         fits |= F.row_number().over(Window.partitionBy(*group).orderBy(*order)) == 1

@@ -73,6 +73,10 @@ def test_budgets(spark):
 
     assert rows(budgets.prefix_within_budget(df, ["t"], ["i"], F.col("c"), 14), "t", "i") == loop(14, False)
     assert rows(budgets.prefix_within_budget(df, ["t"], ["i"], F.col("c"), 14, keep_first=True), "t", "i") == loop(14, True)
+    data = [(0, i, rng.choice([0, 1, 2, 30])) for i in range(2000)]  # one hot group
+    df = spark.createDataFrame(data, "t int, i int, c int")
+    for budget in (0, 14, 500, 10_000):
+        assert rows(budgets.prefix_within_budget(df, ["t"], ["i"], F.col("c"), budget), "t", "i") == loop(budget, False)
     blocks = spark.createDataFrame([(1, 0, 0, "a" * 9), (1, 0, 1, "b" * 5), (1, 0, 2, "c"), (1, 1, 0, "d"), (1, 1, 1, "e")], "target_id int, file_ordinal int, ordinal int, text string")
     assert budgets.capped_blocks(blocks, 3, 11).first()["kept"] == ["a" * 9, "d", "e"]
     items = spark.createDataFrame([(1, "fixed", 0, 10), (1, "request_rule", 0, 4), (1, "request_rule", 1, 4), (1, "dependency", 0, 3), (1, "dependency", 1, 7), (2, "fixed", 0, 99)], "target_id int, kind string, ordinal int, tokens int")
