@@ -31,8 +31,9 @@ from sparkloom.llm.common import LOWER, NO_WORD, bounded_rows, mix64, prefix_has
 WINDOW = 8
 #: Items have to have this many words.
 SHORTEST = 4
-#: Benchmark windows that may travel to every executor: 8 bytes and a table of 64 bits each.
-MOST_BROADCAST = 2_000_000
+#: Benchmark windows, repeats included, that may travel to every executor: a row of some 150
+#: bytes for the join, 8 bytes and a table of 64 bits for the filter.
+MOST_BROADCAST = 500_000
 
 #: Words that are units behind a number.
 UNITS = (
@@ -149,9 +150,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, l
     The benchmark's window hashes filter the documents' windows where they are made, if
     there are at most `most_broadcast` of them; beyond that both sides are shuffled."""
     items = _rows(benchmark, "item_id", None, n, None)
-    known = bounded_rows(items.select("h", "n").distinct(), most_broadcast)
+    known = bounded_rows(items.select("h", "n"), most_broadcast)
     if known is not None:
-        keys = np.sort(np.array([r["h"] for r in known], np.int64).view(np.uint64)) if known else np.zeros(1, np.uint64)
+        keys = np.unique(np.array([r["h"] for r in known], np.int64).view(np.uint64)) if known else np.zeros(1, np.uint64)
         seen = np.zeros(1 << max(10, (64 * len(keys)).bit_length()), bool)
         seen[(keys & np.uint64(len(seen) - 1)).astype(np.int64)] = True
         hits = _rows(docs, "doc_id", sorted({r["n"] for r in known}), n, (keys, seen))
