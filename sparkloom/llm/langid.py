@@ -176,9 +176,11 @@ class Model:
 
 def fit(docs: DataFrame, learn: F.Column, texts: int = 256, symbols: int = 100_000, each: int = 24_000, per_text: int = 2_000) -> Model:
     """The samples of every language among rows where `learn` holds: of up to `texts` texts in
-    hash order of their ids, `per_text` code points each, `each` a language, `symbols` in all.
+    hash order of their ids, `per_text` code points each from a place that the text's hash
+    names, `each` a language, `symbols` in all.
     A task keeps `texts` rows of a language before anything is shuffled."""
-    rows = docs.where(learn).where("lang is not null and text is not null").select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, per_text).alias("t"))
+    start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - per_text, F.lit(0)) + 1) + 1
+    rows = docs.where(learn).where("lang is not null and text is not null").select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", start.cast("int"), F.lit(per_text)).alias("t"))
     w = Window.partitionBy("lang").orderBy("h", "t")
     got = rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= texts).select("lang", "k", "t").collect()
     by: dict[str, dict[str, None]] = {}
