@@ -11,12 +11,14 @@ into cells; every vector is indexed in its cell, where a kd-tree of its own is b
 first searches its home cell; the k-th distance found there and the stopping test say which
 other cells can still matter, and only those get the query. Vectors that are equal in every
 component are indexed by their k + 1 smallest ids, since ties go to smaller ids and no query
-returns more of them.
+returns more of them. Equal queries are searched once, for k + 1 neighbours, of which each
+then leaves itself out; so copies, however many, are neither a full cell nor a queue before
+one. A cell that still holds or is asked more than a block goes through in blocks.
 
 Defined results: vectors that are null, of another length than the most frequent one, zero,
 or that hold null or non-finite components take no part, neither as query nor as candidate;
-null ids neither. A repeated row counts once. Fewer candidates than k are all returned.
-Extra columns are not read.
+null ids neither. Rows that share an id count as one, with the smallest of their vectors.
+Fewer candidates than k are all returned. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ from sparkloom.llm.common import written
 PROJECTED = 8
 RECALL = 0.98
 CELL_ROWS = 8192
+#: Vectors of a cell, and queries put to it, that meet in one task.
+BLOCK_ROWS, BLOCK_ASKED = 32_768, 32_768
 SAMPLE = 4096
 LEAF = 32
 
@@ -144,14 +148,13 @@ class Tree:
                 heapq.heappush(heap, (float(gap @ gap), child))
 
 
-def search(tree: Tree, vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, query_id: int, projected: np.ndarray, k: int, stop: float, bound: float) -> list[tuple[float, int]]:
+def search(tree: Tree, vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, projected: np.ndarray, k: int, stop: float, bound: float) -> list[tuple[float, int]]:
     """The k best found: (distance, id). `bound`: a k-th distance known from elsewhere; `stop`: the chi-square quantile."""
     best: list[tuple[float, int]] = []
     worst = bound
     for near, rows in tree.leaves(projected):
         if near > worst * worst * stop:
             break
-        rows = rows[ids[rows] != query_id]
         d = np.sqrt(((vectors[rows] - query) ** 2).sum(1))
         close = d <= worst
         if close.any():
@@ -180,9 +183,10 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, recall
         return spark.createDataFrame([], empty)
     dim, rows = sizes["d"], sizes["count"]
     fine = fine.where(F.size("v") == dim).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
+    fine = written(fine.groupBy("vec_id").agg(F.min("v").alias("v"), F.max("q").alias("q")))
     # lossless: of equal vectors no query returns more than k, and those with the smallest ids
     w = Window.partitionBy("v").orderBy("vec_id")
-    indexed = fine.select("vec_id", "v").distinct().withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).drop("r")
+    indexed = fine.select("vec_id", "v").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).drop("r")
     # a bounded sample, of different vectors, in hash order
     sample = fine.select("v").distinct().orderBy(F.xxhash64("v")).limit(SAMPLE).collect()
     cells = Cells.fit(np.array([r["v"] for r in sample]), max(1, -(-rows // CELL_ROWS)), m)
@@ -194,8 +198,10 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, recall
             yield pa.RecordBatch.from_arrays([pa.array(home), *(b.column(c) for c in ("vec_id", "v"))], names=["cell", "vec_id", "v"])
 
     index = written(indexed.select("vec_id", "v").mapInArrow(place, "cell int, vec_id long, v array<double>"))
-    queries = fine.where("q").select("vec_id", "v").distinct()
-    first = queries.mapInArrow(place, "cell int, vec_id long, v array<double>").withColumn("bound", F.lit(float("inf")))
+    held = index.groupBy("cell").agg(F.count(F.lit(1)).alias("held"))
+    # one of the equal queries asks for all of them
+    asking = fine.where("q").groupBy("v").agg(F.min("vec_id").alias("vec_id"))
+    first = written(asking.select("vec_id", "v").mapInArrow(place, "cell int, vec_id long, v array<double>"))
 
     def look(key: tuple, own: pa.Table, asked: pa.Table) -> pa.Table:
         if not own.num_rows or not asked.num_rows:
@@ -204,15 +210,27 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, recall
         tree = Tree(v @ cells.matrix)
         qv, qid, bound = _matrix(asked.column("v"), dim), asked.column("vec_id").to_numpy(), asked.column("bound").to_numpy()
         qp = qv @ cells.matrix
-        rows = [(int(qid[i]), j, d) for i in range(len(qid)) for d, j in search(tree, v, ids, qv[i], int(qid[i]), qp[i], k, stop, float(bound[i]))]
+        rows = [(int(qid[i]), j, d) for i in range(len(qid)) for d, j in search(tree, v, ids, qv[i], qp[i], k + 1, stop, float(bound[i]))]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 3, _FOUND_SCHEMA, strict=True)], schema=_FOUND_SCHEMA)
 
     def ask(requests: DataFrame) -> DataFrame:
-        return index.groupBy("cell").cogroup(requests.groupBy("cell")).applyInArrow(look, "query_id long, vec_id long, score double")
-
-    found = written(ask(first))
-    bounds = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("score")).otherwise(F.lit(float("inf"))).alias("bound"))
-    again = first.drop("bound").join(bounds.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+        asked = requests.groupBy("cell").agg(F.count(F.lit(1)).alias("asked"))
+        blocks = held.join(asked, "cell").select("cell", F.ceil(F.col("held") / BLOCK_ROWS).alias("parts"), F.ceil(F.col("asked") / BLOCK_ASKED).alias("turns"))
+        blocks = F.broadcast(blocks)  # a row a cell, SAMPLE at most
+        part, turn = (F.pmod(F.xxhash64("vec_id"), F.col(n)) for n in ("parts", "turns"))
+        every = {n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)) for n in ("parts", "turns")}
+        key = ["cell", "part", "turn"]
+        own = index.join(blocks, "cell").withColumn("part", part).withColumn("turn", every["turns"]).select(*key, "vec_id", "v")
+        put = requests.join(blocks, "cell").withColumn("turn", turn).withColumn("part", every["parts"]).select(*key, "vec_id", "v", "bound")
+        return own.groupBy(*key).cogroup(put.groupBy(*key)).applyInArrow(look, "query_id long, vec_id long, score double")
+
+    def best(found: DataFrame) -> DataFrame:
+        w = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).drop("r")
+
+    found = written(best(ask(first.withColumn("bound", F.lit(float("inf"))))))
+    bounds = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count(F.lit(1)) > k, F.max("score")).otherwise(F.lit(float("inf"))).alias("bound"))
+    again = first.join(bounds, "vec_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -227,7 +245,10 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, recall
             t = b.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), t.column("vec_id"), t.column("v"), t.column("bound")], names=["cell", "vec_id", "v", "bound"])
 
-    more = ask(again.select("cell", "vec_id", "v", "bound").mapInArrow(spread, "cell int, vec_id long, v array<double>, bound double"))
-    w = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    ranked = found.unionAll(more).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    more = written(again.select("cell", "vec_id", "v", "bound").mapInArrow(spread, "cell int, vec_id long, v array<double>, bound double"))
+    near = best(found.unionAll(ask(more))).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("score", F.col("vec_id").alias("id")))).alias("near"))  # k + 1 at most
+    lists = first.select("vec_id", "v").join(near, F.col("vec_id") == F.col("query_id")).select("v", "near")
+    every = fine.where("q").select(F.col("vec_id").alias("query_id"), "v").join(lists, "v")
+    others = every.select("query_id", F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k).alias("near"))
+    ranked = others.select("query_id", F.posexplode("near").alias("at", "x"))
+    return ranked.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"))

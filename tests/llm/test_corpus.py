@@ -241,9 +241,15 @@ def test_sharding(spark):
         sharding.lookup_table(names, 100)
 
 
-def test_neighbours(spark):
+@pytest.mark.parametrize("block", [None, 64])
+def test_neighbours(spark, monkeypatch, block):
     from sparkloom.llm import neighbours
 
+    if block:
+        monkeypatch.setattr(neighbours, "CELL_ROWS", 300)
+        monkeypatch.setattr(neighbours, "BLOCK_ROWS", block)
+        monkeypatch.setattr(neighbours, "BLOCK_ASKED", 7)
+
     rng = np.random.default_rng(4)
     v = rng.standard_normal((1200, 16)).round(3)
     v[100:140] = v[100]
@@ -258,6 +264,8 @@ def test_neighbours(spark):
         best = [(d[i], i) for i in np.lexsort((np.arange(1200), d)) if i != q][:10]
         assert len(got[q]) == 10 and got[q] == sorted(got[q]) and all(s == pytest.approx(d[i]) for s, i in got[q])
         hit, total = hit + len({i for _, i in best} & {i for _, i in got[q]}), total + 10
-    assert hit >= 0.9 * total and [i for _, i in got[100]] == list(range(101, 111)) and set(got) == set(range(0, 1200, 20))
+    assert hit >= 0.9 * total and [i for _, i in got[100]] == list(range(101, 111)) and [i for _, i in got[120]] == list(range(100, 110)) and set(got) == set(range(0, 1200, 20))
+    twice = neighbours.nearest_neighbours(df.unionByName(df.where("vec_id < 50").withColumn("embedding", F.lit([9.0] * 16).cast("array<double>"))), F.col("vec_id") % 20 == 0)
+    assert twice.count() == 600 == twice.select("query_id", "vec_id").distinct().count()
     few = neighbours.nearest_neighbours(df.where("vec_id < 3"), F.col("vec_id") == 0).collect()
     assert [r["rank"] for r in few] == [1, 2] and neighbours.nearest_neighbours(df.where("vec_id = 2001"), F.lit(True)).count() == 0
