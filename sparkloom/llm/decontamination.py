@@ -150,7 +150,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, l
     The benchmark's window hashes filter the documents' windows where they are made, if
     there are at most `most_broadcast` of them; beyond that both sides are shuffled."""
     items = _rows(benchmark, "item_id", None, n, None)
-    known = bounded_rows(items.select("h", "n"), most_broadcast)
+    few = items.count() <= most_broadcast
+    known = bounded_rows(items.select("h", "n").distinct(), most_broadcast) if few else None
     if known is not None:
         keys = np.unique(np.array([r["h"] for r in known], np.int64).view(np.uint64)) if known else np.zeros(1, np.uint64)
         seen = np.zeros(1 << max(10, (64 * len(keys)).bit_length()), bool)
