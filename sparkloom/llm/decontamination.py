@@ -5,12 +5,14 @@ and units behind a number become typed placeholders, other words are lower-cased
 `n` template words of the benchmark are hash-joined with those of the documents. Hits of one
 document with one item on one alignment are then read together: the values in the item's
 slots must map to the document's one to one, as they do in a copy and in a question that was
-given new parameters, but not in text that merely has the same frame.
+given new parameters, but not in text that merely has the same frame. The plain words of
+windows, without case, are hash-joined as well.
 
-A document is contaminated by an item if a window stands there word for word, or if the
-mapping is consistent and the hits cover `least` of the item's windows. Items shorter than a
-window are one window. Windows with less than half of literal words say too little and are
-left out.
+A document is contaminated by an item if a window's words stand there one for one, or if the
+mapping is consistent and the hits cover `least` of the item's template windows. Items
+shorter than a window are one window. Template windows with less than half of literal words
+say too little and are left out, as are the templates of items under SHORTEST words; their
+words count all the same. A row's coverage is the larger of the words' and the templates'.
 
 Defined results: null and empty texts have no windows. Repeated rows (one doc_id) are one
 document. Rows with a null id take no part, as the result could not name them. Only doc_id,
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import LOWER, NO_WORD, bounded_rows, mix64, prefix_hash, slices, span_hash, utf8, word_spans
 
 WINDOW = 8
-#: Items have to have this many words.
+#: Items have to have this many words for a template; shorter ones are found by their words.
 SHORTEST = 4
 #: Benchmark windows, repeats included, that may travel to every executor: a row of some 150
 #: bytes for the join, 8 bytes and a table of 64 bits for the filter.
@@ -54,9 +56,35 @@ def _hashes(words: list[str]) -> np.ndarray:
 _UNIT_HASH = np.sort(_hashes(UNITS))
 
 
+def _lower_table() -> np.ndarray:
+    """Lower case of the code points under 0x10000 whose lower case has as many UTF-8 bytes."""
+    out = np.arange(0x10000)
+    for i in range(0x80, 0x10000):
+        x = chr(i).lower()
+        if len(x) == 1 and ord(x) != i and ord(x) >= 0x80 and (ord(x) < 0x800) == (i < 0x800) and ord(x) < 0x10000:
+            out[i] = ord(x)
+    return out
+
+
+_LOWER_POINT = _lower_table()
+
+
+def fold(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes in lower case, letters in place."""
+    low = LOWER[data]
+    more = (data & 0xC0) == 0x80
+    two = np.flatnonzero((data[:-1] >= 0xC2) & (data[:-1] < 0xE0) & more[1:])
+    point = _LOWER_POINT[((data[two] & 31).astype(np.int64) << 6) | (data[two + 1] & 63)]
+    low[two], low[two + 1] = 0xC0 | (point >> 6), 0x80 | (point & 63)
+    three = np.flatnonzero((data[:-2] >= 0xE0) & (data[:-2] < 0xF0) & more[1:-1] & more[2:])
+    point = _LOWER_POINT[((data[three] & 15).astype(np.int64) << 12) | ((data[three + 1] & 63).astype(np.int64) << 6) | (data[three + 2] & 63)]
+    low[three], low[three + 1], low[three + 2] = 0xE0 | (point >> 12), 0x80 | ((point >> 6) & 63), 0x80 | (point & 63)
+    return low
+
+
 def template(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of texts laid end to end: template codes, the words' own hashes, which words are slots, which are names, and words per text."""
-    low = LOWER[data]
+    low = fold(data)
     between = NO_WORD[data]
     # a full stop or comma between two digits is part of a number
     point = np.zeros(len(data), bool)
@@ -99,18 +127,20 @@ def windows(code: np.ndarray, lead: np.ndarray, slot: np.ndarray, per: np.ndarra
     return at, mix64(h[at])
 
 
-_HIT = "h long, id long, at int, n int, words int, v array<long>"
+_HIT = "h long, lit boolean, id long, at int, n int, v array<long>"
+_Wanted = tuple[np.ndarray, np.ndarray] | None
 
 
-def _window_rows(ids: np.ndarray, data: np.ndarray, off: np.ndarray, sizes: list[int] | None, n: int, wanted: tuple[np.ndarray, np.ndarray] | None) -> pa.RecordBatch:
-    """Rows of windows: for documents every length in `sizes`; for items (sizes None) the one that its length calls for."""
+def _window_rows(ids: np.ndarray, data: np.ndarray, off: np.ndarray, sizes: list[tuple[bool, int]] | None, n: int, wanted: _Wanted) -> pa.RecordBatch:
+    """Rows of windows of words (lit) and of templates: for documents every kind and length in `sizes`; for items (sizes None) those that their lengths call for."""
     code, own, slot, name, per = template(data, off)
     lead = np.where(name, own, code)
+    plain = np.zeros(len(slot), bool)
     first = np.concatenate([[0], np.cumsum(per)])
     text = np.repeat(np.arange(len(per)), per)
     parts = []
-    for size in range(SHORTEST, n + 1) if sizes is None else sizes:
-        at, h = windows(code, lead, slot, per, size)
+    for lit, size in [(True, k) for k in range(1, n + 1)] + [(False, k) for k in range(SHORTEST, n + 1)] if sizes is None else sizes:
+        at, h = windows(own, own, plain, per, size) if lit else windows(code, lead, slot, per, size)
         if sizes is None:
             fit = (per[text[at]] == size) | ((size == n) & (per[text[at]] > n))
             at, h = at[fit], h[fit]
@@ -120,22 +150,28 @@ def _window_rows(ids: np.ndarray, data: np.ndarray, off: np.ndarray, sizes: list
             at, h = at[maybe], h[maybe]
             k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             at, h = at[keys[k] == h], h[keys[k] == h]
-        parts.append((h, at, np.full(len(at), size)))
-    h, at, size = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        if lit and size < SHORTEST:
+            # one or two words may stand in a text very often; once says all
+            order = np.lexsort((at, h, text[at]))
+            once = np.ones(len(order), bool)
+            once[1:] = (h[order][1:] != h[order][:-1]) | (text[at[order]][1:] != text[at[order]][:-1])
+            at, h = at[order][once], h[order][once]
+        parts.append((h, at, np.full(len(at), size), np.full(len(at), lit)))
+    h, at, size, lit = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
     before = np.concatenate([[0], np.cumsum(slot)])
     values = own[slot].view(np.int64)
     begin = before[at] + name[at]
-    count = before[at + size] - begin
+    count = np.where(lit, 0, before[at + size] - begin)
     ends = np.concatenate([[0], np.cumsum(count)])
     pick = np.repeat(begin - ends[:-1], count) + np.arange(ends[-1])
     columns = [
-        pa.array(h.view(np.int64)), pa.array(ids[text[at]]), pa.array((at - first[text[at]]).astype(np.int32)), pa.array(size.astype(np.int32)),
-        pa.array(per[text[at]].astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values[pick])),
+        pa.array(h.view(np.int64)), pa.array(lit), pa.array(ids[text[at]]), pa.array((at - first[text[at]]).astype(np.int32)), pa.array(size.astype(np.int32)),
+        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values[pick])),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["h", "id", "at", "n", "words", "v"])
+    return pa.RecordBatch.from_arrays(columns, names=["h", "lit", "id", "at", "n", "v"])
 
 
-def _rows(df: DataFrame, key: str, sizes: list[int] | None, n: int, wanted: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
+def _rows(df: DataFrame, key: str, sizes: list[tuple[bool, int]] | None, n: int, wanted: _Wanted) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, 1 << 20):
@@ -151,24 +187,29 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, l
     there are at most `most_broadcast` of them; beyond that both sides are shuffled."""
     items = _rows(benchmark, "item_id", None, n, None)
     few = items.count() <= most_broadcast
-    known = bounded_rows(items.select("h", "n").distinct(), most_broadcast) if few else None
+    sizes = sorted((r["lit"], r["n"]) for r in items.select("lit", "n").distinct().collect())
+    known = bounded_rows(items.select("h").distinct(), most_broadcast) if few else None
+    wanted = None
     if known is not None:
         keys = np.unique(np.array([r["h"] for r in known], np.int64).view(np.uint64)) if known else np.zeros(1, np.uint64)
         seen = np.zeros(1 << max(10, (64 * len(keys)).bit_length()), bool)
         seen[(keys & np.uint64(len(seen) - 1)).astype(np.int64)] = True
-        hits = _rows(docs, "doc_id", sorted({r["n"] for r in known}), n, (keys, seen))
-    else:
-        hits = _rows(docs, "doc_id", list(range(SHORTEST, n + 1)), n, None)
-    per_item = items.groupBy("id").agg(F.countDistinct("at").alias("item_windows"))
-    left = items.join(per_item, "id").select("h", "n", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("v").alias("item_v"), "item_windows")
-    pairs = hits.join(F.broadcast(left) if known is not None else left, ["h", "n"])
-    pairs = pairs.select("item_id", F.col("id").alias("doc_id"), "item_at", "item_windows", (F.col("at") - F.col("item_at")).alias("shift"), (F.col("v") == F.col("item_v")).alias("exact"), F.arrays_zip(F.col("item_v").alias("a"), F.col("v").alias("b")).alias("slots"))
+        wanted = keys, seen
+    hits = _rows(docs, "doc_id", sizes, n, wanted)
+    per_item = items.groupBy("id", "lit").agg(F.countDistinct("at").alias("item_windows"))
+    left = items.join(per_item, ["id", "lit"]).select("h", "lit", "n", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("v").alias("item_v"), "item_windows")
+    pairs = hits.join(F.broadcast(left) if known is not None else left, ["h", "lit", "n"])
+    pairs = pairs.select("item_id", F.col("id").alias("doc_id"), "lit", "item_at", "item_windows", (F.col("at") - F.col("item_at")).alias("shift"), F.arrays_zip(F.col("item_v").alias("a"), F.col("v").alias("b")).alias("slots"))
     # an item's length bounds what is gathered for one alignment
-    found = pairs.groupBy("doc_id", "item_id", "shift", "item_windows").agg(
-        F.countDistinct("item_at").alias("n_windows"), F.countDistinct(F.when(F.col("exact"), F.col("item_at"))).alias("n_exact"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("map")
-    )
+    found = pairs.groupBy("doc_id", "item_id", "lit", "shift", "item_windows").agg(F.size(F.collect_set("item_at")).alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("map"))
     one_to_one = (F.size("map") == F.size(F.array_distinct(F.col("map.a")))) & (F.size("map") == F.size(F.array_distinct(F.col("map.b"))))
-    found = found.select("doc_id", "item_id", "n_windows", "item_windows", (F.col("n_windows") / F.col("item_windows")).alias("coverage"), "n_exact", F.size("map").alias("n_slots"), one_to_one.alias("consistent"))
-    found = found.where((F.col("n_exact") > 0) | (F.col("consistent") & (F.col("coverage") >= least)))
-    best = F.max_by(F.struct("n_windows", "item_windows", "coverage", "n_exact", "n_slots", "consistent"), F.struct("n_exact", "n_windows", "consistent", "n_slots"))
-    return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
+    found = found.select("doc_id", "item_id", "lit", "n_windows", "item_windows", (F.col("n_windows") / F.col("item_windows")).alias("coverage"), F.size("map").alias("n_slots"), one_to_one.alias("consistent"))
+    found = found.withColumn("ok", F.col("lit") | (F.col("consistent") & (F.col("coverage") >= least)))
+    # the best alignment of words and the best of templates
+    row = F.struct("ok", "n_windows", "consistent", "n_slots", "item_windows", "coverage")
+    found = found.groupBy("doc_id", "item_id").agg(F.max(F.when(F.col("lit"), row)).alias("w"), F.max(F.when(~F.col("lit"), row)).alias("t")).where("w.ok or t.ok")
+    more = F.when(F.col("t").isNull() | (F.col("w.coverage") > F.col("t.coverage")), F.col("w")).otherwise(F.col("t"))
+    found = found.withColumn("c", more).select(
+        "doc_id", "item_id", "c.n_windows", "c.item_windows", "c.coverage", F.coalesce("w.n_windows", F.lit(0)).alias("n_exact"), F.coalesce("t.n_slots", F.lit(0)).alias("n_slots"), F.coalesce("t.consistent", F.lit(True)).alias("consistent")
+    )
+    return found

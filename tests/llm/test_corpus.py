@@ -110,6 +110,18 @@ def test_decontamination(spark, docs, no_docs):
     assert decontamination.find_contamination(no_docs, items).count() == 0 == decontamination.find_contamination(docs, items.where("item_id > 2")).count()
 
 
+def contaminated(spark, docs, items, **kw):
+    d, b = (spark.createDataFrame(list(x.items()), f"{k}_id long, text string") for k, x in (("doc", docs), ("item", items)))
+    return sorted((r["doc_id"], r["item_id"]) for r in decontamination.find_contamination(d, b, **kw).collect())
+
+
+@pytest.mark.parametrize("most", [decontamination.MOST_BROADCAST, 0])
+def test_decontamination_of_slot_heavy_and_short_items(spark, most):
+    items = {1: "What is 12 + 7 + 9 + 13 + 45 + 6?", 2: "Berta Clara Dora Emil Fritz Gustav Hans Ida Jakob", 3: "blue whale", 4: "Plain words make up this whole question, señor, do they not", 5: "quux"}
+    texts = {1: f"Then: {items[1]} Yes", 2: "So: " + items[2], 3: "a Blue Whale. A blue whale swims", 4: items[4].upper(), 5: items[4].title(), 6: "What is 3 + 8 + 1 + 2 + 4 + 5?", 7: "blue and whale", 8: "Quux", 9: "quuxes"}
+    assert contaminated(spark, texts, items, most_broadcast=most) == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (8, 5)]
+
+
 def test_licenses(spark, docs, no_docs):
     phrases = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
     rows = [(1, "GNU General-Public License. All rights reserved; all RIGHTS reserved"), (2, "cc by by cc by"), (3, None), (4, "// SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH x-exception) AND Apache-2.0 */"), (5, "SPDX-License-Identifier: MIT OR"), (6, "éall rights reserved")]
