@@ -122,6 +122,42 @@ def test_decontamination_of_slot_heavy_and_short_items(spark, most):
     assert contaminated(spark, texts, items, most_broadcast=most) == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (8, 5)]
 
 
+@pytest.mark.parametrize("most", [decontamination.MOST_BROADCAST, 0])
+def test_decontamination_of_names_that_begin_sentences(spark, most):
+    items = {
+        1: "Tom has 3 red apples. Anna has 5 green apples. Tom gives Anna 2 apples. How many apples does Tom have?", 2: "Tom has 3 apples and buys 5 more",
+        3: "The train leaves Paris with 40 guests. Paris lies far behind when it reaches Rome with 30 of them", 4: "If Emma paints 4 walls each day. When is her house with 48 walls done",
+    }
+    texts = {
+        1: "Ben has 7 red apples. Carla has 9 green apples. Ben gives Carla 4 apples. How many apples does Ben have?", 2: "Yesterday Mary Ann has 8 apples and buys 2 more", 3: "Dave has 4 apples and buys 6 more",
+        4: "Ben has 7 red apples. Carla has 9 green apples. Dora gives Carla 4 apples. How many apples does Emil have?",
+        5: "So the train leaves New York with 50 guests. New York lies far behind when it reaches San Jose with 20 of them!", 6: "if Mary Ann paints 5 walls each day. When is her house with 60 walls done", 7: "Dave has four apples and buys 6 more",
+    }
+    assert contaminated(spark, texts, items, most_broadcast=most) == [(1, 1), (2, 2), (3, 2), (5, 3), (6, 4)]
+
+
+def test_template_windows_against_every_reading():
+    text = "Tom Lee has 3 cm. Ann-Marie Poe, Bo ran. In Rome It is 4 pm. Up. Do. If. so it was in New York then"
+    w = decontamination.template(*utf8(pa.array([text, "Al. x y", ""])))
+    want = set()
+
+    def walk(start, p, read, slots, k):
+        if k in (2, 4) and 2 * slots <= k:
+            want.add((k, start, p, read))
+        if k < 4 and p < (len(w.own) - 3 if start < len(w.own) - 3 else len(w.own)):
+            walk(start, int(w.after[p]), read, slots + bool(w.slot[p] and k), k + 1)
+            if w.opener[p]:
+                walk(start, int(w.run[p]), read | 1 << k, slots + (k > 0), k + 1)
+
+    for i in np.flatnonzero(~w.inner).tolist():
+        walk(i, i, 0, 0, 0)
+    for block in (1 << 19, 8):
+        decontamination.BLOCK, before = block, decontamination.BLOCK
+        got = [(k, *x) for k, a, p, _, r in decontamination.template_windows(w, [2, 4]) for x in zip(a.tolist(), p.tolist(), r.tolist(), strict=True)]
+        decontamination.BLOCK = before
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_licenses(spark, docs, no_docs):
     phrases = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
     rows = [(1, "GNU General-Public License. All rights reserved; all RIGHTS reserved"), (2, "cc by by cc by"), (3, None), (4, "// SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH x-exception) AND Apache-2.0 */"), (5, "SPDX-License-Identifier: MIT OR"), (6, "éall rights reserved")]
