@@ -4,8 +4,10 @@ Each language has a suffix automaton over a sample of its labelled text. A text
 into the longest pieces that occur in a language's sample, one after the other; the language
 that needs the fewest pieces, normalised by the text's length and the sample's, wins. The
 automata of all languages are one transition table, and many stretches of text walk it in
-step, so a whole text costs a few array operations a symbol. Texts are parsed in stretches
-of STRETCH symbols, each from the automaton's root.
+step, so a whole text costs a few array operations a symbol. Every letter of the samples is
+a symbol of its own; transitions by the SYMBOLS - 2 most frequent ones are a dense table, by
+all others sorted keys. Texts are parsed in stretches of STRETCH symbols, each from the
+automaton's root.
 
 The sample is bounded by documented parameters (texts and symbols per language). It is taken
 by hash order of the ids, repeated texts once. Predictions read whole texts.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import kept, slices, utf8
 
-SYMBOLS = 64  # 0: no letter; 1: a letter that the samples have rarely or never
+SYMBOLS = 64  # symbols of the dense table; 0: no letter; 1: a letter that the samples never have
 STRETCH = 512
 
 
@@ -66,10 +68,15 @@ class SuffixAutomaton:
     def table(self) -> np.ndarray:
         out = np.full((len(self.nexts), SYMBOLS), -1, np.int32)
         for i, row in enumerate(self.nexts):
-            if row:
-                out[i, list(row)] = list(row.values())
+            for c, to in row.items():
+                if c < SYMBOLS:
+                    out[i, c] = to
         return out
 
+    def others(self) -> np.ndarray:
+        """State, symbol and next state of the transitions that the table has no place for."""
+        return np.array([(i, c, to) for i, row in enumerate(self.nexts) for c, to in row.items() if c >= SYMBOLS], np.int64).reshape(-1, 3)
+
 
 def _letters() -> tuple[np.ndarray, np.ndarray]:
     """For every code point: is it a letter; its lower case where that is one code point."""
@@ -98,22 +105,33 @@ class Model:
         for p in points:
             u, c = np.unique(p[is_letter[p]], return_counts=True)
             often.update(dict(zip(u.tolist(), c.tolist(), strict=True)))
-        chosen = [p for p, _ in sorted(often.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 2]]
-        symbol = is_letter.astype(np.uint8)
+        chosen = [p for p, _ in sorted(often.items(), key=lambda x: (-x[1], x[0]))]
+        symbol = is_letter.astype(np.int32)
         symbol[np.array(chosen, np.int64)] = np.arange(2, 2 + len(chosen))
         self.symbol = symbol[lower]
-        tables, base = [], 0
+        self.size = max(SYMBOLS, 2 + len(chosen))
+        tables, others, base = [], [], 0
         self.roots, self.weight = [], []
         for p in points:
             t = self.squeeze(self.symbol[p])
-            table = SuffixAutomaton(t).table()
+            automaton = SuffixAutomaton(t)
+            table = automaton.table()
+            others.append(automaton.others() + [base, 0, base])
             tables.append(np.where(table >= 0, table + base, -1))
             self.roots.append(base)
             self.weight.append(np.log2(max(len(t), 2)))
             base += len(table)
         self.table = np.concatenate(tables).ravel().astype(np.int32)
         self.roots = np.array(self.roots, np.int32)
-        self.first = np.stack([np.where((row := self.table[r * SYMBOLS : (r + 1) * SYMBOLS]) >= 0, row, r) for r in self.roots]).astype(np.int32)
+        rest = np.concatenate(others)
+        keys = rest[:, 0] * self.size + rest[:, 1]
+        order = np.argsort(keys)
+        self.keys, self.targets = keys[order], rest[order, 2].astype(np.int32)
+        self.first = np.repeat(self.roots[:, None], self.size, axis=1)
+        for first, r, more in zip(self.first, self.roots, others, strict=True):
+            first[:SYMBOLS] = np.where((row := self.table[r * SYMBOLS : (r + 1) * SYMBOLS]) >= 0, row, r)
+            more = more[more[:, 0] == r]
+            first[more[:, 1]] = more[:, 2]
         return self
 
     @staticmethod
@@ -143,7 +161,15 @@ class Model:
             if not m:
                 break
             sym = symbols[start[:m] + t].astype(np.int32)
-            now = self.table[state[:, :m] * SYMBOLS + sym]
+            other = np.flatnonzero(sym >= SYMBOLS)
+            if len(other):
+                # the table has no transition by symbol 1
+                now = self.table[state[:, :m] * SYMBOLS + np.where(sym < SYMBOLS, sym, 1)]
+                key = state[:, other].astype(np.int64) * self.size + sym[other]
+                k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                now[:, other] = np.where(self.keys[k] == key, self.targets[k], -1)
+            else:
+                now = self.table[state[:, :m] * SYMBOLS + sym]
             miss = now < 0
             if t:
                 count[:, :m] += miss

@@ -236,6 +236,25 @@ def test_language(spark, docs, no_docs):
     assert m.phrases(s, np.array([0, len(s)]))[0, 0] == phrases
 
 
+def test_language_of_large_alphabets(spark):
+    rng = np.random.default_rng(3)
+    # four scripts of which the first two have most letters; the last two differ in letters alone
+    letters = {"la": (97, 26), "cy": (0x430, 32), "k1": (0xAC00, 200), "k2": (0xB000, 200)}
+    make = lambda k, n: " ".join("".join(chr(letters[k][0] + i) for i in rng.integers(0, letters[k][1], 3)) for _ in range(n))
+    rows = [(i, make(k, 60 if k in ("la", "cy") else 25), k) for i in range(400) for k in [list(letters)[i % 4]]]
+    got = by_id(langid.identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert all(got[i]["lang_pred"] == k for i, _, k in rows)
+    sample, text = make("k1", 300) + "".join(chr(0xAC00 + i) for i in range(200)), make("k1", 40) + "zz"
+    m = langid.Model(["x", "y"], [make("k2", 50), sample]).build()
+    assert m.size > langid.SYMBOLS
+    phrases, at = 0, 0
+    while at < len(text):
+        n = max([k for k in range(1, len(text) - at + 1) if text[at : at + k] in sample], default=1)
+        phrases, at = phrases + 1, at + n
+    s = m.symbol[langid.code_points(text.encode())]
+    assert m.phrases(s, np.array([0, len(s)]))[0, 1] == phrases
+
+
 @pytest.mark.parametrize("hot", [katz.HOT_LEAST, 3])
 def test_katz(docs, no_docs, corpus, monkeypatch, hot):
     monkeypatch.setattr(katz, "HOT_LEAST", hot)
