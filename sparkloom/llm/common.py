@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
+import threading
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,10 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_SETTING = threading.Lock()
+_SCOPES: list[list[Written]] = []
+
+
 class Written:
     """A table in the shared folder. It cuts lineage and survives lost executors; drop() frees it, JVM exit does otherwise."""
 
@@ -37,12 +44,13 @@ class Written:
         self.path = f"{scratch_root(self.spark)}/sparkloom-{uuid.uuid4().hex}"
         # shuffle files are of no use once the table stands
         key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        kept = self.spark.conf.get(key, "false")
-        self.spark.conf.set(key, "true")
-        try:
-            df.write.parquet(self.path)
-        finally:
-            self.spark.conf.set(key, kept)
+        with _SETTING:
+            kept = self.spark.conf.get(key, "false")
+            self.spark.conf.set(key, "true")
+            try:
+                df.write.parquet(self.path)
+            finally:
+                self.spark.conf.set(key, kept)
         jvm = self.spark._jvm
         self._where = jvm.org.apache.hadoop.fs.Path(self.path)
         self._fs = self._where.getFileSystem(self.spark._jsc.hadoopConfiguration())
@@ -54,7 +62,24 @@ class Written:
 
 
 def written(df: DataFrame) -> DataFrame:
-    return Written(df).df
+    """A table that the current scratch scope drops, JVM exit where there is none."""
+    t = Written(df)
+    if _SCOPES:
+        _SCOPES[-1].append(t)
+    return t.df
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Drops the tables that are `written` inside; what is to stay is to be a Written of its own."""
+    made: list[Written] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        for t in made:
+            t.drop()
 
 
 def text_volume(docs: DataFrame, column: str = "text") -> tuple[int, int]:
@@ -68,6 +93,12 @@ def shard_count(total: float, each: float, least: int = 12) -> int:
     return max(least, int(-(-total // each)))
 
 
+def dealt(df: DataFrame, key: str, size: float, each: float) -> DataFrame:
+    """Shuffled by `key` into as many tasks as hold `each` of `size`, where those are more than the session's own number."""
+    tasks = int(-(-size // each))
+    return df.repartition(tasks, key) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 # ---------------------------------------------------------------- Arrow text
 
 
@@ -110,15 +141,6 @@ def slices(batch: pa.RecordBatch, most: int = 16 << 20, column: str = "text") ->
         start = end
 
 
-def ids_of(batch: pa.RecordBatch | pa.Table, column: str = "doc_id") -> np.ndarray:
-    col = batch.column(column)
-    return np.asarray(col.fill_null(0).to_numpy(zero_copy_only=False) if isinstance(col, pa.Array) else col.combine_chunks().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
-
-
-def table(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, schema.field(k).type) for k, c in columns.items()], schema=schema)
-
-
 #: ASCII white space; and all ASCII but letters and digits.
 WHITE = np.array([b in (32, *range(9, 14)) for b in range(256)])
 NO_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -147,16 +169,76 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """S with S[j] - S[i] = base^i * hash(data[i:j]); see span_hash."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUE[data] * _powers(_BASE, len(data)), out=out[1:])
+def rolling_hash(data: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit key of every string of `width` bytes. Equal strings have equal keys; the
+    polynomial modulo 2^64 is no identity, so nothing may follow from equal keys alone."""
+    prefix = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUE[data] * _powers(_BASE, len(data)), out=prefix[1:])
+    return mix64((prefix[width:] - prefix[: len(prefix) - width]) * _powers(_BASE_INVERSE, len(prefix))[: max(0, len(prefix) - width)])
+
+
+#: Spans beyond this many bytes go through BLAKE2, one by one.
+LONG_SPAN = 64
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """At every position the eight bytes from there on; zeros follow the end."""
+    padded = np.concatenate([data.astype(np.uint8, copy=False), np.zeros(8, np.uint8)])
+    return np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))
+
+
+def take_eight(view: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(view[at]).view(np.uint64).ravel()
+
+
+def _up_to(size: np.ndarray) -> np.ndarray:
+    """Masks of the first `size` of eight bytes."""
+    return np.where(size >= 8, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (8 * size.clip(0, 7)).astype(np.uint64)) - np.uint64(1))
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the spans' bytes; two seeds make a hash of 128 bits.
+
+    Eight bytes at a time go through a bijective mixing, so spans of up to eight bytes never
+    collide with others of their length, and no pattern of bytes makes longer ones collide."""
+    size = end - start
+    out = mix64(size.astype(np.uint64) + np.uint64(_BASE) * np.uint64(seed))
+    if not len(size):
+        return out
+    view, live, o = eights(data), np.flatnonzero(size <= LONG_SPAN), 0
+    while len(live):
+        rest = size[live] - o
+        out[live] = mix64(out[live] ^ (take_eight(view, start[live] + o) & _up_to(rest)))
+        o += 8
+        live = live[rest > 8]
+    for k in np.flatnonzero(size > LONG_SPAN).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans; they depend on the spans' bytes alone."""
-    return mix64((prefix[end] - prefix[start]) * _powers(_BASE_INVERSE, len(prefix))[start])
+def same_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[a : a + size] == data[b : b + size], for each."""
+    view = eights(data)
+    same = np.ones(len(a), bool)
+    live, o = np.flatnonzero((size > 0) & (a != b)), 0
+    while len(live):
+        if o >= LONG_SPAN and len(live) < 64:  # few long ones
+            for k in live.tolist():
+                same[k] = np.array_equal(data[a[k] + o : a[k] + size[k]], data[b[k] + o : b[k] + size[k]])
+            break
+        rest = size[live] - o
+        bad = ((take_eight(view, a[live] + o) ^ take_eight(view, b[live] + o)) & _up_to(rest)) != 0
+        same[live[bad]] = False
+        o += 8
+        live = live[~bad & (rest > 8)]
+    return same
+
+
+def digests(raw: bytes | memoryview, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128 bits of BLAKE2 a span, as two columns: equal digests mean equal bytes."""
+    view, make = memoryview(raw), hashlib.blake2b
+    got = b"".join([make(view[s:e], digest_size=16).digest() for s, e in zip(start.tolist(), end.tolist(), strict=True)])
+    return np.frombuffer(got, np.uint64).reshape(-1, 2)
 
 
 def word_spans(data: np.ndarray, between: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -263,7 +345,3 @@ def bounded_rows(df: DataFrame, most: int) -> list | None:
     """The rows if there are at most `most` of them, else None; the driver never holds more than most + 1."""
     got = df.limit(most + 1).collect()
     return got if len(got) <= most else None
-
-
-def first_of(iterable: Iterable):
-    return next(iter(iterable), None)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import LOWER, NO_WORD, bounded_rows, mix64, prefix_hash, slices, span_hash, utf8, word_spans
+from sparkloom.llm.common import LOWER, NO_WORD, bounded_rows, mix64, slices, span_hash, utf8, word_spans
 
 WINDOW = 8
 #: Items have to have this many words for a template; shorter ones are found by their words.
@@ -58,7 +58,7 @@ _STOP = np.array([b in b".!?\n\r:;" for b in range(256)])
 
 def _hashes(words: list[str]) -> np.ndarray:
     data, off = utf8(pa.array(words))
-    return span_hash(prefix_hash(data), off[:-1], off[1:])
+    return span_hash(data, off[:-1], off[1:])
 
 
 _UNIT_HASH = np.sort(_hashes(UNITS))
@@ -115,7 +115,7 @@ def template(data: np.ndarray, off: np.ndarray) -> Words:
         point[1:-1] = ((data[1:-1] == 44) | (data[1:-1] == 46)) & _DIGIT[data[:-2]] & _DIGIT[data[2:]]
     classes = np.where(between & ~point, np.uint8(32), np.uint8(97))
     s, e, per = word_spans(classes, NO_WORD, off)
-    h = span_hash(prefix_hash(low), s, e)
+    h = span_hash(low, s, e)
     first = np.zeros(len(s) + 1, bool)
     first[np.concatenate([[0], np.cumsum(per)])] = True
     stops = np.concatenate([[0], np.cumsum(_STOP[data] & ~point)])

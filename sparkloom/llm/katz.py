@@ -7,12 +7,16 @@ the same words). P(w | h) is the pair's discounted probability where the pair wa
 the context's weight times P(w), which in turn is the word's discounted probability where it
 was seen, else the mass of unknown words. A text's first word follows an end.
 
+Where a context's discounts leave nothing (it has been seen with frequent followers alone),
+one more, unseen, follower is added to its count, so that its backoff weight is not zero.
+
 The tables are partitioned by hash and never meet in one place. A block of documents sends
 each shard the different words (then pairs) that it holds, combined and counted, and gets
 back what the shard knows of them, in the same order; so an exchange carries each different
 word or pair of a block once, and no row per token. Contexts that hold a large share of all
-tokens are salted over several shards by the word that follows; their weights are added up
-and travel to all executors, at most HOT_CONTEXTS of them.
+tokens are salted over several shards by the word that follows; their sums are added up and
+travel to all executors, at most HOT_CONTEXTS of them. That is a matter of the route alone:
+all contexts get their probabilities and weights by one rule. Words go by 128-bit hashes.
 
 Defined results: null and empty texts are one end. Rows with a null id are scored and not
 learned. With nothing to learn from, every token is unknown with probability 1. Repeated rows
@@ -21,7 +25,6 @@ count as often as they stand there. Texts are read whole; extra columns are not
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import LOWER, WHITE, mix64, pack, prefix_hash, runs, shard_count, slices, span_hash, text_volume, unpack, utf8, word_spans, written
+from sparkloom.llm.common import LOWER, WHITE, dealt, mix64, pack, runs, shard_count, slices, span_hash, text_volume, unpack, utf8, word_spans, written
 
 CUT = 5
 BLOCK_BYTES = 4 << 20
@@ -39,7 +42,9 @@ WORD_SHARD_BYTES = 24 << 20
 PAIR_SHARD_BYTES = 8 << 20
 HOT_CONTEXTS = 1_000_000
 HOT_LEAST = 1 << 18
-_END = np.uint64(0x5851F42D4C957F2D)
+#: Text bytes whose words, pairs and blocks go to one task.
+TASK_WORDS, TASK_PAIRS, TASK_BLOCKS = 96 << 20, 32 << 20, 32 << 20
+_END = np.array([0x5851F42D4C957F2D, 0x14057B7EF767814F], np.uint64)
 
 
 # ---------------------------------------------------------------- the model's numbers
@@ -119,6 +124,14 @@ def _word_shard(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(34)) * np.uint64(shards) >> np.uint64(30)).astype(np.int64)
 
 
+def _different(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of 128-bit hashes: where each different one stands first, sorted by their high halves, and which one each is."""
+    _, one, which = np.unique(high, return_index=True, return_inverse=True)
+    if (low != low[one][which]).any():
+        _, one, which = np.unique(np.stack([high, low], axis=1), axis=0, return_index=True, return_inverse=True)
+    return one, which
+
+
 def _read(shards: int):
     """Documents to blocks: a state row with its tokens as numbers of the block's words, and the words' messages."""
 
@@ -130,16 +143,17 @@ def _read(shards: int):
                 low = LOWER[data]
                 s, e, per = word_spans(low, WHITE, off)
                 ends = np.cumsum(per + 1) - 1
-                h = np.full(len(s) + len(per), _END, np.uint64)
-                real = np.ones(len(h), bool)
+                real = np.ones(len(s) + len(per), bool)
                 real[ends] = False
-                h[real] = span_hash(prefix_hash(low), s, e)
+                high, low_half = (np.full(len(real), x, np.uint64) for x in _END)
+                high[real], low_half[real] = span_hash(low, s, e), span_hash(low, s, e, 1)
                 learn = b.column("learn").to_numpy(zero_copy_only=False).astype(bool)
-                words, token = np.unique(h, return_inverse=True)
+                one, token = _different(high, low_half)
+                words = high[one]
                 count = np.bincount(token[np.repeat(learn, per + 1)], minlength=len(words))
                 ids = b.column("doc_id")
-                state = pack(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), np.asarray(ids.is_valid()).astype(np.uint8), learn.astype(np.uint8), (per + 1).astype(np.uint64), token.astype(np.uint32), np.flatnonzero(words == _END).astype(np.uint32))
-                yield _rows([(block, STATE, state), *_by_shard(block, _word_shard(words, shards), words, count)])
+                state = pack(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), np.asarray(ids.is_valid()).astype(np.uint8), learn.astype(np.uint8), (per + 1).astype(np.uint64), token.astype(np.uint32), token[ends[:1]].astype(np.uint32))
+                yield _rows([(block, STATE, state), *_by_shard(block, _word_shard(words, shards), words, low_half[one], count)])
                 block += 1
 
     return run
@@ -158,9 +172,9 @@ def _count_words(group: pa.Table) -> pa.Table:
     """A word shard: every block gets its words' numbers and total counts."""
     shard = group.column("shard")[0].as_py()
     parts = [unpack(b) for b in group.column("blob").to_pylist()]
-    words, at = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
-    total = np.zeros(len(words), np.int64)
-    np.add.at(total, at, np.concatenate([x[1] for x in parts]))
+    one, at = _different(np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]))
+    total = np.zeros(len(one), np.int64)
+    np.add.at(total, at, np.concatenate([x[2] for x in parts]))
     rows, end = [], 0
     for block, x in zip(group.column("block").to_pylist(), parts, strict=True):
         own = at[end : end + len(x[0])]
@@ -253,36 +267,36 @@ class Pairs:
     hot: int
 
     def weigh(self, blob: bytes) -> tuple[np.ndarray, ...]:
-        """Of the shard's contexts: number, count, sums of discounted and of lower-order probabilities; of its pairs: all their probabilities, count, context."""
+        """Of the shard's contexts: number, count, sums of discounted and of lower-order probabilities; of its pairs: how many each context has, discounted probability, count, lower-order probability."""
         step, n, of_word, of_context = unpack(blob)[:4]
         context = np.cumsum(step)
         n, of_word, of_context = n.astype(np.int64), of_word.astype(np.int64), of_context.astype(np.int64)
         cut = runs(context)
         first, each = cut[:-1], np.diff(cut)
-        size = of_context[first]
         p = discounted(n, self.d) / np.maximum(of_context, 1)
-        p = np.where(of_context > self.hot, p * of_context / (of_context + 1), p)
         lower = self.words.p(of_word)
-        seen, below = np.add.reduceat(p, first), np.add.reduceat(lower * (n > 0), first)
-        full = (size > 0) & (size <= self.hot) & (seen > 1 - 1e-9)  # nothing is left: one more, unseen, follower is reserved
-        p = p * np.repeat(np.where(full, size / (size + 1), 1.0), each)
-        seen = np.where(full, seen * size / (size + 1), seen)
-        return context[first], size, seen, below, each, p, n, lower
+        return context[first], of_context[first], np.add.reduceat(p, first), np.add.reduceat(lower * (n > 0), first), each, p, n, lower
 
-    def weight(self, seen: np.ndarray, below: np.ndarray) -> np.ndarray:
-        return np.maximum(1 - seen, 0) / np.maximum(1 - below, self.words.unknown)
+    def settle(self, size: np.ndarray, seen: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By context, from its count and whole sums: what its probabilities are scaled by, and its backoff weight."""
+        scale = np.where((size > 0) & (seen > 1 - 1e-9), size / (size + 1), 1.0)
+        return scale, np.where(size > 0, np.maximum(1 - seen * scale, 0) / np.maximum(1 - below, self.words.unknown), 1.0)
 
 
-def _answer_pairs(model: Pairs):
-    """Every block gets log10 P(w | h) of its pairs; NaN where a hot context's weight is needed."""
+def _answer_pairs(model: Pairs, salted: tuple[np.ndarray, np.ndarray, np.ndarray]):
+    """Every block gets log10 P(w | h) of its pairs; `salted`: numbers and whole sums of the contexts that lie in several shards."""
+    numbers, seen_of, below_of = salted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                _, size, seen, below, each, p, n, lower = model.weigh(blob)
-                weight = np.where(size == 0, 1.0, np.where(size > model.hot, np.nan, model.weight(seen, below)))
+                context, size, seen, below, each, p, n, lower = model.weigh(blob)
+                hot = size > model.hot
+                at = np.searchsorted(numbers, context[hot])
+                seen[hot], below[hot] = seen_of[at], below_of[at]
+                scale, weight = model.settle(size, seen, below)
                 with np.errstate(divide="ignore"):
-                    log = np.log10(np.where(n > 0, p, np.repeat(weight, each) * lower)).astype(np.float32)
+                    log = np.log10(np.where(n > 0, p * np.repeat(scale, each), np.repeat(weight, each) * lower))
                 *_, blocks, sizes, at = unpack(blob)
                 at = np.cumsum(at)
                 ends = np.cumsum(sizes)
@@ -291,7 +305,7 @@ def _answer_pairs(model: Pairs):
     return run
 
 
-def _hot_sums(model: Pairs):
+def _salted_sums(model: Pairs):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column("blob").to_pylist():
@@ -306,18 +320,11 @@ _SCORE_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_
 _SCORE = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _score(model: Pairs, shards: int, weights: tuple[np.ndarray, np.ndarray]):
-    numbers, values = weights
-
+def _score(model: Pairs, shards: int):
     def run(state: pa.Table, answers: pa.Table) -> pa.Table:
         b = Block(_table_rows(state))
-        shard, context, word, _, pair = b.pairs(shards, model.hot)
-        got = sorted(_table_rows(answers))
-        log = np.concatenate([unpack(x)[0] for _, x in got]).astype(np.float64)
-        open_ = np.isnan(log)
-        if open_.any():
-            at = np.searchsorted(numbers, b.number[context[open_]])
-            log[open_] = np.log10(values[at] * model.words.p(b.count[word[open_]]))
+        *_, pair = b.pairs(shards, model.hot)
+        log = np.concatenate([unpack(x)[0] for _, x in sorted(_table_rows(answers))])
         doc = np.repeat(np.arange(len(b.per)), b.per)
         total = lambda x: np.bincount(doc, x, minlength=len(b.per))
         count = b.count[b.token]
@@ -331,12 +338,6 @@ def _score(model: Pairs, shards: int, weights: tuple[np.ndarray, np.ndarray]):
     return run
 
 
-def _let_go(df: DataFrame) -> None:
-    """Lets the driver's cleaner free the shuffle files of finished steps."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-
-
 def score_documents(docs: DataFrame, learn: Column | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
@@ -351,20 +352,17 @@ def score_documents(docs: DataFrame, learn: Column | None = None) -> DataFrame:
     word_shards, pair_shards = shard_count(size, WORD_SHARD_BYTES), shard_count(size, PAIR_SHARD_BYTES)
     first = written(own.mapInArrow(_read(word_shards), _ROW_DDL))
     state = first.where(F.col("shard") == STATE)
-    answers = written(first.where(F.col("shard") != STATE).groupBy("shard").applyInArrow(_count_words, _ANSWER_DDL))
+    answers = written(dealt(first.where(F.col("shard") != STATE), "shard", size, TASK_WORDS).groupBy("shard").applyInArrow(_count_words, _ANSWER_DDL))
     got = _add_up(answers)
     words = Words.of(got[: CUT + 2], int(got[CUT + 2]), int(got[CUT + 3]))
     hot = max(HOT_LEAST, words.total // HOT_CONTEXTS)
-    blocks = state.unionAll(answers.drop("stats"))
-    _let_go(docs)
-    sent = blocks.groupBy("block").applyInArrow(_send_pairs(pair_shards, hot), _ROW_DDL)
+    blocks = dealt(state.unionAll(answers.drop("stats")), "block", size, TASK_BLOCKS)
+    sent = dealt(blocks.groupBy("block").applyInArrow(_send_pairs(pair_shards, hot), _ROW_DDL), "shard", size, TASK_PAIRS)
     pairs = written(sent.groupBy("shard").applyInArrow(_count_pairs, "shard long, blob binary, stats array<long>"))
-    del sent
-    _let_go(docs)
     model = Pairs(words, discounts(_add_up(pairs)[: CUT + 2]), hot)
-    sums = pairs.mapInArrow(_hot_sums(model), "context long, seen double, below double").groupBy("context").agg(F.sum("seen").alias("seen"), F.sum("below").alias("below")).collect()
-    numbers = np.array([r["context"] for r in sums], np.int64).view(np.uint64)
+    # HOT_CONTEXTS rows of 24 bytes at most
+    sums = pairs.mapInArrow(_salted_sums(model), "context long, seen double, below double").groupBy("context").agg(F.sum("seen").alias("seen"), F.sum("below").alias("below")).toArrow()
+    numbers = sums.column("context").to_numpy().view(np.uint64)
     order = np.argsort(numbers)
-    values = model.weight(np.array([r["seen"] for r in sums]), np.array([r["below"] for r in sums]))
-    replies = pairs.mapInArrow(_answer_pairs(model), _ROW_DDL)
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(model, pair_shards, (numbers[order], values[order])), _SCORE_DDL)
+    replies = pairs.mapInArrow(_answer_pairs(model, (numbers[order], sums.column("seen").to_numpy()[order], sums.column("below").to_numpy()[order])), _ROW_DDL)
+    return blocks.groupBy("block").cogroup(dealt(replies, "block", size, TASK_BLOCKS).groupBy("block")).applyInArrow(_score(model, pair_shards), _SCORE_DDL)

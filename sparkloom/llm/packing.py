@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from sparkloom.llm.common import LOWER, WHITE, kept, prefix_hash, slices, span_hash, utf8
+from sparkloom.llm.common import LOWER, WHITE, kept, same_spans, slices, span_hash, utf8
 
 
 @dataclass(frozen=True)
@@ -160,9 +160,13 @@ class WordPieces:
     The vocabulary's splitter never joins across white space, and its normaliser lowers
     case, so a text's ids are those of its lower-cased chunks in order; a chunk of ASCII
     letters and a mark is at once in pieces and goes to the merge table directly. Equality
-    with the tokenizer run over whole texts is tested."""
+    with the tokenizer run over whole texts is tested. This holds for vocabularies that lower
+    case and split at white space first; where a probe of a few texts says otherwise, whole
+    texts go through the tokenizer, one by one."""
 
     MOST_CHUNKS, MOST_BYTES = 1_000_000, 64 << 20
+    #: Texts that tell whether a vocabulary lowers case and never joins across white space.
+    _PROBE = ("The Quick brown FOX, it jumped. twice! (So it did)", "É Über ça\tÑandú\n\nİstanbul  two  spaces ", "12 34,5 a.b x=1; https://e.org/?q=1", "", "日本 語 and e\u0301 ok")
     #: Letters up to U+024F (all of them stable under NFC), but for one whose lower case is no letter, then marks.
     _PLAIN = re.compile(r"((?:(?![\u0130\u00d7\u00f7\u00aa\u00ba])[a-z\u00c0-\u024f])+)([.,;:!?)]*)")
     _A_TO_Z = np.array([97 <= b <= 122 for b in range(256)])
@@ -175,14 +179,22 @@ class WordPieces:
         self.tok = tokenizers.Tokenizer.from_file(path)
         self.model = self.tok.model
         self.clear()
+        self.whole = False
+        data, off = utf8(pa.array(self._PROBE))
+        got, edge = self.ids(data, off, 0)
+        self.whole = any(self._encode(t.encode()) != got[a : b - 1].tolist() for t, a, b in zip(self._PROBE, edge[:-1], edge[1:], strict=True))
+        self.clear()
+
+    def _encode(self, text: bytes) -> list[int]:
+        return self.tok.encode(text.decode(), add_special_tokens=False).ids
 
     def clear(self) -> None:
-        self.at: dict[int | bytes, int] = {}  # by a chunk's hash; by a part's bytes
+        self.at: dict[bytes, int] = {}
         self.flat = array("I")
         self.bounds = array("q", [0])
         self.held = 0
 
-    def _learn(self, key: int | bytes, chunk: bytes) -> None:
+    def _learn(self, chunk: bytes) -> None:
         if chunk.isalpha():  # ASCII letters
             ids = [t.id for t in self.model.tokenize(chunk.decode())]
         else:
@@ -194,12 +206,12 @@ class WordPieces:
                 ids = []
                 for piece in map(str.encode, plain.groups()):
                     if piece not in self.at:
-                        self._learn(piece, piece)
+                        self._learn(piece)
                     k = self.at[piece]
                     ids += self.flat[self.bounds[k] : self.bounds[k + 1]]
             else:
                 ids = self.tok.encode(text, add_special_tokens=False).ids
-        self.at[key] = len(self.bounds) - 1
+        self.at[chunk] = len(self.bounds) - 1
         self.flat.extend(ids)
         self.bounds.append(len(self.flat))
         self.held += len(chunk)
@@ -225,14 +237,23 @@ class WordPieces:
         """The ids of all texts (UTF-8, laid end to end), each text's with the end id behind them, and the bounds between texts."""
         if len(self.at) > self.MOST_CHUNKS or self.held > self.MOST_BYTES:
             self.clear()
+        if self.whole:
+            each = [[*self._encode(data[a:b].tobytes()), end_id] for a, b in zip(off[:-1], off[1:], strict=True)]
+            return np.array([i for x in each for i in x], np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
         low = LOWER[data]
         s, e, first = self._chunks(low, off)
-        u, one, inverse = np.unique(span_hash(prefix_hash(low), s, e), return_index=True, return_inverse=True)
-        raw, keys = low.tobytes(), u.tolist()
-        for j, key in enumerate(keys):
-            if key not in self.at:
-                self._learn(key, raw[s[one[j]] : e[one[j]]])
-        at = np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))[inverse]
+        _, one, inverse = np.unique(span_hash(low, s, e), return_index=True, return_inverse=True)
+        raw, size = low.tobytes(), e - s
+        # a hash only proposes: chunks go by their bytes
+        same = (size == size[one][inverse]) & same_spans(low, s, s[one][inverse], np.minimum(size, size[one][inverse]))
+        if not same.all():
+            one = np.append(one, np.flatnonzero(~same))
+            inverse[~same] = np.arange(len(one) - (~same).sum(), len(one))
+        chunks = [raw[a:b] for a, b in zip(s[one].tolist(), e[one].tolist(), strict=True)]
+        for chunk in chunks:
+            if chunk not in self.at:
+                self._learn(chunk)
+        at = np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))[inverse]
         bounds, flat = np.frombuffer(self.bounds, np.int64), np.frombuffer(self.flat, np.uint32) if self.flat else np.zeros(0, np.uint32)
         size = (bounds[at + 1] - bounds[at]) if len(at) else np.zeros(0, np.int64)
         ends = np.concatenate([[0], np.cumsum(size)])
@@ -246,7 +267,7 @@ class WordPieces:
         if len(named):  # maybe the name of a special id, which has a case
             each = [out[edges[i] : edges[i + 1]] for i in range(len(off) - 1)]
             for i in named:
-                each[i] = np.array([*self.tok.encode(data[off[i] : off[i + 1]].tobytes().decode(), add_special_tokens=False).ids, end_id], np.uint32)
+                each[i] = np.array([*self._encode(data[off[i] : off[i + 1]].tobytes()), end_id], np.uint32)
             out, edges = np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
         return out, edges
 

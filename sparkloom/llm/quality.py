@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import NO_WORD, WHITE, prefix_hash, runs, slices, span_hash, utf8, word_spans, written
+from sparkloom.llm.common import NO_WORD, WHITE, runs, slices, span_hash, utf8, word_spans, written
 
 #: Byte classes counted per document.
 _CLASSES = {
@@ -56,7 +56,7 @@ def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     # words without marks and case count as one
     s2, e2, per2 = word_spans(data, NO_WORD, off)
     of2 = np.repeat(np.arange(n), per2)
-    h = span_hash(prefix_hash(data), s2, e2)
+    h = span_hash(data, s2, e2)
     order = np.lexsort((h, of2))
     hs, ds = h[order], of2[order]
     cut = runs(hs ^ (ds.astype(np.uint64) << np.uint64(40)))

@@ -3,21 +3,26 @@
 A window is a string of `length` bytes. Every window is keyed by the smallest hash of the
 GRAM-byte strings in it, so equal windows have equal keys wherever they stand, and windows
 that follow each other mostly share a key: a document falls into runs of windows, which cover
-`length` - 1 bytes more than they have windows. Runs with the same bytes are combined where
-they are made and again in their key's shard; of each, the first is kept, and the windows of
-the others start earlier there. Runs that share a key but not their bytes may still share
-windows. Their bytes, once for every different run, are gathered in shards; a suffix array is
-built for each shard by induced sorting, permuted common prefixes say which neighbours share a
-window, and of each group of equal windows all but the first are marked. So no window is
-compared on its own with all others, and no key's copies meet in one task.
-
-A key that more than `hot` different runs share is cut into single windows for the last step,
-dealt by their own hash and combined where they are made.
-
-Defined results: null and empty texts have 0 bytes and nothing removed. Rows with a null id
-are returned with nothing removed and take no part. Rows that share a doc_id count as one
-document, whose repeats do not remove themselves. Long texts are read in stretches that
-overlap by a window. Extra columns are not read. Empty tables give no rows.
+`length` - 1 bytes more than they have windows. Runs with the same bytes (the same 128-bit
+BLAKE2 digest) are combined where they are made and again in their key's shard; of each, the
+first is kept, and the windows of the others start earlier there. Runs that share a key but
+not their bytes may still share windows. Their bytes, once for every different run, are
+gathered in shards; a suffix array is built for each shard by induced sorting, permuted common
+prefixes say which neighbours share a window, and of each group of equal windows all but the
+first are marked. So no window is compared on its own with all others, and no key's copies
+meet in one task.
+
+A key whose different runs hold more than `hot` bytes (a passage in very many surroundings, a
+long text of one letter) is cut into single windows for the last step. They go by their own
+digests: of equal ones a task keeps the first and marks the others before anything is sent,
+and the firsts meet again in their digest's shard. So neither a hot key nor a hot window is a
+group that grows with the documents that hold it, but by one row a task's block of windows.
+
+Keys may collide without harm, as bytes or digests decide. Defined results: null and empty
+texts have 0 bytes and nothing removed. Rows with a null id are returned with nothing removed
+and take no part. Rows that share a doc_id count as one document, whose repeats do not remove
+themselves. Long texts are read in stretches that overlap by a window. Extra columns are not
+read. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import mix64, pack, prefix_hash, runs, shard_count, slices, span_hash, text_volume, unpack, utf8, written
+from sparkloom.llm.common import dealt, digests, pack, rolling_hash, runs, shard_count, slices, text_volume, unpack, utf8, written
 from sparkloom.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 LENGTH = 100
@@ -39,10 +44,15 @@ GRAM = 48
 #: Text bytes whose runs make one shard, and bytes of runs that make one suffix array.
 SHARD_BYTES = 24 << 20
 ARRAY_BYTES = 1 << 20
+#: Text bytes whose runs, and bytes of runs that, go to one task's shards.
+TASK_BYTES, TASK_PIECES = 96 << 20, 16 << 20
 #: Text bytes whose windows are hashed at once, and those whose runs are combined before they are sent.
 STRETCH = 1 << 20
 COMBINED = 8 << 20
-HOT = 20_000
+#: Bytes of a key's different runs that may meet in one suffix array.
+HOT = 1 << 18
+#: Windows of hot keys that are combined before they are sent, and those that make one shard.
+WINDOWS, SHARD_WINDOWS = 1 << 19, 1 << 21
 #: Runs of texts that leave a task as one batch.
 PIECE_ROWS = 16_384
 
@@ -75,17 +85,15 @@ def stretches(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray,
 
 
 def window_runs(ids: np.ndarray, data: np.ndarray, off: np.ndarray, base: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Key, content hash, document, start, number of windows of each run, and whether its key's string stands in it twice.
+    """Key, content digest, document, start, number of windows of each run, and whether its key's string stands in it twice.
 
     Only then may a run hold a window twice."""
     n = len(data)
-    prefix = prefix_hash(data)
     if n < length:
         z = np.zeros(0, np.int64)
-        return z.view(np.uint64), z.view(np.uint64), z, z, z, z > 0
+        return z.view(np.uint64), z.view(np.uint64).reshape(0, 2), z, z, z, z > 0
     width = length - GRAM + 1
-    gram = np.arange(n - GRAM + 1)
-    grams = span_hash(prefix, gram, gram + GRAM)
+    grams = rolling_hash(data, GRAM)
     key = sliding_minimum(grams, width)
     size = np.diff(off)
     last = np.repeat(off[1:], size)[: len(key)] - length
@@ -105,15 +113,19 @@ def window_runs(ids: np.ndarray, data: np.ndarray, off: np.ndarray, base: np.nda
     run = np.repeat(np.arange(len(s)), high - low)
     at = smallest[np.repeat(low - np.cumsum(high - low) + high - low, high - low) + np.arange(len(run))]
     twice = np.bincount(run[grams[at] == key[s][run]], minlength=len(s)) > 1
-    return key[s], span_hash(prefix, s, e + length - 1), ids[doc], s - off[doc] + base[doc], e - s, twice
+    return key[s], digests(data, s, e + length - 1), ids[doc], s - off[doc] + base[doc], e - s, twice
 
 
 def _firsts(same: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows with equal `same`: the indices of the earliest ones and of those that start later than it."""
-    order = np.lexsort((pos, doc, same))
-    cut = runs(same[order])
-    first = order[cut[:-1]] if len(order) else order
-    of = np.repeat(first, np.diff(cut))
+    """Of rows with equal `same` (two columns): the indices of the earliest ones and of those that start later than it."""
+    high, low = same[:, 0], same[:, 1]
+    order = np.lexsort((pos, doc, high))
+    if len(order) and ((high[order][1:] == high[order][:-1]) & (low[order][1:] != low[order][:-1])).any():
+        order = np.lexsort((pos, doc, low, high))
+    new = np.ones(len(order), bool)
+    new[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
+    first = order[new]
+    of = first[np.cumsum(new) - 1]
     later = order[(doc[order] != doc[of]) | (pos[order] != pos[of])]
     return first, later
 
@@ -127,7 +139,7 @@ DONE, ASK, HOT_ASK = 0, 1, 2
 def _messages(found: list[tuple[np.ndarray, ...]], shards: int) -> pa.RecordBatch:
     """Runs of some stretches, combined, as one message to each shard."""
     key, content, doc, pos, n, twice = (np.concatenate(x) for x in zip(*found, strict=True))
-    first, later = _firsts(content ^ mix64(key), doc, pos)
+    first, later = _firsts(content, doc, pos)
     names, blobs = [], []
     if len(later):  # repeats within these stretches are marked; they go with the messages of some shard
         names.append(-1 - int(doc[later[0]] % shards))
@@ -140,7 +152,7 @@ def _messages(found: list[tuple[np.ndarray, ...]], shards: int) -> pa.RecordBatc
         k = order[a:b]
         names.append(int(shard[k[0]]))
         step = np.diff(doc[k], prepend=0)
-        blobs.append(pack(key[k].astype(np.uint32), content[k], step, pos[k].astype(np.uint32), n[k].astype(np.uint32), twice[k]))
+        blobs.append(pack(key[k].astype(np.uint32), content[k, 0], content[k, 1], step, pos[k].astype(np.uint32), n[k].astype(np.uint32), twice[k]))
     return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], schema=_MESSAGE)
 
 
@@ -160,7 +172,7 @@ def _scatter(shards: int, length: int):
     return run
 
 
-def _resolve(hot: int):
+def _resolve(hot: int, length: int):
     def run(group: pa.Table) -> pa.Table:
         shard = group.column("shard")[0].as_py()
         parts = [unpack(b) for b in group.column("blob").to_pylist()]
@@ -168,16 +180,16 @@ def _resolve(hot: int):
             doc, pos, n = (np.concatenate(x) for x in zip(*parts, strict=True))
             return _run_table(doc, pos, n, np.zeros(len(doc), np.int64), np.full(len(doc), DONE))
         key = np.concatenate([x[0] for x in parts]).astype(np.int64)
-        content = np.concatenate([x[1] for x in parts])
-        doc = np.concatenate([np.cumsum(x[2]) for x in parts])
-        pos, n = (np.concatenate([x[i] for x in parts]).astype(np.int64) for i in (3, 4))
-        twice = np.concatenate([x[5] for x in parts])
-        first, later = _firsts(content ^ mix64(key.view(np.uint64)), doc, pos)
+        content = np.concatenate([np.stack(x[1:3], axis=1) for x in parts])
+        doc = np.concatenate([np.cumsum(x[3]) for x in parts])
+        pos, n = (np.concatenate([x[i] for x in parts]).astype(np.int64) for i in (4, 5))
+        twice = np.concatenate([x[6] for x in parts])
+        first, later = _firsts(content, doc, pos)
         _, inverse, kinds = np.unique(key[first], return_inverse=True, return_counts=True)
-        kinds = kinds[inverse]
-        open_ = (kinds > 1) | twice[first]
+        size = np.bincount(inverse, n[first] + length)
+        open_ = (kinds[inverse] > 1) | twice[first]
         ask = first[open_]
-        kind = np.where(kinds[open_] > hot, HOT_ASK, ASK)
+        kind = np.where(size[inverse][open_] > hot, HOT_ASK, ASK)
         at = np.concatenate([later, ask])
         return _run_table(doc[at], pos[at], n[at], key[at] + (shard << 32), np.concatenate([np.full(len(later), DONE), kind]))
 
@@ -205,26 +217,51 @@ def squeezed(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
 
 
 _PIECES = pa.schema([("array", pa.int64()), ("key", pa.int64()), ("doc_id", pa.int64()), ("p", pa.int64()), ("n", pa.int64()), ("s", pa.binary())])
+_PIECES_DDL = "array long, key long, doc_id long, p long, n long, s binary"
+#: In place of a key: what a message of windows holds.
+FIRSTS, LATER = 0, 1
+
+
+def _window_messages(found: list[tuple[np.ndarray, ...]], shards: int) -> pa.RecordBatch:
+    """Windows of hot keys, combined: the firsts as a message to each shard (named -1 - shard), the others, marked, to some shard."""
+    digest, doc, pos = (np.concatenate(x) for x in zip(*found, strict=True))
+    first, later = _firsts(digest, doc, pos)
+    rows = []
+    if len(later):
+        rows.append((-1 - int(doc[later[0]] % shards), LATER, 0, 0, 0, pack(doc[later], pos[later])))
+    shard = (digest[first, 0] % np.uint64(shards)).astype(np.int64)
+    first, shard = first[order := np.argsort(shard, kind="stable")], shard[order]
+    cut = runs(shard)
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        k = first[a:b]
+        rows.append((-1 - int(shard[a]), FIRSTS, 0, 0, 0, pack(digest[k, 0], digest[k, 1], doc[k], pos[k])))
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECES, strict=True)], schema=_PIECES)
 
 
-def _cut(arrays: int, length: int):
-    """Texts and their asked runs to the runs' bytes, dealt to suffix arrays by key; runs of hot keys as single windows."""
+def _cut(arrays: int, shards: int, length: int):
+    """Texts and their asked runs to the runs' bytes, dealt to suffix arrays by key; runs of hot keys to messages of single windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
+        found, held = [], 0
         for b in batches:
             for doc, blob, asked in zip(b.column("doc_id").to_pylist(), b.column("z"), b.column("asked"), strict=True):
                 raw = z.decompress(blob.as_py())
                 a = asked.values
                 p, n, key, kind = (a.field(f).to_numpy(zero_copy_only=False) for f in ("p", "n", "key", "kind"))
                 rows = [(int(k) % arrays, int(k), doc, int(i), int(m), raw[i : i + m + length - 1]) for i, m, k, h in zip(p, n, key, kind, strict=True) if h == ASK]
-                if (kind == HOT_ASK).any():
-                    prefix = prefix_hash(np.frombuffer(raw, np.uint8))
-                    at = np.concatenate([np.arange(i, i + m) for i, m, h in zip(p, n, kind, strict=True) if h == HOT_ASK])
-                    own = span_hash(prefix, at, at + length).view(np.int64)
-                    rows += [(k % arrays, k, doc, i, 1, raw[i : i + length]) for i, k in zip(at.tolist(), own.tolist(), strict=True)]
                 for at in range(0, len(rows), PIECE_ROWS):
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + PIECE_ROWS], strict=True), _PIECES, strict=True)], schema=_PIECES)
+                for i, m, h in zip(p.tolist(), n.tolist(), kind.tolist(), strict=True):
+                    for begin in range(i, i + m if h == HOT_ASK else i, WINDOWS):
+                        at = np.arange(begin, min(i + m, begin + WINDOWS))
+                        found.append((digests(raw, at, at + length), np.full(len(at), doc), at))
+                        held += len(at)
+                        if held >= WINDOWS:
+                            yield _window_messages(found, shards)
+                            found, held = [], 0
+        if found:
+            yield _window_messages(found, shards)
 
     return run
 
@@ -241,14 +278,24 @@ def repeated_windows(strings: list[bytes], doc: np.ndarray, pos: np.ndarray, n:
     group = np.cumsum(common < length)
     group, of, at = group[window], of[window], (sa - begin[of])[window]
     d, p = doc[of], pos[of] + at
-    _, later = _firsts(group, d, p)
+    _, later = _firsts(np.stack([group, np.zeros(len(group), group.dtype)], axis=1), d, p)
     return d[later], p[later]
 
 
 def _arrays(length: int):
     def run(group: pa.Table) -> pa.Table:
-        doc, pos, n = (group.column(c).to_numpy() for c in ("doc_id", "p", "n"))
-        d, p = repeated_windows(group.column("s").to_pylist(), doc, pos, n, length)
+        if group.column("array")[0].as_py() < 0:
+            parts = [[], []]
+            for kind, blob in zip(group.column("key").to_pylist(), group.column("s").to_pylist(), strict=True):
+                parts[kind].append(unpack(blob))
+            d, p = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*parts[LATER], strict=True) if parts[LATER] else ([], [])))
+            if parts[FIRSTS]:
+                high, low, doc, pos = (np.concatenate(x) for x in zip(*parts[FIRSTS], strict=True))
+                _, later = _firsts(np.stack([high, low], axis=1), doc, pos)
+                d, p = np.concatenate([d, doc[later]]), np.concatenate([p, pos[later]])
+        else:
+            doc, pos, n = (group.column(c).to_numpy() for c in ("doc_id", "p", "n"))
+            d, p = repeated_windows(group.column("s").to_pylist(), doc, pos, n, length)
         order = np.lexsort((p, d))
         d, p = d[order], p[order]
         keep = np.ones(len(d), bool)
@@ -267,12 +314,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     _, size = text_volume(own)
     shards = shard_count(size, SHARD_BYTES)
     messages = own.mapInArrow(_scatter(shards, length), "shard long, blob binary")
-    found = written(messages.groupBy("shard").applyInArrow(_resolve(hot), _RUNS_DDL))
+    found = written(dealt(messages, "shard", size, TASK_BYTES).groupBy("shard").applyInArrow(_resolve(hot, length), _RUNS_DDL))
     asked = found.where(F.col("kind") != DONE)
-    arrays = shard_count(asked.agg(F.sum(F.when(F.col("kind") == ASK, F.col("n") + length).otherwise(F.col("n") * (length + 1)))).first()[0] or 0, ARRAY_BYTES)
+    some = lambda kind, what: F.coalesce(F.sum(F.when(F.col("kind") == kind, what)), F.lit(0))
+    piece_bytes, windows = asked.agg(some(ASK, F.col("n") + length), some(HOT_ASK, F.col("n"))).first()
+    arrays, window_shards = shard_count(piece_bytes, ARRAY_BYTES), shard_count(windows, SHARD_WINDOWS, 1)
     by_doc = asked.groupBy("doc_id").agg(F.collect_list(F.struct("p", "n", "key", "kind")).alias("asked"))  # a document's length bounds it
-    pieces = squeezed(own).join(by_doc, "doc_id").select("doc_id", "z", "asked").mapInArrow(_cut(arrays, length), "array long, key long, doc_id long, p long, n long, s binary")
-    later = pieces.groupBy("array").applyInArrow(_arrays(length), _RUNS_DDL)
+    pieces = squeezed(own).join(by_doc, "doc_id").select("doc_id", "z", "asked").mapInArrow(_cut(arrays, window_shards, length), _PIECES_DDL)
+    later = dealt(pieces, "array", piece_bytes + 32 * windows, TASK_PIECES).groupBy("array").applyInArrow(_arrays(length), _RUNS_DDL)
     marks = found.where(F.col("kind") == DONE).unionAll(later)
     return marks.groupBy("doc_id").agg(F.collect_list(F.struct("p", "n")).alias("spans"))
 

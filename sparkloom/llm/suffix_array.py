@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from sparkloom.llm.common import eights, same_spans, take_eight
+
 
 def _classify(t: np.ndarray) -> np.ndarray:
     """Which suffixes of t (its last symbol the unique smallest) are of type S."""
@@ -83,32 +85,6 @@ def _induce(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, size: int) -> np.n
     return np.concatenate(out)[::-1]
 
 
-def _words(t: np.ndarray) -> np.ndarray:
-    """At every position the eight bytes from there on, as one number; zeros follow the end."""
-    padded = np.concatenate([t.astype(np.uint8), np.zeros(8, np.uint8)])
-    return np.lib.stride_tricks.as_strided(padded, (len(t) + 1, 8), (1, 1))
-
-
-def _eight(view: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(view[at]).view(np.uint64).ravel()
-
-
-def _same_spans(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Whether text[a:a+length] == text[b:b+length], for each."""
-    view = _words(text)
-    same = np.ones(len(a), bool)
-    live, o = np.arange(len(a)), 0
-    while len(live):
-        rest = np.minimum(length[live] - o, 8)
-        x = _eight(view, a[live] + o) ^ _eight(view, b[live] + o)
-        mask = np.where(rest >= 8, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (8 * rest.clip(0, 7)).astype(np.uint64)) - np.uint64(1))
-        bad = (x & mask) != 0
-        same[live[bad]] = False
-        o += 8
-        live = live[~bad & (length[live] > o)]
-    return same
-
-
 def _reduce(r: list[int], top: int) -> list[int]:
     """Induced sorting, entry by entry, of a string over 0..top whose last symbol is the unique smallest."""
     n = len(r)
@@ -182,7 +158,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         length = np.minimum(end[found] + 1, n) - found  # the end marker is at n alone
         same = np.zeros(len(found), bool)
         alike = np.flatnonzero((length[1:] == length[:-1]) & (end[found[1:]] < n) & (end[found[:-1]] < n)) + 1
-        same[alike] = _same_spans(text, found[alike], found[alike - 1], length[alike])
+        same[alike] = same_spans(text, found[alike], found[alike - 1], length[alike])
         name = np.cumsum(~same) - 1
         if name[-1] + 1 < len(lms):
             named = np.zeros(n + 1, np.int64)
@@ -206,14 +182,14 @@ def permuted_common_prefixes(text: np.ndarray, sa: np.ndarray, most: int) -> np.
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
     out = np.zeros(n, np.int64)
-    view = _words(text)
+    view = eights(text)
 
     def extend(live: np.ndarray) -> None:
         live = live[(before[live] >= 0) & (out[live] < most)]
         while len(live):
             o = out[live]
             a, b = live + o, before[live] + o
-            x = _eight(view, np.minimum(a, n)) ^ _eight(view, np.minimum(b, n))
+            x = take_eight(view, np.minimum(a, n)) ^ take_eight(view, np.minimum(b, n))
             low = x & (~x + np.uint64(1))
             got = np.where(x == 0, 8, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64) // 8)
             got = np.minimum(got, np.minimum(n - a, n - b).clip(0))
