@@ -3,12 +3,13 @@
 Every shard has its own preference order over the slots of a table of prime size. The shards
 take turns; each claims the first slot of its order that is still free, until the table is
 full. Shares differ by one slot at most, and a shard that joins or leaves moves little else.
-A row's slot is a hash of its key, so placement is one lookup, by an index into an array
-that travels with the plan: 4 bytes a slot, and the table's size is a parameter.
+A row's slot is a hash of its key, so placement is one lookup in a broadcast table of one row
+a slot, whose size is a parameter and no matter of the input.
 
 Defined results: a null key is placed by a key of its own. Repeated rows go to the same
 shard. With `spread`, keys that hold more than that many rows are salted over as many slots
-as they need. Extra columns stay.
+as they need, by a hash of their columns. Extra columns stay, whatever their names; an input's
+own columns `slot` and `shard` are replaced, but may be the key. Empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -62,16 +63,19 @@ def assign_shards(df: DataFrame, key: str, shards: Sequence[str], slots: int = S
     `spread`: a key with more rows than that is salted by ceil(rows / spread); its rows are
     dealt by a hash of all columns. Heavy keys are found by a combining count."""
     table = lookup_table(shards, slots, weights)
-    row_key = F.col(key).cast("string")
+    taken = {c.lower() for c in df.columns}
+    own = lambda name: next(x for x in (name + "_" * n for n in range(len(taken) + 1)) if x not in taken)
+    k, n, salt, slot, name = map(own, ("key_of_row", "salts", "salt", "slot_of_row", "shard_of_row"))
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in ("slot", "shard")]
+    rows = df.withColumn(k, F.col(f"`{key}`").cast("string"))
     if spread:
-        heavy = df.groupBy(F.col(key).alias("__k")).count().where(F.col("count") > spread).select("__k", F.ceil(F.col("count") / spread).alias("__n"))
-        df = df.join(heavy, F.col(key).eqNullSafe(F.col("__k")), "left").withColumn("__s", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.coalesce("__n", F.lit(1))))
-        row_key = F.when(F.col("__s") > 0, F.concat(F.coalesce(row_key, F.lit("\x00null")), F.lit("\x00"), F.col("__s").cast("string"))).otherwise(row_key)
-    spark = df.sparkSession
-    placed = df.withColumn("slot", slot_of(row_key, slots)).drop("__k", "__n", "__s")
+        heavy = rows.groupBy(k).count().where(F.col("count") > spread).select(F.col(k).alias(k + "h"), F.ceil(F.col("count") / spread).alias(n))
+        rows = rows.join(heavy, F.col(k).eqNullSafe(F.col(k + "h")), "left").withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.coalesce(n, F.lit(1))))
+        rows = rows.withColumn(k, F.when(F.col(salt) > 0, F.concat(F.coalesce(k, F.lit("\x00null")), F.lit("\x00"), F.col(salt).cast("string"))).otherwise(F.col(k)))
     # `slots` rows of 12 bytes: a size that no input changes
-    look = spark.createDataFrame([(i, shards[s]) for i, s in enumerate(table)], "slot int, shard string").coalesce(1)
-    return placed.join(F.broadcast(look), "slot", "left").select(*[c for c in df.columns if not c.startswith("__")], "slot", "shard")
+    look = df.sparkSession.createDataFrame([(i, shards[x]) for i, x in enumerate(table)], f"{slot} int, {name} string").coalesce(1)
+    placed = rows.withColumn(slot, slot_of(F.col(k), slots)).join(F.broadcast(look), slot, "left")
+    return placed.select(*rest, F.col(slot).alias("slot"), F.col(name).alias("shard"))
 
 
 def write_shards(df: DataFrame, path: str) -> None:
