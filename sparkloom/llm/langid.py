@@ -9,11 +9,11 @@ a symbol of its own; transitions by the SYMBOLS - 2 most frequent ones are a den
 all others sorted keys. Texts are parsed in stretches of STRETCH symbols, each from the
 automaton's root.
 
-The sample is bounded by documented parameters (texts and symbols per language). It is taken
-by hash order of the ids, repeated texts once. Predictions read whole texts.
+The sample is bounded by documented parameters (languages, texts and symbols per language). It
+is taken by hash order of the ids, repeated texts once. Predictions read whole texts.
 
 Defined results: a null text or one without a letter is `und` with score 0. With no labelled
-rows every text is `und`. Ties go to the language that sorts first. Repeated rows get
+rows every text is `und`, and keep_identified keeps those with a letter. Ties go to the language that sorts first. Repeated rows get
 repeated results; null labels are not learned.
 """
 
@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -200,21 +201,27 @@ class Model:
         return [self.languages[b] if x else "und" for b, x in zip(best, some, strict=True)], np.where(some, score, 0.0)
 
 
-def fit(docs: DataFrame, learn: F.Column, texts: int = 256, symbols: int = 100_000, each: int = 24_000, per_text: int = 2_000) -> Model:
-    """The samples of every language among rows where `learn` holds: of up to `texts` texts in
-    hash order of their ids, `per_text` code points each from a place that the text's hash
-    names, `each` a language, `symbols` in all.
-    A task keeps `texts` rows of a language before anything is shuffled."""
+def fit(docs: DataFrame, learn: F.Column, texts: int = 256, symbols: int = 100_000, each: int = 24_000, per_text: int = 2_000, languages: int = 256) -> Model:
+    """The samples of the `languages` most frequent languages among rows where `learn` holds: of
+    up to `texts` texts in hash order of their ids, `per_text` code points each from a place
+    that the text's hash names, `each` a language, `symbols` in all.
+    A task keeps `texts` rows of a language before anything is shuffled; what the driver gets
+    is cut to the samples' length first: `symbols` and a text a language at most."""
+    known = docs.where(learn).where("lang is not null and text is not null")
+    names = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect())
+    most = min(each, symbols // max(1, len(names)))
     start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - per_text, F.lit(0)) + 1) + 1
-    rows = docs.where(learn).where("lang is not null and text is not null").select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", start.cast("int"), F.lit(per_text)).alias("t"))
+    rows = known.where(F.col("lang").isin(names)).select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", start.cast("int"), F.lit(per_text)).alias("t"))
     w = Window.partitionBy("lang").orderBy("h", "t")
-    got = rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= texts).select("lang", "k", "t").collect()
-    by: dict[str, dict[str, None]] = {}
-    for r in sorted(got, key=lambda r: (r["lang"], r["k"])):
-        by.setdefault(r["lang"], {})[r["t"]] = None
-    languages = sorted(by)
-    most = min(each, symbols // max(1, len(languages)))
-    return Model(languages, ["\x00".join(by[x])[:most] for x in languages])
+    first = rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= texts)
+    # repeated texts once, then as many as fill the sample
+    once = first.groupBy("lang", "t").agg(F.min("k").alias("k"))
+    before = F.coalesce(F.sum(F.length("t") + 1).over(Window.partitionBy("lang").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    got = once.withColumn("before", before).where(F.col("before") < most).select("lang", "k", "t").collect()
+    by: dict[str, list[str]] = {x: [] for x in names}
+    for r in sorted(got, key=lambda r: r["k"]):
+        by[r["lang"]].append(r["t"])
+    return Model(names, ["\x00".join(by[x])[:most] for x in names])
 
 
 def _model_of(model: Model) -> Model | None:
@@ -247,13 +254,21 @@ def identify_language(docs: DataFrame, learn: F.Column | None = None, **bounds:
 
 
 def keep_identified(docs: DataFrame, learn: F.Column | None = None, **bounds: int) -> DataFrame:
-    """The rows of `docs`, all columns, whose text is in some language; `und` goes. No shuffle."""
+    """The rows of `docs`, all columns, whose text has letters, so that a language can be told; the others go.
+
+    A null `lang` becomes the language that the text is in. No shuffle."""
     learn = F.crc32(F.col("doc_id").cast("string")) % 5 != 0 if learn is None else learn
     model = fit(docs, learn, **bounds)
+    lang = docs.columns.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, 2 << 20):
-                yield b.filter(pa.array([x != "und" for x in _predict(model, b)[0]], pa.bool_()))
+                if not model.languages:
+                    yield b.filter(pa.array([any(map(str.isalpha, t or "")) for t in b.column("text").to_pylist()], pa.bool_()))
+                    continue
+                names = pa.array(_predict(model, b)[0], pa.string())
+                filled = b.set_column(lang, b.schema.field(lang), pc.coalesce(b.column(lang), names.cast(b.schema.field(lang).type)))
+                yield filled.filter(pc.not_equal(names, "und"))
 
     return docs.mapInArrow(run, docs.schema)
