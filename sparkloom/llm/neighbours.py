@@ -155,7 +155,7 @@ def search(tree: Tree, vectors: np.ndarray, ids: np.ndarray, query: np.ndarray,
     for near, rows in tree.leaves(projected):
         if near > worst * worst * stop:
             break
-        d = np.sqrt(((vectors[rows] - query) ** 2).sum(1))
+        d = np.sqrt(np.cumsum((vectors[rows] - query) ** 2, axis=1)[:, -1])  # summed from left to right, as SQL does
         close = d <= worst
         if close.any():
             best = sorted([*best, *zip(d[close].tolist(), ids[rows][close].tolist(), strict=True)])[:k]

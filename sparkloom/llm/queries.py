@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
@@ -19,9 +20,12 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+SHARDS = [f"shard-{i:03d}" for i in range(128)]
+
+
 def op2_permutation_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id")
-    return sharding.assign_shards(docs, "doc_id", [f"shard-{i:03d}" for i in range(128)])
+    return sharding.assign_shards(docs, "doc_id", SHARDS)
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +61,43 @@ def op10_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {k: f for k, f in globals().items() if re.match(r"op\d+_", k)}
+
+
+def _op2_sql() -> str:
+    """The lookup table as a literal: the shards' numbers in the order of the slots."""
+    table = ",".join(map(str, sharding.lookup_table(SHARDS)))
+    return f"""WITH look AS (SELECT unnest(range({sharding.SLOTS}))::INT AS slot, unnest(string_split('{table}', ',')) AS n),
+    d AS (SELECT doc_id, (('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT % {sharding.SLOTS})::INT AS slot FROM documents)
+    SELECT doc_id, d.slot, 'shard-' || lpad(n, 3, '0') AS shard FROM d JOIN look USING (slot)"""
+
+
+#: Exact similarities of all pairs that share a shingle; classes by following links to the end.
+_OP1_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+    s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+    k AS (SELECT doc_id, len(s) AS n, md5(array_to_string(list_sort(s), chr(10))) AS same, s FROM s),
+    one AS (SELECT doc_id, unnest(s) AS g FROM k),
+    links AS (SELECT x.a, x.b FROM (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS held FROM one a JOIN one b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL) x JOIN k p ON p.doc_id = a JOIN k q ON q.doc_id = b WHERE 5 * held >= 4 * (p.n + q.n - held)),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM k UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+    class AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a), n AS (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a)
+    SELECT k.doc_id, class_id, coalesce(n_links, 0) AS n_links, CASE WHEN n = 0 THEN k.doc_id ELSE min(k.doc_id) OVER (PARTITION BY same, n) END AS copy_of, n AS n_shingles, count(*) OVER (PARTITION BY k.doc_id) AS n_rows FROM k JOIN class USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+#: Every window as a row; removed runs as islands, what is left as the pieces between them. Two hexadecimal digits are a byte.
+_OP3_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    c AS (SELECT doc_id, o, substr(h, 2 * o + 1, 1198) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99, 500)) AS o FROM d)),
+    w AS (SELECT doc_id, p, row_number() OVER (PARTITION BY substr(s, 2 * (p - o) + 1, 200) ORDER BY doc_id, p) AS r FROM (SELECT doc_id, o, s, unnest(range(o, o + length(s) // 2 - 99)) AS p FROM c)),
+    l AS (SELECT doc_id, p, sum(CASE WHEN p > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM (SELECT doc_id, p, lag(p, 1, p - 1000) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM w WHERE r > 1)),
+    i AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM l GROUP BY doc_id, island),
+    k AS (SELECT doc_id, h, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM i JOIN d USING (doc_id)),
+    g AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS head, max(b) AS last FROM k GROUP BY doc_id)
+    SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)"""
+
+#: Every query against every vector, distances summed from left to right.
+_OP8_SQL = """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+    p AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(c.e, q.e), lambda x: (x[1] - x[2]) * (x[1] - x[2])), lambda s, y: s + y)) AS score FROM v q, v c WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank FROM p)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_ngram_jaccard_join": _OP1_SQL, "op2_permutation_sharding": _op2_sql(), "op3_suffix_array_dedup": _OP3_SQL, "op8_stable_projection_search": _OP8_SQL}
