@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -13,7 +14,9 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from sparkloom.llm import decontamination, jaccard, katz, langid, licenses, packing, quality, sharding, substrings, suffix_array
-from sparkloom.llm.common import components, utf8
+from sparkloom.llm.common import components, rolling_hash, same_spans, span_hash, utf8
+
+from tests.llm.conftest import words
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -39,7 +42,10 @@ def test_near_duplicates(docs, no_docs, corpus):
     got = by_id(jaccard.near_duplicates(docs))
     assert {d: (r["class_id"], r["n_links"]) for d, r in got.items()} == {i: (find(i), links[i]) for i in range(len(sets))}
     assert any(links.values()) and jaccard.near_duplicates(no_docs).count() == 0
-    assert (1 - 0.8 ** jaccard.stop_depth()) ** jaccard.TREES < 1e-6
+    forest = jaccard.Forest()
+    assert forest.shortest == 4 and forest.found(0.8, 4) >= forest.recall > forest.found(0.8, 5)
+    with pytest.raises(ValueError):
+        jaccard.Forest(0.05, 0.99999).shortest
 
 
 def test_large_groups_are_cut_into_blocks(spark, monkeypatch, docs):
@@ -274,7 +280,7 @@ def test_katz(docs, no_docs, corpus, monkeypatch, hot):
     for h in uni:
         seen = {w: n for (x, w), n in bi.items() if x == h}
         probs = {w: float(katz.discounted(np.array([n]), d2)[0]) / uni[h] for w, n in seen.items()}
-        scale = uni[h] / (uni[h] + 1) if uni[h] > hot or sum(probs.values()) > 1 - 1e-9 else 1
+        scale = uni[h] / (uni[h] + 1) if sum(probs.values()) > 1 - 1e-9 else 1
         pair |= {(h, w): x * scale for w, x in probs.items()}
         weight[h] = (1 - sum(probs.values()) * scale) / (1 - sum(map(p, seen)))
         assert sum(pair[h, w] for w in seen) + weight[h] * (1 - sum(map(p, seen))) == pytest.approx(1)
@@ -283,7 +289,7 @@ def test_katz(docs, no_docs, corpus, monkeypatch, hot):
         r = got[d]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (not learn[d], len(w), sum(x in uni for x in w), sum(uni.values()))
         assert r["base_score"] == pytest.approx(sum(math.log10((uni[x] + 0.1) / (words.total + 0.1 * (words.kinds + 1))) for x in w))
-        assert r["score"] == pytest.approx(sum(math.log10(pair.get((h, x)) or weight.get(h, 1.0) * p(x)) for h, x in zip([None, *w[:-1]], w)), rel=1e-5)
+        assert r["score"] == pytest.approx(sum(math.log10(pair.get((h, x)) or weight.get(h, 1.0) * p(x)) for h, x in zip([None, *w[:-1]], w)), rel=1e-11)
     assert katz.score_documents(no_docs).count() == 0
 
 
@@ -336,3 +342,196 @@ def test_neighbours(spark, monkeypatch, block):
     assert twice.count() == 600 == twice.select("query_id", "vec_id").distinct().count()
     few = neighbours.nearest_neighbours(df.where("vec_id < 3"), F.col("vec_id") == 0).collect()
     assert [r["rank"] for r in few] == [1, 2] and neighbours.nearest_neighbours(df.where("vec_id = 2001"), F.lit(True)).count() == 0
+
+
+def parity_words(n):
+    """Two words of n letters, letter i by the parity of the set bits of i: polynomials modulo 2^64 take them for one."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_hashes_that_collide_decide_nothing(spark):
+    rng = np.random.default_rng(9)
+    some = rng.integers(97, 123, (50_000, 48)).astype(np.uint8)
+    anchor = some[int(np.argmin([int(rolling_hash(x, 48)[0]) for x in some]))].tobytes().decode()
+    texts = ["".join(anchor + w[i] + f"{i:03d}" for i in range(512)) + anchor for w in parity_words(512)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = repeats(enumerate(texts), 100)
+    assert want[1][1] == 0 and {i: tuple(r)[1:] for i, r in by_id(substrings.remove_repeats(d)).items()} == want
+    one, two = parity_words(4096)
+    h = span_hash(np.frombuffer((one + two).encode(), np.uint8), np.array([0, 4096]), np.array([4096, 8192]))
+    assert h[0] != h[1]
+    import tokenizers
+
+    tok = tokenizers.Tokenizer.from_file(VOCABULARY)
+    words = packing.WordPieces(VOCABULARY)
+    got, edge = words.ids(*utf8(pa.array([one, two, f"{two} {one}"])), 1)
+    assert [got[a : b - 1].tolist() for a, b in zip(edge[:-1], edge[1:])] == [tok.encode(x, add_special_tokens=False).ids for x in (one, two, f"{two} {one}")]
+    rows = [(i, one) for i in range(1, 9)] + [(100, two)]
+    learn = F.col("doc_id") < 100
+    got = by_id(katz.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), learn))
+    assert got[100]["n_known"] == 1 and got[1]["n_known"] == 2 and got[1]["train_tokens"] == 16
+    same = by_id(jaccard.near_duplicates(spark.createDataFrame([(1, one + " x y z q"), (2, two + " x y z q")], "doc_id long, text string")))
+    assert [same[i]["class_id"] for i in (1, 2)] == [1, 2]
+
+
+def test_spans_are_told_apart():
+    rng = np.random.default_rng(5)
+    data = rng.integers(97, 99, 5000).astype(np.uint8)
+    start = rng.integers(0, 4000, 3000)
+    size = rng.integers(0, 90, 3000)
+    h = span_hash(data, start, start + size)
+    raw = data.tobytes()
+    by = {}
+    for i, (s, n) in enumerate(zip(start.tolist(), size.tolist())):
+        assert by.setdefault(raw[s : s + n], h[i]) == h[i]
+    assert len(set(by.values())) == len(by)
+    other = rng.integers(0, 4000, 3000)
+    assert same_spans(data, start, other, size).tolist() == [raw[a : a + n] == raw[b : b + n] for a, b, n in zip(start, other, size)]
+
+
+def test_packing_with_another_kind_of_vocabulary():
+    import tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    words, tok = packing.WordPieces(path), tokenizers.Tokenizer.from_file(path)
+    texts = ["Case Matters here  and  spaces", None, "a b"]
+    got, edge = words.ids(*utf8(pa.array(texts)), 7)
+    assert words.whole and [got[a:b].tolist() for a, b in zip(edge[:-1], edge[1:])] == [[*tok.encode(t or "", add_special_tokens=False).ids, 7] for t in texts]
+
+
+def test_repeats_in_long_texts_and_hot_passages(spark, monkeypatch):
+    rng = random.Random(3)
+    passage = words(rng, 40)[:140]
+    texts = ["a" * 300_000, "xy" * 3000, *(words(rng, 6) + passage + words(rng, 6) for _ in range(300)), "b" * 150 + "a" * 120]
+    want = repeats(enumerate(texts), 100)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert want[0][1] == 299_999
+    for windows in (substrings.WINDOWS, 700):
+        monkeypatch.setattr(substrings, "WINDOWS", windows)
+        assert {i: tuple(r)[1:] for i, r in by_id(substrings.remove_repeats(d, hot=20_000)).items()} == want
+
+
+def test_forest_finds_pairs_at_the_threshold(spark):
+    rng = random.Random(8)
+    texts = []
+    for k in range(60):
+        w = words(rng, 160).split()
+        texts.append(" ".join(w))
+        for n in (1, 2, 3, 4):  # similarities of 0.94 down to 0.77
+            v = list(w)
+            for i in rng.sample(range(10, 150), n):
+                v[i] = f"q{rng.random()}"
+            texts.append(" ".join(v))
+    sets = [frozenset(x.tolist()) for x in jaccard.shingle_sets(*utf8(pa.array(texts)))]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if i // 5 == j // 5 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    links = collections.Counter(x for pair in near for x in pair)
+    got = by_id(jaccard.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert len(near) > 200 and {i: r["n_links"] for i, r in got.items()} == {i: links[i] for i in range(len(texts))}
+
+
+def test_prefixes_shrink_only_where_recall_is_short():
+    forest = jaccard.Forest(recall=0.999)
+    assert forest.shortest == 6 and forest.estimate(np.array([0, 1, 50]), np.array([1.0, 0.95, 0.95]), 7).tolist() == sorted(forest.estimate(np.array([0, 1, 50]), np.array([1.0, 0.95, 0.95]), 7))
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 16, jaccard.TREES * jaccard.DEPTH).astype(np.uint16)
+    close = np.tile(base, (40, 1))
+    close[:, 100:] = np.where(rng.random((40, 96)) < 0.05, 7, close[:, 100:])  # near copies; equal in the first tries
+    edge = base.copy()
+    edge[6], edge[60:90] = 1, 2  # shares six values of the first trie, and 0.84 of all
+    all_ = np.vstack([close, edge])
+    links = jaccard.walk_trie(forest, np.arange(41), all_, 0)
+    assert len(links) == 40 and forest.estimate(np.array([39]), np.array([0.9]), 7)[0] >= forest.recall > forest.estimate(np.array([0]), np.array([1.0]), 7)[0]
+    strict = jaccard.Forest(recall=0.9)
+    assert strict.shortest == 7 and len(jaccard.walk_trie(strict, np.arange(41), all_, 0)) == 39
+
+
+def test_sharding_keeps_columns_of_any_name(spark):
+    names = [f"s{i}" for i in range(3)]
+    d = spark.createDataFrame([(1, "a", 5, "x", "y"), (2, "b", 6, None, "z")], "doc_id long, shard string, slot int, __k string, key_of_row string")
+    got = sharding.assign_shards(d, "doc_id", names, 101, spread=1)
+    assert got.columns == ["doc_id", "__k", "key_of_row", "slot", "shard"] and {r["shard"] for r in got.collect()} <= set(names)
+    by_shard = sharding.assign_shards(d, "shard", names, 101).collect()
+    assert {r["doc_id"]: r["slot"] for r in by_shard} == {i: int(hashlib.md5(k.encode()).hexdigest()[:15], 16) % 101 for i, k in ((1, "a"), (2, "b"))}
+    assert sharding.assign_shards(d.where("doc_id < 0"), "doc_id", names, 101).count() == 0
+
+
+def test_decontamination_against_brute_force(spark):
+    """Every item against every document: whole items that stand in a document word for word, in any case, are found; documents without a window of an item's words or its frame are not."""
+    rng = random.Random(12)
+    items = {i: words(rng, rng.choice([1, 2, 3, 5, 9, 14, 30])) + (" 7 of 9" if i % 4 == 0 else "") for i in range(60)}
+    texts, planted = {}, set()
+    for d in range(200):
+        t = [words(rng, rng.randint(0, 40))]
+        for i in rng.sample(sorted(items), rng.choice([0, 0, 1, 2])):
+            t += [items[i].upper() if rng.random() < 0.3 else items[i], words(rng, rng.randint(0, 9))]
+        texts[d] = ". ".join(t)
+    split = lambda t: re.findall(r"[0-9a-zé]+", t.lower())
+    spans = {d: {tuple(w[k : k + n]) for n in range(1, 9) for k in range(len(w) - n + 1)} for d, t in texts.items() for w in [split(t)]}
+    want = {(d, i) for i, t in items.items() for w in [split(t)] for n in [min(len(w), 8)] for d in texts if any(tuple(w[k : k + n]) in spans[d] for k in range(len(w) - n + 1))}
+    got = set(contaminated(spark, texts, items)) | planted
+    assert want <= got and len(want) > 100
+    frame = lambda w: tuple("#" if x[0].isdigit() else x for x in w)
+    frames = {d: {frame(s) for s in x} for d, x in spans.items()}
+    for d, i in got - want:  # template hits: the frame has to stand there
+        w = split(items[i])
+        assert any(frame(w[k : k + min(len(w), 8)]) in frames[d] for k in range(len(w)))
+    doubled = spark.createDataFrame([(i, t, "x", 1) for i, t in [*texts.items(), *texts.items()]], "doc_id long, text string, item_id string, h long")
+    clash = spark.createDataFrame([(i, t, "d", True) for i, t in items.items()], "item_id long, text string, doc_id string, lit boolean")
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.find_contamination(doubled, clash).collect()} == got
+
+
+def test_quality_against_a_plain_discriminant(spark, corpus):
+    rng = random.Random(2)
+    rows = [(i, words(rng, rng.randint(1, 60)) + ("!! $$ 12 " * rng.randint(0, 3) if i % 2 else ". ")) for i in range(240)] + [(500, words(rng, 20_000)), (501, ""), (502, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = [(i, int(i % 2 == 0)) for i in range(240)] + [(4, 1)] * 3  # a repeated labelled row counts as often
+    got = by_id(quality.classify_quality(d, spark.createDataFrame(labels, "doc_id long, quality int")))
+    x = quality.statistics(*utf8(pa.array([t for _, t in rows], pa.string())))
+    at = {i: k for k, (i, _) in enumerate(rows)}
+    learned = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 5]
+    part = [np.array([x[at[i]] for i, y in learned if y == k]) for k in (0, 1)]
+    cov = [np.cov(p.T, bias=True) for p in part]
+    n = [len(p) for p in part]
+    pooled = sum(c * m for c, m in zip(cov, n)) / sum(n)
+    log = []
+    for k in (0, 1):
+        lam = max(0.3, quality.DIM / (quality.DIM + n[k]))
+        c = (1 - lam) * cov[k] + lam * pooled
+        c = 0.9 * c + 0.1 * np.diag(np.diag(c)) + 1e-4 * np.eye(quality.DIM)
+        z = x - part[k].mean(0)
+        log.append(np.log((n[k] + 1) / (sum(n) + 2)) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ij,jk,ik->i", z, np.linalg.inv(c), z))
+    want = 1 / (1 + np.exp(-np.clip(log[1] - log[0], -500, 500)))
+    assert all(got[i]["score"] == pytest.approx(want[k], rel=1e-5, abs=1e-9) and got[i]["predicted"] == int(got[i]["score"] >= 0.3) for i, k in at.items())
+
+
+def test_language_by_plain_parsing(spark):
+    """Whole predictions against longest matches found by substring search."""
+    rng = random.Random(6)
+    alphabet = {"aa": ["ka", "lo", "mi"], "bb": ["ko", "la", "me"], "cc": ["ki", "lu", "ma"]}
+    rows = [(i, " ".join("".join(rng.choice(alphabet[k]) for _ in range(3)) for _ in range(rng.randint(2, 30))), k) for i in range(150) for k in [list(alphabet)[i % 3]]]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learn = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
+    model = langid.fit(d, learn, each=400)
+    assert all(len(s) <= 400 for s in model.samples) and len(langid.fit(d, learn, languages=2).languages) == 2
+    got = by_id(langid.identify_language(d, each=400))
+    for i, t, _ in rows:
+        rate = []
+        for s in model.samples:
+            s = re.sub("[^a-z]+", " ", s)
+            pieces = 0
+            for at in range(0, len(t), langid.STRETCH):
+                part, p = t[at : at + langid.STRETCH], 0
+                while p < len(part):
+                    p, pieces = p + max([n for n in range(1, len(part) - p + 1) if part[p : p + n] in s], default=1), pieces + 1
+            rate.append(pieces * math.log2(max(len(s), 2)) / len(t))
+        assert got[i]["lang_pred"] == model.languages[int(np.argmin(rate))]
+
+
+def test_what_language_keeps(spark):
+    rows = [(1, "plain words", None), (2, "12 !!", None), (3, None, "aa"), (4, "ß", "zz")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in langid.keep_identified(d.where("doc_id < 3").withColumn("lang", F.lit(None).cast("string"))).collect()} == {1}
+    learned = d.unionByName(spark.createDataFrame([(i, "plain words of this language", "aa") for i in range(10, 30)], d.schema))
+    got = by_id(langid.keep_identified(learned))
+    assert {1, 4} <= set(got) and not {2, 3} & set(got) and got[1]["lang"] == "aa" and got[4]["lang"] == "zz"
