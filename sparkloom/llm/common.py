@@ -33,6 +33,9 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 _SETTING = threading.Lock()
+#: Parquet looks at its buffers after a hundred rows unless told otherwise; rows of packed
+#: columns may hold a megabyte each.
+_PAGES = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size": str(16 << 20)}
 _SCOPES: list[list[Written]] = []
 
 
@@ -48,7 +51,7 @@ class Written:
             kept = self.spark.conf.get(key, "false")
             self.spark.conf.set(key, "true")
             try:
-                df.write.parquet(self.path)
+                df.write.options(**_PAGES).parquet(self.path)
             finally:
                 self.spark.conf.set(key, kept)
         jvm = self.spark._jvm
