@@ -40,9 +40,10 @@ _SCOPES: list[list[Written]] = []
 
 
 class Written:
-    """A table in the shared folder. It cuts lineage and survives lost executors; drop() frees it, JVM exit does otherwise."""
+    """A table in the shared folder. It cuts lineage and survives lost executors; drop() frees
+    it, or what of it has a value of the column `by`; JVM exit does otherwise."""
 
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, by: str | None = None):
         self.spark = df.sparkSession
         self.path = f"{scratch_root(self.spark)}/sparkloom-{uuid.uuid4().hex}"
         # shuffle files are of no use once the table stands
@@ -51,7 +52,7 @@ class Written:
             kept = self.spark.conf.get(key, "false")
             self.spark.conf.set(key, "true")
             try:
-                df.write.options(**_PAGES).parquet(self.path)
+                df.write.options(**_PAGES).partitionBy(*([by] if by else [])).parquet(self.path)
             finally:
                 self.spark.conf.set(key, kept)
         jvm = self.spark._jvm
@@ -60,16 +61,21 @@ class Written:
         self._fs.deleteOnExit(self._where)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
-    def drop(self) -> None:
-        self._fs.delete(self._where, True)
+    def drop(self, part: str | None = None) -> None:
+        where = self._where if part is None else self.spark._jvm.org.apache.hadoop.fs.Path(self._where, part)
+        self._fs.delete(where, True)
 
 
-def written(df: DataFrame) -> DataFrame:
+def table(df: DataFrame, by: str | None = None) -> Written:
     """A table that the current scratch scope drops, JVM exit where there is none."""
-    t = Written(df)
+    t = Written(df, by)
     if _SCOPES:
         _SCOPES[-1].append(t)
-    return t.df
+    return t
+
+
+def written(df: DataFrame) -> DataFrame:
+    return table(df).df
 
 
 @contextmanager

@@ -16,7 +16,7 @@ back what the shard knows of them, in the same order; so an exchange carries eac
 word or pair of a block once, and no row per token. Contexts that hold a large share of all
 tokens are salted over several shards by the word that follows; their sums are added up and
 travel to all executors, at most HOT_CONTEXTS of them. That is a matter of the route alone:
-all contexts get their probabilities and weights by one rule. Words go by 128-bit hashes.
+all contexts get their probabilities and weights by one rule. Words go by 96-bit hashes.
 
 Defined results: null and empty texts are one end. Rows with a null id are scored and not
 learned. With nothing to learn from, every token is unknown with probability 1. Repeated rows
@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import LOWER, WHITE, dealt, mix64, pack, runs, shard_count, slices, span_hash, text_volume, unpack, utf8, word_spans, written
+from sparkloom.llm.common import LOWER, WHITE, dealt, mix64, pack, runs, shard_count, slices, span_hash, table, text_volume, unpack, utf8, word_spans, written
 
 CUT = 5
 BLOCK_BYTES = 4 << 20
@@ -44,7 +44,7 @@ HOT_CONTEXTS = 1_000_000
 HOT_LEAST = 1 << 18
 #: Text bytes whose words, pairs and blocks go to one task.
 TASK_WORDS, TASK_PAIRS, TASK_BLOCKS = 96 << 20, 32 << 20, 32 << 20
-_END = np.array([0x5851F42D4C957F2D, 0x14057B7EF767814F], np.uint64)
+_END = (0x5851F42D4C957F2D, 0x14057B7E)
 
 
 # ---------------------------------------------------------------- the model's numbers
@@ -125,10 +125,10 @@ def _word_shard(h: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _different(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of 128-bit hashes: where each different one stands first, sorted by their high halves, and which one each is."""
+    """Of hashes in two parts: where each different one stands first, sorted by the high parts, and which one each is."""
     _, one, which = np.unique(high, return_index=True, return_inverse=True)
     if (low != low[one][which]).any():
-        _, one, which = np.unique(np.stack([high, low], axis=1), axis=0, return_index=True, return_inverse=True)
+        _, one, which = np.unique(np.stack([high, low.astype(np.uint64)], axis=1), axis=0, return_index=True, return_inverse=True)
     return one, which
 
 
@@ -145,15 +145,17 @@ def _read(shards: int):
                 ends = np.cumsum(per + 1) - 1
                 real = np.ones(len(s) + len(per), bool)
                 real[ends] = False
-                high, low_half = (np.full(len(real), x, np.uint64) for x in _END)
-                high[real], low_half[real] = span_hash(low, s, e), span_hash(low, s, e, 1)
+                high, rest = np.full(len(real), _END[0], np.uint64), np.full(len(real), _END[1], np.uint32)
+                high[real], rest[real] = span_hash(low, s, e), span_hash(low, s, e, 1)
                 learn = b.column("learn").to_numpy(zero_copy_only=False).astype(bool)
-                one, token = _different(high, low_half)
+                one, token = _different(high, rest)
                 words = high[one]
                 count = np.bincount(token[np.repeat(learn, per + 1)], minlength=len(words))
                 ids = b.column("doc_id")
                 state = pack(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), np.asarray(ids.is_valid()).astype(np.uint8), learn.astype(np.uint8), (per + 1).astype(np.uint64), token.astype(np.uint32), token[ends[:1]].astype(np.uint32))
-                yield _rows([(block, STATE, state), *_by_shard(block, _word_shard(words, shards), words, low_half[one], count)])
+                shard = _word_shard(words, shards)
+                step = np.where(np.diff(shard, prepend=-1) != 0, words, np.diff(words, prepend=np.uint64(0)))
+                yield _rows([(block, STATE, state), *_by_shard(block, shard, step, rest[one], count)])
                 block += 1
 
     return run
@@ -172,14 +174,14 @@ def _count_words(group: pa.Table) -> pa.Table:
     """A word shard: every block gets its words' numbers and total counts."""
     shard = group.column("shard")[0].as_py()
     parts = [unpack(b) for b in group.column("blob").to_pylist()]
-    one, at = _different(np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]))
+    one, at = _different(np.concatenate([np.cumsum(x[0]) for x in parts]), np.concatenate([x[1] for x in parts]))
     total = np.zeros(len(one), np.int64)
     np.add.at(total, at, np.concatenate([x[2] for x in parts]))
     rows, end = [], 0
     for block, x in zip(group.column("block").to_pylist(), parts, strict=True):
         own = at[end : end + len(x[0])]
         end += len(x[0])
-        rows.append((block, shard, pack(own.astype(np.uint64), total[own].astype(np.uint64)), None))
+        rows.append((block, shard, pack(np.diff(own, prepend=0), total[own].astype(np.uint64)), None))
     rows[0] = (*rows[0][:3], _stats(total))
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ANSWER, strict=True)], schema=_ANSWER)
 
@@ -201,7 +203,7 @@ class Block:
         self.per = per.astype(np.int64)
         answers = sorted((s, x) for s, x in rows if s != STATE)
         parts = [unpack(x) for _, x in answers]
-        self.number = np.concatenate([x[0] + np.uint64(s << 32) for (s, _), x in zip(answers, parts, strict=True)])
+        self.number = np.concatenate([np.cumsum(x[0]).astype(np.uint64) + np.uint64(s << 32) for (s, _), x in zip(answers, parts, strict=True)])
         self.count = np.concatenate([x[1] for x in parts]).astype(np.int64)
         self.end = int(end[0])
 
@@ -278,29 +280,40 @@ class Pairs:
         return context[first], of_context[first], np.add.reduceat(p, first), np.add.reduceat(lower * (n > 0), first), each, p, n, lower
 
     def settle(self, size: np.ndarray, seen: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """By context, from its count and whole sums: what its probabilities are scaled by, and its backoff weight."""
-        scale = np.where((size > 0) & (seen > 1 - 1e-9), size / (size + 1), 1.0)
-        return scale, np.where(size > 0, np.maximum(1 - seen * scale, 0) / np.maximum(1 - below, self.words.unknown), 1.0)
+        """By context, from its count and whole sums: whether one more follower is reserved, and its backoff weight."""
+        full = (size > 0) & (seen > 1 - 1e-9)
+        seen = np.where(full, seen * size / (size + 1), seen)
+        return full, np.where(size > 0, np.maximum(1 - seen, 0) / np.maximum(1 - below, self.words.unknown), 1.0)
+
+    def log10(self, n: np.ndarray, of_word: np.ndarray, of_context: np.ndarray, full: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """log10 P(w | h) of pairs, from their counts, their words' and contexts' counts and what settle says."""
+        p = discounted(n, self.d) / np.maximum(of_context + full, 1)
+        with np.errstate(divide="ignore"):
+            return np.log10(np.where(n > 0, p, weight * self.words.p(of_word)))
 
 
 def _answer_pairs(model: Pairs, salted: tuple[np.ndarray, np.ndarray, np.ndarray]):
-    """Every block gets log10 P(w | h) of its pairs; `salted`: numbers and whole sums of the contexts that lie in several shards."""
+    """Every block gets the counts of its pairs, and of each of their contexts the backoff weight and whether a follower is reserved.
+
+    `salted`: numbers and whole sums of the contexts that lie in several shards."""
     numbers, seen_of, below_of = salted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                context, size, seen, below, each, p, n, lower = model.weigh(blob)
+                context, size, seen, below, each, _, n, _ = model.weigh(blob)
                 hot = size > model.hot
                 at = np.searchsorted(numbers, context[hot])
                 seen[hot], below[hot] = seen_of[at], below_of[at]
-                scale, weight = model.settle(size, seen, below)
-                with np.errstate(divide="ignore"):
-                    log = np.log10(np.where(n > 0, p * np.repeat(scale, each), np.repeat(weight, each) * lower))
+                full, weight = model.settle(size, seen, below)
+                of = np.repeat(np.arange(len(size)), each)
                 *_, blocks, sizes, at = unpack(blob)
                 at = np.cumsum(at)
                 ends = np.cumsum(sizes)
-                yield _rows([(int(b), shard, pack(log[at[e - k : e]])) for b, k, e in zip(blocks, sizes, ends, strict=True)])
+                for b, k, e in zip(blocks.tolist(), sizes.tolist(), ends.tolist(), strict=True):
+                    own = at[e - k : e]
+                    first = of[own][runs(of[own])[:-1]]
+                    yield _rows([(b, shard, pack(n[own].astype(np.uint64), weight[first], full[first].astype(np.uint8)))])
 
     return run
 
@@ -323,8 +336,12 @@ _SCORE = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens
 def _score(model: Pairs, shards: int):
     def run(state: pa.Table, answers: pa.Table) -> pa.Table:
         b = Block(_table_rows(state))
-        *_, pair = b.pairs(shards, model.hot)
-        log = np.concatenate([unpack(x)[0] for _, x in sorted(_table_rows(answers))])
+        shard, context, word, _, pair = b.pairs(shards, model.hot)
+        n, weight, full = (np.concatenate(x) for x in zip(*(unpack(x) for _, x in sorted(_table_rows(answers))), strict=True))
+        new = np.ones(len(n), bool)
+        new[1:] = (shard[1:] != shard[:-1]) | (context[1:] != context[:-1])
+        of = np.cumsum(new) - 1
+        log = model.log10(n.astype(np.int64), b.count[word], b.count[context], full[of], weight[of])
         doc = np.repeat(np.arange(len(b.per)), b.per)
         total = lambda x: np.bincount(doc, x, minlength=len(b.per))
         count = b.count[b.token]
@@ -350,9 +367,10 @@ def score_documents(docs: DataFrame, learn: Column | None = None) -> DataFrame:
     if not rows:
         return docs.sparkSession.createDataFrame([], _SCORE_DDL)
     word_shards, pair_shards = shard_count(size, WORD_SHARD_BYTES), shard_count(size, PAIR_SHARD_BYTES)
-    first = written(own.mapInArrow(_read(word_shards), _ROW_DDL))
-    state = first.where(F.col("shard") == STATE)
-    answers = written(dealt(first.where(F.col("shard") != STATE), "shard", size, TASK_WORDS).groupBy("shard").applyInArrow(_count_words, _ANSWER_DDL))
+    first = table(own.mapInArrow(_read(word_shards), _ROW_DDL).withColumn("message", F.col("shard") != STATE), "message")
+    state, messages = (first.df.where(F.col("message") == m).select("block", "shard", "blob") for m in (False, True))
+    answers = written(dealt(messages, "shard", size, TASK_WORDS).groupBy("shard").applyInArrow(_count_words, _ANSWER_DDL))
+    first.drop("message=true")
     got = _add_up(answers)
     words = Words.of(got[: CUT + 2], int(got[CUT + 2]), int(got[CUT + 3]))
     hot = max(HOT_LEAST, words.total // HOT_CONTEXTS)
