@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import LOWER, NO_WORD, bounded_rows, mix64, slices, span_hash, utf8, word_spans
+from sparkloom.llm.common import LOWER, NO_WORD, bounded_rows, eased, mix64, slices, span_hash, utf8, word_spans
 
 WINDOW = 8
 #: Items have to have this many words for a template; shorter ones are found by their words.
@@ -277,7 +277,7 @@ def _rows(df: DataFrame, key: str, sizes: list[tuple[bool, int]] | None, n: int,
             for b in slices(whole, 1 << 20):
                 yield _window_rows(b.column("id").to_numpy(zero_copy_only=False).astype(np.int64), *utf8(b.column("text")), sizes, n, wanted)
 
-    return df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), "text").mapInArrow(run, _HIT)
+    return df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), "text").mapInArrow(eased(run), _HIT)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, least: float = 0.5, most_broadcast: int = MOST_BROADCAST) -> DataFrame:

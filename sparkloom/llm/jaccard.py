@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import LOWER, NO_WORD, components, mix64, slices, span_hash, utf8, word_spans, written
+from sparkloom.llm.common import LOWER, NO_WORD, components, ease, eased, mix64, slices, span_hash, utf8, word_spans, written
 from sparkloom.llm.substrings import squeezed
 
 SHINGLE = 5
@@ -203,6 +203,7 @@ _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 def _walk(forest: Forest):
     def run(group: pa.Table) -> pa.Table:
+        ease()
         ids = group.column("id").to_numpy()
         signatures = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(len(ids), -1)
         links: list[tuple[int, int]] = []
@@ -236,6 +237,7 @@ def _verify(threshold: float):
     """Exact similarities of a block: rows (id, null, links) and a tree of links (a, b, 0)."""
 
     def run(group: pa.Table) -> pa.Table:
+        ease()
         order = np.argsort(group.column("id").to_numpy())
         ids, copies, own = (group.column(c).to_numpy()[order] for c in ("id", "copies", "own"))
         blobs = group.column("x").to_pylist()
@@ -288,7 +290,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     n_rows: rows that have the doc_id."""
     forest = Forest(threshold, recall)
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(own.mapInArrow(_sign, _SIGNED_DDL))
+    signed = written(own.mapInArrow(eased(_sign), _SIGNED_DDL))
     per_doc = signed.groupBy("doc_id").agg(F.min(F.struct("set_a", "set_b", "n")).alias("s"), F.count(F.lit(1)).alias("n_rows")).select("doc_id", "s.*", "n_rows")
     classes = written(per_doc.where("n > 0").groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")))
     reps = signed.join(classes.select("id", "copies", F.col("set_a").alias("ra"), F.col("set_b").alias("rb")), (F.col("doc_id") == F.col("id")) & (F.col("set_a") == F.col("ra")) & (F.col("set_b") == F.col("rb")))
@@ -307,7 +309,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     parts = size.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_BLOCK), F.ceil(F.sum("n") / GROUP_SHINGLES)).cast("int").alias("parts"))
     members = size.join(parts, "group").select("group", "id", "copies", "parts")
     texts = squeezed(own).join(members, F.col("doc_id") == F.col("id")).select("group", "id", "copies", "parts", "z")
-    sets = texts.mapInArrow(_reread, "group long, id long, copies long, parts int, x binary").dropDuplicates(["id"])
+    sets = texts.mapInArrow(eased(_reread), "group long, id long, copies long, parts int, x binary").dropDuplicates(["id"])
     blocks = blocked(sets.select("group", "id", "copies", F.col("parts").alias("of"), "x"), "group", F.col("of"), F.xxhash64("id"))
     checked = written(blocks.groupBy("group", "i", "j").applyInArrow(_verify(threshold), "a long, b long, links long"))
 

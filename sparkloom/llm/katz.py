@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import LOWER, WHITE, dealt, mix64, pack, runs, shard_count, slices, span_hash, table, text_volume, unpack, utf8, word_spans, written
+from sparkloom.llm.common import LOWER, WHITE, dealt, eased, mix64, pack, runs, shard_count, slices, span_hash, table, text_volume, unpack, utf8, word_spans, written
 
 CUT = 5
 BLOCK_BYTES = 4 << 20
@@ -367,7 +367,7 @@ def score_documents(docs: DataFrame, learn: Column | None = None) -> DataFrame:
     if not rows:
         return docs.sparkSession.createDataFrame([], _SCORE_DDL)
     word_shards, pair_shards = shard_count(size, WORD_SHARD_BYTES), shard_count(size, PAIR_SHARD_BYTES)
-    first = table(own.mapInArrow(_read(word_shards), _ROW_DDL).withColumn("message", F.col("shard") != STATE), "message")
+    first = table(own.mapInArrow(eased(_read(word_shards)), _ROW_DDL).withColumn("message", F.col("shard") != STATE), "message")
     state, messages = (first.df.where(F.col("message") == m).select("block", "shard", "blob") for m in (False, True))
     answers = written(dealt(messages, "shard", size, TASK_WORDS).groupBy("shard").applyInArrow(_count_words, _ANSWER_DDL))
     first.drop("message=true")
@@ -379,8 +379,8 @@ def score_documents(docs: DataFrame, learn: Column | None = None) -> DataFrame:
     pairs = written(sent.groupBy("shard").applyInArrow(_count_pairs, "shard long, blob binary, stats array<long>"))
     model = Pairs(words, discounts(_add_up(pairs)[: CUT + 2]), hot)
     # HOT_CONTEXTS rows of 24 bytes at most
-    sums = pairs.mapInArrow(_salted_sums(model), "context long, seen double, below double").groupBy("context").agg(F.sum("seen").alias("seen"), F.sum("below").alias("below")).toArrow()
+    sums = pairs.mapInArrow(eased(_salted_sums(model)), "context long, seen double, below double").groupBy("context").agg(F.sum("seen").alias("seen"), F.sum("below").alias("below")).toArrow()
     numbers = sums.column("context").to_numpy().view(np.uint64)
     order = np.argsort(numbers)
-    replies = pairs.mapInArrow(_answer_pairs(model, (numbers[order], sums.column("seen").to_numpy()[order], sums.column("below").to_numpy()[order])), _ROW_DDL)
+    replies = pairs.mapInArrow(eased(_answer_pairs(model, (numbers[order], sums.column("seen").to_numpy()[order], sums.column("below").to_numpy()[order]))), _ROW_DDL)
     return blocks.groupBy("block").cogroup(dealt(replies, "block", size, TASK_BLOCKS).groupBy("block")).applyInArrow(_score(model, pair_shards), _SCORE_DDL)

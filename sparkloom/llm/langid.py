@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import kept, slices, utf8
+from sparkloom.llm.common import eased, kept, slices, utf8
 
 SYMBOLS = 64  # symbols of the dense table; 0: no letter; 1: a letter that the samples never have
 STRETCH = 512
@@ -250,7 +250,7 @@ def identify_language(docs: DataFrame, learn: F.Column | None = None, **bounds:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("held_out"), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     held = docs.select("doc_id", F.coalesce(~learn, F.lit(True)).alias("held_out"), "text")
-    return held.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return held.mapInArrow(eased(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, learn: F.Column | None = None, **bounds: int) -> DataFrame:
@@ -271,4 +271,4 @@ def keep_identified(docs: DataFrame, learn: F.Column | None = None, **bounds: in
                 filled = b.set_column(lang, b.schema.field(lang), pc.coalesce(b.column(lang), names.cast(b.schema.field(lang).type)))
                 yield filled.filter(pc.not_equal(names, "und"))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(eased(run), docs.schema)

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sparkloom.llm.common import utf8
+from sparkloom.llm.common import eased, utf8
 
 #: Phrase -> label.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -192,4 +192,4 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     One pass without a shuffle. `score` is the permissiveness of what binds the text most;
     a text that names no licence grants nothing and has 0."""
-    return docs.select("doc_id", "text").mapInArrow(_scan, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return docs.select("doc_id", "text").mapInArrow(eased(_scan), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

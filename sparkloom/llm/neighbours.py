@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import written
+from sparkloom.llm.common import ease, eased, written
 
 PROJECTED = 8
 RECALL = 0.98
@@ -197,13 +197,14 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, recall
             home = cells.home(_matrix(b.column("v"), dim) @ cells.matrix)
             yield pa.RecordBatch.from_arrays([pa.array(home), *(b.column(c) for c in ("vec_id", "v"))], names=["cell", "vec_id", "v"])
 
-    index = written(indexed.select("vec_id", "v").mapInArrow(place, "cell int, vec_id long, v array<double>"))
+    index = written(indexed.select("vec_id", "v").mapInArrow(eased(place), "cell int, vec_id long, v array<double>"))
     held = index.groupBy("cell").agg(F.count(F.lit(1)).alias("held"))
     # one of the equal queries asks for all of them
     asking = fine.where("q").groupBy("v").agg(F.min("vec_id").alias("vec_id"))
-    first = written(asking.select("vec_id", "v").mapInArrow(place, "cell int, vec_id long, v array<double>"))
+    first = written(asking.select("vec_id", "v").mapInArrow(eased(place), "cell int, vec_id long, v array<double>"))
 
     def look(key: tuple, own: pa.Table, asked: pa.Table) -> pa.Table:
+        ease()
         if not own.num_rows or not asked.num_rows:
             return _FOUND_SCHEMA.empty_table()
         v, ids = _matrix(own.column("v"), dim), own.column("vec_id").to_numpy()
@@ -245,7 +246,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, recall
             t = b.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), t.column("vec_id"), t.column("v"), t.column("bound")], names=["cell", "vec_id", "v", "bound"])
 
-    more = written(again.select("cell", "vec_id", "v", "bound").mapInArrow(spread, "cell int, vec_id long, v array<double>, bound double"))
+    more = written(again.select("cell", "vec_id", "v", "bound").mapInArrow(eased(spread), "cell int, vec_id long, v array<double>, bound double"))
     near = best(found.unionAll(ask(more))).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("score", F.col("vec_id").alias("id")))).alias("near"))  # k + 1 at most
     lists = first.select("vec_id", "v").join(near, F.col("vec_id") == F.col("query_id")).select("v", "near")
     every = fine.where("q").select(F.col("vec_id").alias("query_id"), "v").join(lists, "v")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from sparkloom.llm.common import LOWER, WHITE, kept, same_spans, slices, span_hash, utf8
+from sparkloom.llm.common import LOWER, WHITE, eased, kept, same_spans, slices, span_hash, utf8
 
 
 @dataclass(frozen=True)
@@ -314,7 +314,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), e
         note(packer.close())
         yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(pack, DDL)
+    return docs.select("doc_id", "text").mapInArrow(eased(pack), DDL)
 
 
 def padding(pieces: DataFrame, limits: Limits = Limits()) -> DataFrame:

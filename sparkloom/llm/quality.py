@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import NO_WORD, WHITE, runs, slices, span_hash, utf8, word_spans, written
+from sparkloom.llm.common import NO_WORD, WHITE, eased, runs, slices, span_hash, utf8, word_spans, written
 
 #: Byte classes counted per document.
 _CLASSES = {
@@ -134,7 +134,7 @@ def document_vectors(docs: DataFrame) -> DataFrame:
                 x = statistics(*utf8(b.column("text")))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(np.arange(0, x.size + 1, DIM, dtype=np.int32), x.ravel())], schema=_VECTOR)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select("doc_id", "text").mapInArrow(eased(run), "doc_id long, x array<double>")
 
 
 def moments(labelled: DataFrame) -> Moments:
@@ -153,7 +153,7 @@ def moments(labelled: DataFrame) -> Moments:
         flat = np.concatenate([n, s.ravel(), o.ravel()])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat)], names=["i", "v"])
 
-    rows = labelled.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    rows = labelled.mapInArrow(eased(run), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
     flat = np.zeros(2 + 2 * DIM + 2 * DIM * DIM)
     for r in rows:
         flat[r["i"]] = r["v"]
@@ -178,4 +178,4 @@ def classify_quality(docs: DataFrame, labels: DataFrame, learn: F.Column | None
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     held = vectors.select("doc_id", "x", F.coalesce(~learn, F.lit(True)).alias("held_out"))
-    return held.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return held.mapInArrow(eased(run), "doc_id long, held_out boolean, score double, predicted int")

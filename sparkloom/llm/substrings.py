@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import dealt, digests, pack, rolling_hash, runs, shard_count, slices, text_volume, unpack, utf8, written
+from sparkloom.llm.common import dealt, digests, ease, eased, pack, rolling_hash, runs, shard_count, slices, text_volume, unpack, utf8, written
 from sparkloom.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 LENGTH = 100
@@ -213,7 +213,7 @@ def squeezed(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
 
     kinds = dict(docs.dtypes)
     ddl = "".join(f", c{i} {kinds[c]}" for i, c in enumerate(carry))
-    return docs.select("doc_id", "text", *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]).mapInArrow(run, "doc_id long, z binary" + ddl)
+    return docs.select("doc_id", "text", *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]).mapInArrow(eased(run), "doc_id long, z binary" + ddl)
 
 
 _PIECES = pa.schema([("array", pa.int64()), ("key", pa.int64()), ("doc_id", pa.int64()), ("p", pa.int64()), ("n", pa.int64()), ("s", pa.binary())])
@@ -284,6 +284,7 @@ def repeated_windows(strings: list[bytes], doc: np.ndarray, pos: np.ndarray, n:
 
 def _arrays(length: int):
     def run(group: pa.Table) -> pa.Table:
+        ease()
         if group.column("array")[0].as_py() < 0:
             parts = [[], []]
             for kind, blob in zip(group.column("key").to_pylist(), group.column("s").to_pylist(), strict=True):
@@ -313,14 +314,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     _, size = text_volume(own)
     shards = shard_count(size, SHARD_BYTES)
-    messages = own.mapInArrow(_scatter(shards, length), "shard long, blob binary")
+    messages = own.mapInArrow(eased(_scatter(shards, length)), "shard long, blob binary")
     found = written(dealt(messages, "shard", size, TASK_BYTES).groupBy("shard").applyInArrow(_resolve(hot, length), _RUNS_DDL))
     asked = found.where(F.col("kind") != DONE)
     some = lambda kind, what: F.coalesce(F.sum(F.when(F.col("kind") == kind, what)), F.lit(0))
     piece_bytes, windows = asked.agg(some(ASK, F.col("n") + length), some(HOT_ASK, F.col("n"))).first()
     arrays, window_shards = shard_count(piece_bytes, ARRAY_BYTES), shard_count(windows, SHARD_WINDOWS, 1)
     by_doc = asked.groupBy("doc_id").agg(F.collect_list(F.struct("p", "n", "key", "kind")).alias("asked"))  # a document's length bounds it
-    pieces = squeezed(own).join(by_doc, "doc_id").select("doc_id", "z", "asked").mapInArrow(_cut(arrays, window_shards, length), _PIECES_DDL)
+    pieces = squeezed(own).join(by_doc, "doc_id").select("doc_id", "z", "asked").mapInArrow(eased(_cut(arrays, window_shards, length)), _PIECES_DDL)
     later = dealt(pieces, "array", piece_bytes + 32 * windows, TASK_PIECES).groupBy("array").applyInArrow(_arrays(length), _RUNS_DDL)
     marks = found.where(F.col("kind") == DONE).unionAll(later)
     return marks.groupBy("doc_id").agg(F.collect_list(F.struct("p", "n")).alias("spans"))
@@ -363,7 +364,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(columns, list(_DIGEST)[1:], strict=True))], schema=_DIGEST)
 
     joined = squeezed(docs).join(repeated_spans(docs, length, hot), "doc_id", "left").select("doc_id", "z", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(eased(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
@@ -383,7 +384,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
     marked = docs.withColumn("__null", F.col("text").isNull())
     joined = squeezed(marked, ["__null", *carry]).join(repeated_spans(docs, length, hot), "doc_id", "left")
     joined = joined.select("doc_id", "z", "spans", F.col("c0").alias("gone"), *[F.col(f"c{i + 1}") for i in range(len(carry))])
-    out = joined.mapInArrow(run, "doc_id long, text string" + "".join(f", c{i + 1} {kinds[c]}" for i, c in enumerate(carry)))
+    out = joined.mapInArrow(eased(run), "doc_id long, text string" + "".join(f", c{i + 1} {kinds[c]}" for i, c in enumerate(carry)))
     back = {c: F.col(f"c{i + 1}").alias(c) for i, c in enumerate(carry)} | {"doc_id": F.col("doc_id").cast(kinds["doc_id"]), "text": F.col("text")}
     if "n_chars" in carry:
         back["n_chars"] = F.coalesce(F.length("text").cast(kinds["n_chars"]), F.col(f"c{carry.index('n_chars') + 1}")).alias("n_chars")
