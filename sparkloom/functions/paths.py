@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Suffix -> language, language -> generated file's suffix.
@@ -42,6 +42,16 @@ def language_of(path: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[suffix]
 
 
+def languages_of(files: DataFrame, column: str = "file_path") -> DataFrame:
+    """One row: the languages of all paths, sorted; other files do not count."""
+    return files.agg(F.array_sort(F.collect_set(language_of(F.col(column)))).alias("languages"))
+
+
+def script_languages(languages: Column) -> Column:
+    """Those of an array of languages that are scripts'."""
+    return F.array_sort(F.array_intersect(languages, F.array(F.lit("javascript"), F.lit("typescript"))))
+
+
 def is_test_or_generated(path: Column) -> Column:
     low = F.lower(slashed(path))
     folders = F.array(*map(F.lit, IGNORED_FOLDERS))

@@ -15,6 +15,16 @@ def estimate_tokens(text: Column) -> Column:
     return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(n / 4).cast("int")))
 
 
+#: Where Python's str.splitlines() breaks.
+LINE_BREAK = r"\r\n|[\n\x0b\f\r\x1c\x1d\x1e\x85\u2028\u2029]"
+
+
+def split_lines(text: Column) -> Column:
+    """The lines; an empty one behind the last break does not count."""
+    parts = F.split(text, LINE_BREAK, -1)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+
 def strip_space(text: Column) -> Column:
     return F.regexp_replace(text, f"{SPACE}+", "")
 
@@ -65,6 +75,10 @@ def request_context(title: Column, body: Column) -> Column:
     return F.nullif(F.concat_ws("\n", F.nullif(trim_space(title), blank), F.nullif(trim_space(body), blank)), blank)
 
 
+#: The rule that stands before all others.
+POLICY = "Tests are deterministic and need neither network nor files."
+
+
 def combined_rules(policy: str, constraints: Column, rules: Column) -> Column:
     none = F.array().cast("array<string>")
     return F.concat(F.array(F.lit(policy)), F.coalesce(constraints, none), F.coalesce(rules, none))

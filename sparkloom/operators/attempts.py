@@ -19,11 +19,10 @@ def resolve_attempts(attempts: DataFrame, key: str = "target_id") -> DataFrame:
     n, bad = F.col("attempt"), F.col("status") == "invalid"
     agg = attempts.where(n <= MOST_ATTEMPTS).groupBy(key).agg(
         F.min(F.when(F.col("status") == "valid", n)).alias("v"), F.min(F.when(bad & (n >= PATIENCE), n)).alias("t"), F.max("attempt").alias("seen"),
-        F.min_by("content", F.when(F.col("status") == "valid", n)).alias("first_valid"),
+        F.min_by("content", F.when(F.col("status") == "valid", n)).alias("first_valid"), F.max_by("reason", F.when(bad, n)).alias("last_reason"),
     )
-    last = attempts.where(bad & (n <= MOST_ATTEMPTS)).groupBy(key).agg(F.max_by("reason", "attempt").alias("last_reason"))
     won = F.col("v").isNotNull() & (F.col("t").isNull() | (F.col("v") < F.col("t")))
-    out = agg.withColumn("succeeded", won).join(last, key, "left")
+    out = agg.withColumn("succeeded", won)
     reason = F.when(F.col("succeeded"), "").when(F.col("t").isNotNull(), "skipped_after_3_attempts").otherwise(F.coalesce("last_reason", F.lit("unknown")))
     return out.select(key, "succeeded", F.when(F.col("succeeded"), F.col("v")).otherwise(MOST_ATTEMPTS).alias("attempts"), F.least("seen", F.coalesce(F.when(F.col("succeeded"), F.col("v")), "t", "seen")).alias("attempts_observed"), reason.alias("reason"), F.when(F.col("succeeded"), F.col("first_valid")).alias("content"))
 

@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator  # noqa: F401
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import paths
-from sparkloom.functions.source_code import bare_body, canonical_form, similarity
-from sparkloom.functions.text import trim_space
+from sparkloom.functions.source_code import bare_body, canonical_form, most_alike, similarity
+from sparkloom.functions.text import split_lines, trim_space
 
 RENAME_AT = 0.58
 #: Calls that do not count, and the lines of a trivial body.
-TRIVIAL_CALLS = "bool dict float frozenset int len list set sorted str tuple Object Array String Number Boolean".split()
+TRIVIAL_CALLS = ("bool", "dict", "float", "frozenset", "int", "len", "list", "set", "sorted", "str", "tuple", "Object", "Array", "String", "Number", "Boolean")
 COMPLEX_LINE = r"\b(await|yield|raise|throw|try|except|catch|switch|case)\b|&&|\|\||\?"
 SIMPLE_LINE = r"^(?:return\b.*|pass$|(?:const|let|var)\s+[A-Za-z_$][\w$]*\s*=.*|[A-Za-z_$][\w$\.\[\]]*\s*=.*|[{}]$)$"
+#: A hint at validation; marks of side effects; marks of markup.
 VALIDATION_HINT = r"(?i)\b(validate|check|parse|required|invalid|empty|none|null|raise|throw)\b"
-SIDE_EFFECT = r"\b\w+\s*\[.+\]\s*=(?!=)|\bdel\s+\w+\s*\[|\b\w+\.(append|extend|update|pop|remove|delete|commit|rollback|add|flush|execute|send|publish|write|save|close)\s*\(|\b_\w+\s*\[.+\]\s*="
+SIDE_EFFECTS = (
+    r"\b\w+\s*\[.+\]\s*=(?!=)",
+    r"\bdel\s+\w+\s*\[",
+    r"\b\w+\.(append|extend|update|pop|remove|delete|commit|rollback|add|flush|execute|send|publish|write|save|close)\s*\(",
+    r"\b_\w+\s*\[.+\]\s*=",
+)
 MARKUP = r"return\s*[\(<]|=>\s*[\(<]|<[A-Z][a-zA-Z]+|</[a-zA-Z]"
 
 
@@ -27,7 +33,7 @@ def changed_lines(diffs: DataFrame) -> DataFrame:
 
     A file's section reaches from its `+++ b/` line to the next section; within one text,
     lines keep their order by an ordinal."""
-    lines = diffs.select("diff_id", F.posexplode(F.split("text", "\r?\n")).alias("pos", "line"))
+    lines = diffs.select("diff_id", F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
     w = Window.partitionBy("diff_id").orderBy("pos")
     head = F.when(F.col("line").startswith("diff --git "), F.lit("")).when(F.col("line").startswith("+++ b/"), F.translate(trim_space(F.substring("line", 7, 1 << 30)), "\\", "/"))
     own = lines.withColumn("file_path", F.last(head, ignorenulls=True).over(w)).where(F.col("line").startswith("@@ -") & (F.col("file_path") != ""))
@@ -42,16 +48,21 @@ def changed_lines(diffs: DataFrame) -> DataFrame:
     return spans.select("diff_id", "file_path", "side", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("line")).distinct()
 
 
-def impacted(functions: DataFrame, lines: DataFrame, key: str = "file_path", empty_side: str = "all") -> DataFrame:
+def impacted(functions: DataFrame, lines: DataFrame, key: str | Sequence[str] = "file_path", empty_side: str = "all") -> DataFrame:
     """Interval semi-join: functions whose [start_line, end_line] holds a line of their file.
 
     A file without any line keeps all its functions (`empty_side='all'`) or none ('none').
-    The file is an equality key, so no plan compares all functions with all lines."""
-    own = lines.select(F.col(key).alias("__k"), F.col("line").alias("__line"))
-    hit = functions.join(own, (F.col(key) == F.col("__k")) & F.col("__line").between(F.col("start_line"), F.col("end_line")), "left_semi")
+    The file (and the request, where `key` names both) is an equality key, so no plan compares
+    all functions with all lines."""
+    keys = [key] if isinstance(key, str) else list(key)
+    own = lines.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("line").alias("__line"))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k) == F.col(f"__{k}")
+    hit = functions.join(own, same & F.col("__line").between(F.col("start_line"), F.col("end_line")), "left_semi")
     if empty_side == "none":
         return hit
-    return hit.unionByName(functions.join(own.select("__k").distinct(), F.col(key) == F.col("__k"), "left_anti"))
+    return hit.unionByName(functions.join(own.drop("__line").distinct(), same, "left_anti"))
 
 
 _FIELDS = "function_name start_line end_line source_code context_code signature enclosing_class_name called_functions branch_count has_validation".split()
@@ -61,8 +72,9 @@ CHANGE_DDL = (
 )
 
 
-def classify(current: DataFrame, previous: DataFrame) -> DataFrame:
-    """Impacted functions of both versions to changes; a file is a group, and its functions are matched in order.
+def classify(current: DataFrame, previous: DataFrame, request: str | None = None) -> DataFrame:
+    """Impacted functions of both versions to changes; a file (of a request, if that column is
+    named) is a group, and its functions are matched in order.
 
     Same name: signature_change or logic_change. Else the most similar previous function of
     the same class that is not matched yet, from RENAME_AT on: rename (the first wins ties).
@@ -76,7 +88,7 @@ def classify(current: DataFrame, previous: DataFrame) -> DataFrame:
         out = []
 
         def note(row: dict, kind: str, old: dict | None, language: str) -> None:
-            out.append({c: row[c] for c in _FIELDS} | {"file_path": key[0], "language": language, "change_type": kind, "ordinal": len(out)} | {f"previous_{a}": old and old[b] for a, b in (("name", "function_name"), ("signature", "signature"), ("source_code", "source_code"), ("context_code", "context_code"))})
+            out.append({c: row[c] for c in _FIELDS} | ({request: key[0]} if request else {}) | {"file_path": key[-1], "language": language, "change_type": kind, "ordinal": len(out)} | {f"previous_{a}": old and old[b] for a, b in (("name", "function_name"), ("signature", "signature"), ("source_code", "source_code"), ("context_code", "context_code"))})
 
         for row in now.to_dict("records"):
             old = by_name.get(row["function_name"])
@@ -88,6 +100,8 @@ def classify(current: DataFrame, previous: DataFrame) -> DataFrame:
                 for o in olds:
                     if o["function_name"] in taken or (o["enclosing_class_name"] or None) != (row["enclosing_class_name"] or None):
                         continue
+                    if most_alike(body, bare_body(o["source_code"], o["function_name"]), row["signature"], o["signature"]) < RENAME_AT:
+                        continue
                     score = similarity(body, bare_body(o["source_code"], o["function_name"]), row["signature"], o["signature"])
                     if score >= RENAME_AT and score > best:
                         old, best, kind = o, score, "rename"
@@ -97,16 +111,18 @@ def classify(current: DataFrame, previous: DataFrame) -> DataFrame:
         for o in olds:
             if o["function_name"] not in taken:
                 note(o, "deletion", o, o["language"])
-        return pd.DataFrame(out, columns=[c.split()[0] for c in CHANGE_DDL.split(", ")])
+        return pd.DataFrame(out, columns=[c.split()[0] for c in ddl.split(", ")])
 
-    return current.groupBy("file_path").cogroup(previous.groupBy("file_path")).applyInPandas(match, CHANGE_DDL)
+    ddl = (f"{request} {dict(current.dtypes)[request]}, " if request else "") + CHANGE_DDL
+    keys = [request, "file_path"] if request else ["file_path"]
+    return current.groupBy(*keys).cogroup(previous.groupBy(*keys)).applyInPandas(match, ddl)
 
 
 def should_skip(source: Column, branches: Column, has_validation: Column) -> Column:
     """A small pure function: no side effects, no markup, under four lines that mean something, no branch, no validation."""
     lines = F.filter(F.split(source, "\n"), lambda x: (trim_space(x) != "") & ~trim_space(x).startswith("@") & ~x.rlike(r"^\s*((async\s+)?(def|function)|class)\s+\w+"))
     small = (F.size(lines) < 4) & (branches == 0) & ~(has_validation | source.rlike(VALIDATION_HINT))
-    return F.when(source.rlike(SIDE_EFFECT) | source.rlike(MARKUP), False).otherwise(small)
+    return F.when(source.rlike("|".join(SIDE_EFFECTS)) | source.rlike(MARKUP), False).otherwise(small)
 
 
 def is_trivial(source: Column, branches: Column, has_validation: Column, calls: Column) -> Column:
@@ -131,10 +147,11 @@ def with_gates(changes: DataFrame) -> DataFrame:
     return out.withColumn("should_generate", (F.col("function_name") != "") & ~kind.isin("rename", "deletion") & F.col("has_behavioral_change") & ~F.col("should_skip_generation"))
 
 
-def config_like_files(functions: DataFrame) -> DataFrame:
-    """file_path, is_config_like: by its name, or because all its functions are trivial."""
+def config_like_files(functions: DataFrame, request: str | None = None) -> DataFrame:
+    """file_path (and request), is_config_like: by its name, or because all its functions are trivial."""
     trivial = is_trivial(F.col("source_code"), F.col("branch_count"), F.col("has_validation"), F.col("called_functions"))
-    return functions.groupBy("file_path").agg(F.bool_and(trivial).alias("t")).select("file_path", (paths.has_config_name(F.col("file_path")) | F.col("t")).alias("is_config_like"))
+    keys = [request, "file_path"] if request else ["file_path"]
+    return functions.groupBy(*keys).agg(F.bool_and(trivial).alias("t")).select(*keys, (paths.has_config_name(F.col("file_path")) | F.col("t")).alias("is_config_like"))
 
 
 def targets_and_maintenance(changes: DataFrame) -> tuple[DataFrame, DataFrame]:

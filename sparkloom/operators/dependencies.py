@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import paths
-from sparkloom.functions.text import trim_space
+from sparkloom.functions.text import called_functions, trim_space
 
 MOST_DEPENDENCIES = 20
 LEAST_SCORE = -4
@@ -78,9 +78,10 @@ def resolve_modules(refs: DataFrame, files: DataFrame, language: str) -> DataFra
 def resolve_calls(changes: DataFrame, functions: DataFrame, references: DataFrame) -> DataFrame:
     """`changes` (change_id, file_path, function_name, enclosing_class_name, source_code, called_functions) to resolved calls.
 
+    Where no calls were extracted, names before brackets in the source stand for them.
     A call means the first function of its file with its name or last part; else the import
     that its first part or last part names, and the function of that name in the module."""
-    calls = changes.select("change_id", "file_path", "enclosing_class_name", F.col("source_code").alias("caller"), F.element_at(F.split("function_name", r"\."), -1).alias("self"), F.posexplode("called_functions").alias("call_at", "call"))
+    calls = changes.select("change_id", "file_path", "enclosing_class_name", F.col("source_code").alias("caller"), F.element_at(F.split("function_name", r"\."), -1).alias("self"), F.posexplode(F.when(F.size("called_functions") > 0, F.col("called_functions")).otherwise(called_functions(F.col("source_code")))).alias("call_at", "call"))
     calls = calls.withColumn("bare", F.element_at(F.split("call", r"\."), -1)).where("bare <> self").dropDuplicates(["change_id", "call"])
     funcs = functions.select(F.col("file_path").alias("fp"), F.col("function_name").alias("fn"), F.col("source_code").alias("code"), F.col("ordinal").alias("ord"), F.element_at(F.split("function_name", r"\."), -1).alias("fbare"))
     same = calls.join(funcs, (F.col("file_path") == F.col("fp")) & (F.col("bare") == F.col("fbare")))

@@ -20,12 +20,16 @@ def discover_tests(files: DataFrame, most: int = MOST_TESTS) -> DataFrame:
 def related_tests(sources: DataFrame, tests: DataFrame) -> DataFrame:
     """(file_path, test_path) pairs: the source's stem stands in the test's name, or the stems hold one another.
 
-    Discovery bounds the tests (`most` rows of one path), so that side is broadcast."""
-    s = sources.select("file_path", F.lower(paths.stem(F.col("file_path"))).alias("s")).where(F.length("s") >= SHORTEST_STEM)
+    What stands in a name shares its first SHORTEST_STEM letters with some place of it, so
+    pairs meet by an equality join on those and are then looked at; nothing is broadcast."""
+    s = sources.select("file_path", F.lower(paths.stem(F.col("file_path"))).alias("s")).where(F.length("s") >= SHORTEST_STEM).distinct()
     low = F.lower(paths.stem(F.col("file_path")))
-    t = tests.select(F.col("file_path").alias("test_path"), F.lower(paths.file_name(F.col("file_path"))).alias("name"), F.regexp_replace(F.regexp_replace(low, r"^test_|_test$|^test|test$|\.test$|\.spec$", ""), "^_+|_+$", "").alias("t"))
-    by_stem = (F.length("t") >= SHORTEST_STEM) & (F.col("t").contains(F.col("s")) | F.col("s").contains(F.col("t")))
-    return s.join(F.broadcast(t), F.col("name").contains(F.col("s")) | by_stem).select("file_path", "test_path").distinct()
+    t = tests.select(F.col("file_path").alias("test_path"), F.lower(paths.file_name(F.col("file_path"))).alias("name"), F.regexp_replace(F.regexp_replace(low, r"^test_|_test$|^test|test$|\.test$|\.spec$", ""), "^_+|_+$", "").alias("t")).distinct()
+    grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - SHORTEST_STEM + 1, F.lit(1))), lambda i: F.substring(c, i, SHORTEST_STEM)))).alias("g")
+    first = lambda c: F.substring(c, 1, SHORTEST_STEM).alias("g")
+    held = s.select("file_path", "s", first("s")).join(t.select("test_path", "name", "t", grams(F.concat_ws("/", "name", "t"))), "g").where(F.col("name").contains(F.col("s")) | ((F.length("t") >= SHORTEST_STEM) & F.col("t").contains(F.col("s"))))
+    holds = s.select("file_path", "s", grams(F.col("s"))).join(t.where(F.length("t") >= SHORTEST_STEM).select("test_path", "t", first("t")), "g").where(F.col("s").contains(F.col("t")))
+    return held.select("file_path", "test_path").unionAll(holds.select("file_path", "test_path")).distinct()
 
 
 def matching_test_names(names: DataFrame, prefixes: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ BANNED = (
     r"(?U)(?:requests|httpx|aiohttp|urllib)\s*\.\s*(?:get|post|put|delete|patch|request)\s*\(\s*['\"]https?://(?!(?:example\.com|test\.com|localhost|127\.0\.0\.1))[a-zA-Z0-9][a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
     r"(?mU)^\s*const\s+\w+\s*=\s*require\s*\(",
 )
+#: What scripts must not hold; marks of stubs; marks of components.
 BANNED_SCRIPT = (r"\.toThrowError\s*\(", r"jest\.spyOn\s*\([^)]+,\s*['\"][^'\"]+['\"],\s*['\"](?:get|set)['\"]")
 STUBS = r"(?i)pass\s*#\s*TODO|raise\s+NotImplementedError|#\s*implement|#\s*fill\s+in"
 COMPONENT = (r"return\s*\(\s*<", r"return\s*<", r"=>\s*\(\s*<", r"=>\s*<", r"<[A-Z]\w*", r"</[a-zA-Z]", r"React\.createElement")
@@ -84,7 +85,7 @@ def validate(contents: DataFrame) -> DataFrame:
     The parser, the only Python step, sees the survivors of the native checks alone."""
     first = contents.withColumn("reason", native_failure(F.col("content"), F.col("language"), F.col("source_file")))
     failed, rest = first.where("reason is not null"), first.where("reason is null")
-    rest = rest.withColumn("__ok", is_syntax_valid("language", "content")).withColumn("__n", F.size(test_names("language", "content")))
+    rest = rest.withColumn("__ok", is_syntax_valid("language", "content")).withColumn("__n", F.size(test_names(F.col("language"), F.col("content"))))
     reason = F.when(~F.col("__ok"), "syntax_error").when(F.col("__n") == 0, "no_tests").when(~F.col("__n").between(FEWEST_TESTS, MOST_TESTS), F.format_string("test_count_out_of_range(%d)", F.col("__n"))).otherwise("")
     return failed.unionByName(rest.withColumn("reason", reason).drop("__ok", "__n"))
 

@@ -12,18 +12,23 @@ from sparkloom.operators import attempts, changes, dedup, store, validation
 
 
 def analyse(diffs: DataFrame, files: DataFrame) -> DataFrame:
-    """Changes of one request. `files`: file_path, content, previous_source. Paths are filtered before anything is parsed."""
+    """Changes of all requests. `diffs`: diff_id, text; `files`: diff_id, file_path, content,
+    previous_source (without diff_id they are those of every request). Paths are filtered
+    before anything is parsed; a request's lines meet its own files alone."""
+    key = ["diff_id", "file_path"]
+    if "diff_id" not in files.columns:
+        files = files.join(changes.changed_lines(diffs).select(*key).distinct(), "file_path")
     lang = paths.language_of(F.col("file_path"))
     use = files.withColumn("language", lang).where(F.col("language").isNotNull() & ~paths.is_test_or_generated(F.col("file_path")) & ~paths.is_config_file(F.col("file_path")))
     lines = changes.changed_lines(diffs)
-    use = use.join(lines.select("file_path").distinct(), "file_path", "left_semi")
-    now = extract_functions(use)
-    quiet = changes.config_like_files(now).where("is_config_like").select("file_path")
-    now = now.join(quiet, "file_path", "left_anti")
-    before = extract_functions(use.join(quiet, "file_path", "left_anti").where("previous_source is not null").select("file_path", "language", F.col("previous_source").alias("content")))
-    current = changes.impacted(now, lines.where("side = 'added'"))
-    previous = changes.impacted(before, lines.where("side = 'removed'"))
-    return changes.with_gates(changes.classify(current, previous))
+    use = use.join(lines.select(*key).distinct(), key, "left_semi")
+    now = extract_functions(use, request="diff_id")
+    quiet = changes.config_like_files(now, "diff_id").where("is_config_like").select(*key)
+    now = now.join(quiet, key, "left_anti")
+    before = extract_functions(use.join(quiet, key, "left_anti").where("previous_source is not null").select(*key, "language", F.col("previous_source").alias("content")), request="diff_id")
+    current = changes.impacted(now, lines.where("side = 'added'"), key)
+    previous = changes.impacted(before, lines.where("side = 'removed'"), key)
+    return changes.with_gates(changes.classify(current, previous, "diff_id"))
 
 
 def generate(targets: DataFrame, responses: DataFrame, existing: DataFrame, base: DataFrame, actions: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
@@ -34,6 +39,7 @@ def generate(targets: DataFrame, responses: DataFrame, existing: DataFrame, base
     checked = validation.validate(got.where("status <> 'error'")).withColumn("status", F.when(F.col("reason") == "", "valid").otherwise("invalid"))
     outcomes = attempts.resolve_attempts(failed.unionByName(checked).select("target_id", "attempt", "status", "reason", "content"))
     done = outcomes.where("succeeded").join(keyed, "target_id").withColumn("ordinal", F.col("target_id")).withColumn("generation_mode", F.lit("replace"))
-    kept = dedup.filter_duplicates(done, existing).withColumn("test_id", sanitize_identifier(F.col("function_name"))).withColumn("test_names", test_names("language", "content"))
-    rows = store.entries(kept, root).withColumn("seq", F.lit(0).cast("long"))
+    kept = dedup.filter_duplicates(done, existing).withColumn("test_id", sanitize_identifier(F.col("function_name"))).withColumn("test_names", test_names(F.col("language"), F.col("content")))
+    # of targets with one key the later one's entry stands
+    rows = store.entries(kept, root, "target_id").withColumnRenamed("target_id", "seq")
     return store.upsert(base, rows, store.maintenance_deletes(actions)), outcomes

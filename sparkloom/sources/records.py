@@ -23,6 +23,16 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return found.select(F.col("path").alias("file_path"), F.decode("content", "UTF-8").alias("content"))
 
 
+def with_contents(paths: DataFrame, files: DataFrame) -> DataFrame:
+    """`paths` (file_path, ...) with their contents; '' where there is no such file."""
+    return paths.join(files.select("file_path", "content"), "file_path", "left").withColumn("content", F.coalesce("content", F.lit("")))
+
+
+def is_there(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def with_previous(files: DataFrame, versions: DataFrame, ref: str) -> DataFrame:
     """`files` with previous_source at a version; null where the file was not there."""
     old = versions.where(F.col("ref") == ref).select("file_path", F.col("content").alias("previous_source"))
@@ -30,7 +40,10 @@ def with_previous(files: DataFrame, versions: DataFrame, ref: str) -> DataFrame:
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path, multiLine=True)
+    """payload: the JSON of each event file; an empty object where the path is not there."""
+    if not path or not is_there(spark, path):
+        return spark.createDataFrame([("{}",)], "payload string")
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias("payload"))
 
 
 def first_number(*columns: Column) -> Column:
@@ -60,7 +73,32 @@ def response_content(body: Column) -> Column:
     return F.when(F.coalesce(at("$.choices[0]"), F.lit("")) == "", at("$.output_text")).when(content.isNull(), at("$.choices[0].text")).when(content.startswith("["), F.coalesce(parts, content)).otherwise(content)
 
 
+RESPONSES = "target_id long, attempt int, http_status int, body string"
+
+
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """Captured answers of a model (JSON lines as RESPONSES) to target_id, attempt, status, content, message.
+
+    An HTTP status of 400 or more and a blank text are errors, whose message says so."""
+    rows = spark.read.schema(RESPONSES).json(path)
+    text = F.coalesce(response_content(F.col("body")), F.lit(""))
+    message = F.when(F.col("http_status") >= 400, F.concat_ws(" ", F.col("http_status").cast("string"), "body")).when(trim_space(text) == "", F.lit("empty response"))
+    return rows.select("target_id", "attempt", F.when(message.isNotNull(), "error").otherwise("answer").alias("status"), F.when(message.isNull(), text).alias("content"), message.alias("message"))
+
+
+RUNS = "run_id long, ordinal int, language string, stdout string, stderr string, returncode int"
+
+
+def read_runs(spark: SparkSession, path: str, languages: list[str]) -> DataFrame:
+    """Captured results of test runs (JSON lines as RUNS), of the asked languages alone."""
+    return spark.read.schema(RUNS).json(path).where(F.col("language").isin(languages))
+
+
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """key and the entry's fields of a stored mapping."""
-    entry = "map<string, struct<source_file string, language string, function_name string, test_id string, target_file string, test_names array<string>>>"
-    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", entry)).alias("key", "e")).select("key", "e.*")
+    """key and the entry's fields of a stored mapping; no rows where the path is not there."""
+    fields = "source_file string, language string, function_name string, test_id string, target_file string, test_names array<string>"
+    if not is_there(spark, path):
+        return spark.createDataFrame([], f"key string, {fields}")
+    entry = f"map<string, struct<{fields}>>"
+    texts = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"\n(?=\{)")).alias("value"))  # one for each source file, or one in all
+    return texts.select(F.explode(F.from_json("value", entry)).alias("key", "e")).select("key", "e.*")

@@ -1,12 +1,14 @@
 """Functions against plain Python."""
 
 import math
+import posixpath
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.functions import paths, source_code, text
+from sparkloom import config
+from sparkloom.functions import paths, prompts, script_tokens, source_code, text
 
 TEXTS = ["", "abc", "abcd efgh", "a\u00a0b\u3000c\x1cd\u0085e", "```py\nx = 1\n```\n", "x" * 41, "\n\n a \n"]
 
@@ -80,6 +82,61 @@ def test_parsers():
     js = source_code.script_functions(SCRIPT)
     assert [(f["function_name"], f["start_line"], f["end_line"]) for f in js] == [("add", 2, 5), ("twice", 6, 6), ("Box.open", 8, 10)]
     assert js[2]["has_validation"] and js[2]["called_functions"] == ["this.check"]
-    assert source_code.names_of_tests("javascript", "it('adds two', () => {})\ntest_x = (1)") == ["test_x", "it_adds_two"]
     assert source_code.parses("python", "x = 1") and not source_code.parses("python", "x =") and not source_code.parses("typescript", "f(}")
     assert math.isclose(source_code.similarity("abc", "abc", "x", "x"), 1.0)
+
+
+def row(spark, **columns):
+    return spark.range(1).select(*[c.alias(k) for k, c in columns.items()]).first()
+
+
+def test_names_of_tests(spark):
+    cases = [("javascript", "it('adds two', () => {})\ntest_x = (1)", ["test_x", "it_adds_two"]), ("typescript", "describe('All of it', () => {})", ["describe_All_of_it"]), ("python", "def test_b(): pass\ndef test_a(): pass\ndef help(): pass", ["test_a", "test_b"]), ("python", "def (", []), (None, "it('test_q')  test( 'x' )", ["test_q"]), ("javascript", None, [])]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, language string, content string")
+    got = {r["i"]: r["n"] for r in df.select("i", source_code.test_names(F.col("language"), F.col("content")).alias("n")).collect()}
+    assert got == {i: c for i, (_, _, c) in enumerate(cases)}
+
+
+def test_script_tokens():
+    t = script_tokens
+    assert t.canonical('return "a b"') != t.canonical('return "ab"')
+    assert t.canonical("a = 1 // x\n  + 2") == t.canonical("a=1+2 /* y */") != t.canonical("a = 12")
+    assert t.canonical("`a ${b + `c ${d}`} e` ") == "`a ${b + `c ${d}`} e`" and t.canonical("x / 2 / y").count("/") == 2
+    assert [k for k, _ in t.tokens("const r = /[(]/g; a / b")] == ["name", "name", "mark", "regex", "mark", "name", "mark", "name"]
+    fine = ["const r = /[(]/;", "f(a => a / 2, `}${x}`)", "for (const x of /a/g) {}", "if (a) { return /x\\/y/.test(b) }", "", None, "const x = <p>it's</p>;", "type T = Map<string, Array<number>>;", "a ??= b", "for (;;) {}", "x = -1", "f(!a, ...b)"]
+    bad = ["let = = 3 ;", "f(}", "const s = 'abc", "a = `x", "x = ;", "a && ", "/* open", "f(a == )", "((1)"]
+    assert [x for x in fine if not t.may_parse(x)] == [] and [x for x in bad if t.may_parse(x)] == []
+
+
+def test_prompts(spark):
+    lit = F.lit
+    cases = {("src/web/a/box.ts", "tests/generated"): "../../src/web/a/box", ("tests/generated/x/y.js", "tests/generated"): "./x/y", ("a.js", ""): "./a", ("tests/z.js", "tests/generated"): "../z"}
+    for (path, folder), want in cases.items():
+        hints = row(spark, h=prompts.import_hints(lit("typescript"), lit(path), lit("Box.open"), lit(None).cast("string"), lit("export class Box {}"), folder))["h"]
+        assert hints == [f"file: {path}", f"path: {want}", f"import: import {{ Box }} from '{want}'", "export: named"]
+        assert posixpath.relpath(path.rsplit(".", 1)[0], folder or ".") == want.removeprefix("./")
+    hints = row(spark, h=prompts.import_hints(lit("python"), lit("a/b/__init__.py"), lit("K.run"), lit("K"), lit(""), "t"))["h"]
+    assert hints == ["file: a/b/__init__.py", "module: a.b", "import: from a.b import K", "no other module than a.b", "types may stand in package a"]
+    assert row(spark, h=prompts.type_hint(lit("a/m.py"), lit("class A:\n  class B:\nclass C(A):\n" + "class D:\n" * 9), lit("a/n.py")))["h"] == "types of a/m.py: from a.m import A, C, D, D, D"
+    assert row(spark, h=prompts.type_hint(lit("a/m.py"), lit("class A:"), lit("a/m.py")))["h"] is None
+    assert [row(spark, h=prompts.export_style(lit(x)))["h"] for x in ("export default function f(){}", "export async function f(){}", "function f(){}", None)] == ["default", "named", "unclear", "unclear"]
+    want = {("truncated", 1, True): ["truncated"], ("bad generator use", 5, True): ["generator", "component"], ("too_many_suspicious_imports(3)", 7, False): ["suspicious_imports", "short"], ("fake_import_js", 7, True): ["imports", "component", "short"], (None, 2, True): [], ("syntax_error", 4, True): []}
+    for (reason, attempt, ui), ids in want.items():
+        assert row(spark, c=prompts.corrections(lit(reason).cast("string"), lit(attempt), lit(ui)))["c"] == ids
+    assert set(prompts.ADVICE) == {k for k, _ in prompts.CORRECTED} | {"component", "short"}
+    assert row(spark, e=prompts.dependency_entry(lit("code"), lit("f"), lit("a.py"), lit(" x \n")), t=prompts.dependency_entry(lit("import_only"), lit("g"), lit(None).cast("string"), lit("# g"))).asDict() == {"e": "- f (a.py)\nx", "t": "- g (third-party)\n  # g"}
+    none = F.array().cast("array<string>")
+    assert row(spark, a=prompts.existing_tests(lit("repair"), F.array(lit("t1")), none, lit(" b ")), b=prompts.existing_tests(lit("replace"), none, none, lit(" b "))).asDict() == {"a": "Failing tests to repair:\n- t1\nTests so far:\nb", "b": " b "}
+    text = row(spark, r=prompts.request_text(lit("python"), lit("pytest"), lit("f"), lit("def f(): ..."), F.array(lit("h")), none, lit(""), F.array(lit("p1"), lit("p2")), none, none, lit(False)))["r"]
+    assert text == "## Task\nWrite 3 to 9 unit tests for f.\n\n## Language\npython, pytest\n\n## Imports\n- h\n\n## Project rules\np1\np2\n\n## Request rules\nnone\n\n## Code\ndef f(): ...\n\n## Dependencies\nnone\n\n## Existing tests\nnone"
+    assert row(spark, r=prompts.retry_text(lit("R"), lit("stub_body"), lit(2), lit(False)))["r"] == "R\n\n## Rejected: stub_body\n\n- " + prompts.ADVICE["stub_body"]
+
+
+def test_lines_rules_and_config(spark):
+    assert row(spark, a=text.split_lines(F.lit("a\r\nb\x0bc\u2028\n")), b=text.split_lines(F.lit("x\n\n")), c=text.split_lines(F.lit(""))).asDict() == {"a": ["a", "b", "c", ""], "b": ["x", ""], "c": []}
+    assert row(spark, a=text.request_context(F.lit(" T "), F.lit("\n")), b=text.request_context(F.lit(" "), F.lit(None).cast("string")), c=text.combined_rules("p", F.array(F.lit("a")), F.lit(None).cast("array<string>"))).asDict() == {"a": "T", "b": None, "c": ["p", "a"]}
+    c = config.load_config({"SPARKLOOM_ROOT": "/r", "SPARKLOOM_MODEL": " m ", "SPARKLOOM_COMMENT": "TRUE", "SPARKLOOM_TIMEOUT_SECONDS": "9"})
+    assert (c.tests_dir, c.model, c.comment, c.fail_on_failure, c.timeout_seconds, config.load_config({}).timeout_seconds) == ("/r/tests/generated", "m", True, False, 9, 150)
+    f = spark.createDataFrame([("a.PY",), ("b.tsx",), ("c.md",)], "file_path string")
+    langs = paths.languages_of(f)
+    assert langs.first()["languages"] == ["python", "typescript"] and langs.select(paths.script_languages(F.col("languages")).alias("s")).first()["s"] == ["typescript"]

@@ -1,13 +1,16 @@
 """Operators on small tables against plain loops."""
 
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions.source_code import extract_functions
 from sparkloom.operators import attempts, budgets, changes, dedup, dependencies, discovery, logs, store, validation
 from sparkloom.plans import generation
 from sparkloom.sources import records
+from sparkloom.streaming import responses
 
 DIFF = """diff --git a/src/a.py b/src/a.py
 --- a/src/a.py
@@ -125,7 +128,98 @@ def test_dedup_and_store(spark):
     gone = store.maintenance_deletes(spark.createDataFrame([("rename", "s", "n", "b"), ("deletion", "s", "x", None)], "action_type string, source_file string, function_name string, previous_name string"))
     assert rows(store.upsert(base, w, gone), "key", "v") == [("s::a", 6), ("s::c", 7)] and store.deleted_count(base, gone).first()[0] == 1
     m = store.merge_artifacts(spark.createDataFrame([("s", 0, "import os\nimport pytest\n\ndef test_a():\n    import re"), ("s", 1, "import os\nx = 1")], "source_file string, ordinal int, content string")).first()["content"]
-    assert m.split("\n")[:2] == ["import unittest", "import os"] and "    import re" in m and "pytest" not in m and m.endswith("x = 1")
+    assert m == "import unittest\nimport os\n\ndef test_a():\n    import re\n\n\nx = 1\n"
+    tests = spark.createDataFrame([("s", 0, "from src.m import a, zz as q\nfrom os import (\n  path,\n)\nfrom src.n import zz\n\nfrom json import loads\nx = a\n  # c\n"), ("s", 1, None), ("q", 0, "from src.m import zz\ny")], "source_file string, ordinal int, content string")
+    got = dict(rows(store.merge_artifacts(tests, spark.createDataFrame([("s", "a")], "source_file string, name string")), "source_file", "content"))
+    assert got == {"s": "import unittest\nfrom json import loads\nfrom src.m import a\n\nx = a\n  # c\n", "q": "import unittest\nfrom src.m import zz\n\ny\n"}
+
+
+def test_store_files(spark, tmp_path):
+    kept = spark.createDataFrame([("s/a.py::f", "s/a.py", "python", "f", "f", "t/s/a/test_f.py", ["test_f_1"]), ("s/b.py::g", "s/b.py", "python", "g", "g", "t/s/b/test_g.py", [])], "key string, source_file string, language string, function_name string, test_id string, target_file string, test_names array<string>")
+    store.save_mapping(kept, str(tmp_path / "m"), str(tmp_path))
+    assert sorted(map(tuple, records.read_mapping(spark, str(tmp_path / "m")).collect())) == sorted(map(tuple, kept.collect())) and records.read_mapping(spark, str(tmp_path / "none")).count() == 0
+    for path, fails in ((str(tmp_path / "m"), Exception), (str(tmp_path / "x/../../y"), ValueError)):
+        with pytest.raises(fails):
+            store.save_mapping(kept, path, str(tmp_path))
+    assert rows(store.package_files(kept, "t"), "file_path") == [("t/__init__.py",), ("t/s/__init__.py",), ("t/s/a/__init__.py",), ("t/s/b/__init__.py",)]
+    assert rows(store.emptied_folders(kept, kept.where("function_name = 'g'"), "t"), "folder") == [("t/s/b",)]
+    assert store.as_json(kept).count() == 2
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "d.diff").write_text(DIFF)
+    (tmp_path / "paths.txt").write_text(" src\\a.py \n\nb.py\n")
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "a.py").write_text("x = 1\n")
+    (tmp_path / "e.json").write_text('{"number": 4}')
+    (tmp_path / "r.json").write_text('{"target_id": 1, "attempt": 1, "http_status": 200, "body": "{\\"output_text\\": \\"x\\"}"}\n{"target_id": 1, "attempt": 2, "http_status": 429, "body": "{}"}\n{"target_id": 1, "attempt": 3, "http_status": 200, "body": "{}"}\n')
+    (tmp_path / "runs.json").write_text('{"run_id": 1, "ordinal": 0, "language": "python", "stdout": "a", "returncode": 0}\n{"run_id": 1, "ordinal": 1, "language": "ruby", "returncode": 1}\n')
+    assert records.read_diffs(spark, str(tmp_path / "d.diff")).first()["text"] == DIFF
+    assert rows(records.read_changed_paths(spark, str(tmp_path / "paths.txt")), "file_path") == [("b.py",), ("src/a.py",)]
+    files = records.read_files(spark, str(tmp_path / "f"))
+    assert files.first()["content"] == "x = 1\n"
+    named = files.select(F.lit("a.py").alias("file_path"), "content")
+    assert rows(records.with_contents(spark.createDataFrame([("a.py",), ("no.py",)], "file_path string"), named), "file_path", "content") == [("a.py", "x = 1\n"), ("no.py", "")]
+    assert records.with_previous(named, named.withColumn("ref", F.lit("v1")), "v0").first()["previous_source"] is None
+    assert [records.read_events(spark, str(tmp_path / p)).first()["payload"] for p in ("e.json", "none.json")] == ['{"number": 4}', "{}"]
+    assert rows(records.read_responses(spark, str(tmp_path / "r.json")), "attempt", "status", "content", "message") == [(1, "answer", "x", None), (2, "error", None, "429 {}"), (3, "error", None, "empty response")]
+    assert records.read_runs(spark, str(tmp_path / "runs.json"), ["python"]).count() == 1
+
+
+def test_requests_do_not_mix(spark):
+    files = spark.createDataFrame([("d1", "src/m.py", NEW, OLD), ("d2", "src/m.py", OLD, OLD)], "diff_id string, file_path string, content string, previous_source string")
+    diffs = spark.createDataFrame([("d1", "+++ b/src/m.py\n@@ -1,12 +1,12 @@"), ("d2", "+++ b/src/m.py\n@@ -1,2 +1,2 @@")], "diff_id string, text string")
+    got = generation.analyse(diffs, files)
+    assert rows(got, "diff_id", "function_name", "change_type") == [("d1", "fresh", "logic_change"), ("d1", "gone", "deletion"), ("d1", "keep", "signature_change"), ("d1", "new_name", "rename"), ("d2", "keep", "logic_change")]
+
+
+def test_last_entry_of_a_key_stands(spark):
+    targets = spark.createDataFrame([(1, "s.py", "python", "f"), (2, "s.py", "python", "f")], "target_id long, file_path string, language string, function_name string")
+    good = "def test_f_%s():\n    assert 1\n\ndef test_f_%s():\n    assert 2\n"
+    answers = spark.createDataFrame([(i, 1, "answer", good % (f"a{i}", f"b{i}")) for i in (1, 2)], "target_id long, attempt int, status string, content string")
+    existing = spark.createDataFrame([("s.py", "f", 0, "")], "source_file string, function_name string, ordinal int, existing_tests_text string")
+    base = spark.createDataFrame([], "key string, source_file string, language string, function_name string, test_id string, target_file string, test_names array<string>")
+    actions = spark.createDataFrame([], "action_type string, source_file string, function_name string, previous_name string")
+    kept, _ = generation.generate(targets, answers, existing, base, actions, "t")
+    assert [r["test_names"] for r in kept.collect()] == [["test_f_a2", "test_f_b2"]]
+
+
+def test_small_helpers(spark):
+    lit = F.lit
+    one = lambda **c: spark.range(1).select(*[x.alias(k) for k, x in c.items()]).first()
+    assert one(a=validation.is_component(lit("return (<Box/>)"), lit("javascript")), b=validation.is_component(lit("return 1"), lit("typescript")), c=validation.is_component(lit("<Box"), lit("python"))).asDict() == {"a": True, "b": False, "c": False}
+    assert one(x=validation.external_calls(lit("a(b[1]) + len(c) + d (2)"), F.array(lit("b")), ["len"]))["x"] == ["a", "d"]
+    names = spark.createDataFrame([(1, "test_f_1"), (1, "test_g_1"), (2, "test_f_2")], "target_id int, name string")
+    prefixes = spark.createDataFrame([(1, "test_f_"), (1, "test_old_"), (2, "test_g_")], "target_id int, prefix string")
+    assert rows(discovery.matching_test_names(names, prefixes), "target_id", "name") == [(1, "test_f_1")]
+    targets = spark.createDataFrame([(i, "s", f"f{i}") for i in range(4)], "target_id int, source_file string, function_name string")
+    outcomes = spark.createDataFrame([(0, True), (1, False), (2, False)], "target_id int, succeeded boolean")
+    assert rows(attempts.unresolved_by_file(targets, outcomes), "failed", "not_attempted") == [(["f1", "f2"], ["f3"])]
+    rules = spark.createDataFrame([(1, "project", 0, "x" * 8000), (1, "project", 1, "y" * 2000), (1, "request", 0, "z")], "target_id int, kind string, ordinal int, rule string")
+    assert rows(budgets.split_rule_budget(rules), "kind", "ordinal") == [("project", 0), ("request", 0)]
+    r = spark.createDataFrame([("see a/test_ai_generated_x.py and ERROR collecting b/test_ai_generated_y.py", "c\\ai_generated_z.test.ts")], "stdout string, stderr string")
+    assert rows(logs.failed_files(r), "file") == [("ai_generated_z.test.ts",), ("test_ai_generated_x.py",), ("test_ai_generated_y.py",)] and rows(logs.collection_errors(r), "file") == [("test_ai_generated_y.py",)]
+    rng = random.Random(4)
+    stem = lambda: "".join(rng.choice("abx_") for _ in range(rng.randint(1, 7)))
+    src, tst = [f"src/{stem()}.py" for _ in range(40)], [f"tests/test_{stem()}{rng.choice(['', '_test'])}.py" for _ in range(40)]
+    want = set()
+    for a in src:
+        s = a[4:-3].lower()
+        for b in tst:
+            t = re.sub("^_+|_+$", "", re.sub(r"^test_|_test$|^test|test$|\.test$|\.spec$", "", b[6:-3]))
+            if len(s) >= 4 and (s in b[6:] or (len(t) >= 4 and (t in s or s in t))):
+                want.add((a, b))
+    path = lambda xs: spark.createDataFrame([(x,) for x in xs], "file_path string")
+    assert set(map(tuple, discovery.related_tests(path(src), path(tst)).collect())) == want and want
+
+
+def test_outcomes_as_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"ts": "2024-01-01T00:01:00Z", "status": "valid"}\n{"ts": "2024-01-01T00:02:00Z", "status": "valid"}\n{"ts": "2024-01-01T00:07:00Z", "status": "error"}\n')
+    counts = responses.outcome_counts(responses.read_stream(spark, str(tmp_path / "in"), "ts timestamp, status string"))
+    query = counts.writeStream.outputMode("complete").format("memory").queryName("outcome_counts").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert rows(spark.table("outcome_counts"), "status", "n") == [("error", 1), ("valid", 2)]
 
 
 def test_dependencies(spark):
@@ -136,7 +230,9 @@ def test_dependencies(spark):
     change = spark.createDataFrame([(1, "p/a.py", "f", None, "if self.g(1):\n  return u(2)\nlogin(3)", ["self.g", "u", "login", "f"])], "change_id int, file_path string, function_name string, enclosing_class_name string, source_code string, called_functions array<string>")
     resolved = dependencies.resolve_calls(change, funcs, refs)
     got = dependencies.select_dependencies(resolved, files, "python")
-    assert rows(got, "function_name", "score", "mode") == [("K.g", 3, "code"), ("util", 3, "code")] or rows(got, "function_name") == [("K.g",)]
+    assert rows(got, "function_name", "score", "mode") == [("K.g", 3, "code"), ("util", 3, "code")]
+    bare = change.withColumn("called_functions", F.array().cast("array<string>"))
+    assert rows(dependencies.resolve_calls(bare, funcs, refs), "call") == rows(resolved, "call")
     js = spark.createDataFrame([("w/a.js", "import { x as y, z } from './b';\nimport * as n from './c';\nconst q = require('./d')"), ("w/b.js", ""), ("w/c/index.ts", ""), ("w/d.ts", "")], "file_path string, content string")
     assert rows(dependencies.resolve_modules(dependencies.script_imports(js), js, "javascript"), "local_name", "module_path") == [("n", "w/c/index.ts"), ("q", "w/d.ts"), ("y", "w/b.js"), ("z", "w/b.js")]
 
