@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkloom import code_queries
 from sparkloom.functions import paths, text
 from sparkloom.operators import attempts, budgets, changes, dedup, dependencies, logs, store, validation
 from sparkloom.sources import records
@@ -137,18 +138,6 @@ def q_topk_then_filter(spark, sf_dir):
     return top.where("l_quantity > 40").select("l_suppkey", "l_orderkey", "l_linenumber", F.col("rank").cast("long").alias("rank"))
 
 
-@_query(
-    """SELECT coalesce(a.k, b.k) AS o_orderkey, CASE WHEN b.k IS NULL THEN 'logic_change' WHEN a.k IS NULL THEN 'deletion' WHEN a.s <> b.s THEN 'signature_change' ELSE 'logic_change' END AS change_type
-    FROM (SELECT o_orderkey AS k, o_orderpriority AS s FROM orders WHERE o_orderkey % 3 <> 0) a FULL JOIN (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'x' ELSE o_orderpriority END AS s FROM orders WHERE o_orderkey % 4 <> 0) b USING (k)"""
-)
-def q_classify_full_outer(spark, sf_dir):
-    o = _t(spark, sf_dir, "orders")
-    a = o.where("o_orderkey % 3 <> 0").select("o_orderkey", F.col("o_orderpriority").alias("a"))
-    b = o.where("o_orderkey % 4 <> 0").select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, "x").otherwise(F.col("o_orderpriority")).alias("b"))
-    kind = F.when(F.col("b").isNull(), "logic_change").when(F.col("a").isNull(), "deletion").when(F.col("a") != F.col("b"), "signature_change").otherwise("logic_change")
-    return a.join(b, "o_orderkey", "full").select("o_orderkey", kind.alias("change_type"))
-
-
 @_query("SELECT p_partkey, coalesce(nullif(regexp_replace(regexp_replace(p_name || '-' || p_brand, '[^A-Za-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'target') AS identifier FROM part")
 def q_sanitize_identifier(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", text.sanitize_identifier(F.concat_ws("-", "p_name", "p_brand")).alias("identifier"))
@@ -244,8 +233,8 @@ def q_response_content(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, (f, _) in _ALL.items()}
+    return {k: f for k, (f, _) in _ALL.items()} | code_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in _ALL.items() if sql}
+    return {k: sql for k, (_, sql) in _ALL.items() if sql} | code_queries.oracle_sql()
