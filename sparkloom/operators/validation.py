@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.source_code import is_syntax_valid, test_names
-from sparkloom.functions.text import trim_space
+from sparkloom.functions.text import SPACE, trim_space
 
 #: What generated tests must not hold (Unicode word characters are meant).
 BANNED = (
@@ -23,6 +23,18 @@ COMPONENT = (r"return\s*\(\s*<", r"return\s*<", r"=>\s*\(\s*<", r"=>\s*<", r"<[A
 FEWEST_TESTS, MOST_TESTS, MOST_SUSPICIOUS = 2, 30, 2
 
 
+#: What a text (in lower case, if the pattern takes any case) has to hold for the pattern of the same place in BANNED to match: a search for
+#: a plain string costs far less than the pattern, and most texts hold none of them.
+BANNED_HOLDS = (("***",), ("???",), ("todo", "tbd"), ("your_module",), ("create_engine",), ("requests", "httpx"), (".connect",), ("open",), ("Path(",), ("http",), ("require",))
+
+
+def _holds(text: Column, words: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out |= text.contains(w)
+    return out
+
+
 def _any(text: Column, patterns: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for p in patterns:
@@ -31,28 +43,30 @@ def _any(text: Column, patterns: tuple[str, ...]) -> Column:
 
 
 def has_banned_content(text: Column) -> Column:
-    return _any(text, BANNED)
+    out = F.lit(False)
+    for words, pattern in zip(BANNED_HOLDS, BANNED, strict=True):
+        out |= _holds(F.lower(text) if pattern.startswith("(?i") else text, words) & text.rlike(pattern)
+    return out
 
 
 def is_component(text: Column, language: Column) -> Column:
     return language.isin("javascript", "typescript") & _any(text, COMPONENT)
 
 
-def _lines(text: Column) -> Column:
-    return F.filter(F.split(text, r"\r\n|\n|\r"), lambda x: trim_space(x) != "")
-
-
 def is_truncated(text: Column, language: Column) -> Column:
-    last = F.regexp_replace(F.element_at(_lines(text), -1), r"\s+$", "")
+    """By the last line that is not blank, and by brackets that are left open. No text is split for that."""
+    rest = F.regexp_replace(text, rf"{SPACE}+\z", "")
+    last = F.substring_index(F.replace(rest, F.lit("\r"), F.lit("\n")), "\n", -1)
     script = language.isin("javascript", "typescript") & ~last.rlike(r"^\s*\}[\s\)]*;?\s*$")
     python = (language == "python") & (last.rlike(r"[\\:]$") | last.rlike(r"(==|!=|<=|>=|(?<!\w)=(?!\w)|,|\()\s*$") | last.rlike(r"\b(and|or|not)\s*$"))
-    open_ = F.regexp_count(text, F.lit(r"[(\[{]")) - F.regexp_count(text, F.lit(r"[)\]}]"))
-    return F.size(_lines(text)).eqNullSafe(0) | F.coalesce(script | python, F.lit(False)) | (open_ > 3)
+    size = lambda a, b, c: F.octet_length(F.replace(F.replace(F.replace(text, F.lit(a)), F.lit(b)), F.lit(c)))
+    return (rest == "") | F.coalesce(script | python, F.lit(False)) | (size(")", "]", "}") - size("(", "[", "{") > 3)
 
 
 def import_failure(text: Column, language: Column, source_file: Column) -> Column:
     """A reason or null."""
-    lines = F.transform(F.split(text, r"\r\n|\n|\r"), trim_space)
+    some = text.contains("import") | text.contains("from") | text.contains("require(")
+    lines = F.when(some, F.transform(F.split(text, r"\r\n|\n|\r"), trim_space)).otherwise(F.array().cast("array<string>"))
     own = F.filter(lines, lambda x: x.startswith("import ") | x.startswith("from "))
     placeholder = F.exists(own, lambda x: x.rlike(r"\b(your_|example_|placeholder_|fake_|dummy_module)\w*"))
     parts = F.filter(F.split(F.translate(source_file, "\\", "/"), "/"), lambda x: x != "")
@@ -72,7 +86,7 @@ def native_failure(text: Column, language: Column, source_file: Column) -> Colum
     return F.coalesce(
         F.when(F.coalesce(trim_space(text), F.lit("")) == "", "empty"),
         F.when(is_truncated(text, language), "truncated"),
-        F.when(text.rlike(STUBS), "stub_body"),
+        F.when(_holds(F.lower(text), ("#", "notimplementederror")) & text.rlike(STUBS), "stub_body"),
         import_failure(text, language, source_file),
         F.when(has_banned_content(text), "banned_pattern"),
         F.when(language.isin("javascript", "typescript") & _any(text, BANNED_SCRIPT), "banned_js_pattern"),
