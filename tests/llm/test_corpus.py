@@ -261,35 +261,42 @@ def test_language_of_large_alphabets(spark):
     assert m.phrases(s, np.array([0, len(s)]))[0, 1] == phrases
 
 
-@pytest.mark.parametrize("hot", [katz.HOT_LEAST, 3])
-def test_katz(docs, no_docs, corpus, monkeypatch, hot):
+@pytest.mark.parametrize("hot, order", [(katz.HOT_LEAST, 2), (3, 2), (katz.HOT_LEAST, 3), (2, 4)])
+def test_katz(docs, no_docs, corpus, monkeypatch, hot, order):
     monkeypatch.setattr(katz, "HOT_LEAST", hot)
-    streams = {d: [*(t or "").encode().lower().split(), None] for d, t, *_ in corpus}
+    streams = {d: [None, *(t or "").encode().lower().split(), None] for d, t, *_ in corpus}
     learn = {d: zlib.crc32(str(d).encode()) % 10 != 0 for d in streams}
-    uni, bi = collections.Counter(), collections.Counter()
-    for d, w in streams.items():
-        if learn[d]:
-            uni.update(w)
-            bi.update(zip([None, *w[:-1]], w))
+    grams = {k: collections.Counter(tuple(w[i - k + 1 : i + 1]) for d, w in streams.items() if learn[d] for i in range(1, len(w)) if i - k + 1 >= 0) for k in range(1, order + 1)}
+    uni = grams[1]
     count_of = lambda c: np.bincount([min(x, 7) for x in c.values()], minlength=8)[:7]
     words = katz.Words.of(count_of(uni), sum(uni.values()), len(uni))
-    d2 = katz.discounts(count_of(bi))
-    p = lambda w: float(words.p(np.array([uni[w]]))[0])
-    assert sum(map(p, uni)) + words.unknown == pytest.approx(1)
-    pair, weight = {}, {}
-    for h in uni:
-        seen = {w: n for (x, w), n in bi.items() if x == h}
-        probs = {w: float(katz.discounted(np.array([n]), d2)[0]) / uni[h] for w, n in seen.items()}
-        scale = uni[h] / (uni[h] + 1) if sum(probs.values()) > 1 - 1e-9 else 1
-        pair |= {(h, w): x * scale for w, x in probs.items()}
-        weight[h] = (1 - sum(probs.values()) * scale) / (1 - sum(map(p, seen)))
-        assert sum(pair[h, w] for w in seen) + weight[h] * (1 - sum(map(p, seen))) == pytest.approx(1)
-    got = by_id(katz.score_documents(docs))
+    p1 = lambda w: float(words.p(np.array([uni[(w,)]]))[0])
+    assert sum(p1(w) for (w,) in uni) + words.unknown == pytest.approx(1)
+    known, weight = {}, {}
+
+    def p(h, w):
+        return p1(w) if not h else known[(*h, w)] if (*h, w) in known else weight.get(h, 1.0) * p(h[1:], w)
+
+    for k in range(2, order + 1):
+        d = katz.discounts(count_of(grams[k]))
+        followers = collections.defaultdict(dict)
+        for g, n in grams[k].items():
+            followers[g[:-1]][g[-1]] = n
+        for h, seen in followers.items():
+            size = sum(seen.values())
+            probs = {w: float(katz.discounted(np.array([n]), d)[0]) / size for w, n in seen.items()}
+            scale = size / (size + 1) if sum(probs.values()) > 1 - 1e-9 else 1
+            known |= {(*h, w): x * scale for w, x in probs.items()}
+            weight[h] = (1 - sum(probs.values()) * scale) / (1 - sum(p(h[1:], w) for w in seen))
+            if k == 2 and len(h) == 1:
+                assert sum(probs.values()) * scale + weight[h] * (1 - sum(p1(w) for w in seen)) == pytest.approx(1)
+
+    got = by_id(katz.score_documents(docs, order=order))
     for d, w in streams.items():
         r = got[d]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (not learn[d], len(w), sum(x in uni for x in w), sum(uni.values()))
-        assert r["base_score"] == pytest.approx(sum(math.log10((uni[x] + 0.1) / (words.total + 0.1 * (words.kinds + 1))) for x in w))
-        assert r["score"] == pytest.approx(sum(math.log10(pair.get((h, x)) or weight.get(h, 1.0) * p(x)) for h, x in zip([None, *w[:-1]], w)), rel=1e-11)
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (not learn[d], len(w) - 1, sum((x,) in uni for x in w[1:]), sum(uni.values()))
+        assert r["base_score"] == pytest.approx(sum(math.log10((uni[(x,)] + 0.1) / (words.total + 0.1 * (words.kinds + 1))) for x in w[1:]))
+        assert r["score"] == pytest.approx(sum(math.log10(p(tuple(w[max(0, i - order + 1) : i]), w[i])) for i in range(1, len(w))), rel=1e-9)
     assert katz.score_documents(no_docs).count() == 0
 
 
