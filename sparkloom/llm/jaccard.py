@@ -50,7 +50,7 @@ DEPTH = 7
 RECALL = 0.99999
 #: Rows of a block of a trie's part; documents and shingles of a group's block.
 BUCKET_BLOCK = 4096
-GROUP_BLOCK, GROUP_SHINGLES = 256, 400_000
+GROUP_BLOCK, GROUP_SHINGLES = 128, 400_000
 
 _rng = np.random.Generator(np.random.PCG64(11))
 _A = (_rng.integers(0, 1 << 32, TREES * DEPTH, np.uint32) | np.uint32(1))[:, None]
