@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import paths
 from sparkloom.functions.source_code import bare_body, canonical_form, most_alike, similarity
-from sparkloom.functions.text import split_lines, trim_space
+from sparkloom.functions.text import LINE_BREAK, trim_space
 
 RENAME_AT = 0.58
 #: Calls that do not count, and the lines of a trivial body.
@@ -28,23 +28,36 @@ SIDE_EFFECTS = (
 MARKUP = r"return\s*[\(<]|=>\s*[\(<]|<[A-Z][a-zA-Z]+|</[a-zA-Z]"
 
 
+#: A hunk's header; where a file's section begins.
+HUNK = r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
+SECTION, TARGET = "diff --git ", "+++ b/"
+
+
+def hunks(diffs: DataFrame) -> DataFrame:
+    """`diffs` (diff_id, text) to diff_id, file_path, old_start, old_size, new_start, new_size, a row for each hunk.
+
+    A text is cut before every line that begins a section or names a target, so each piece
+    holds its own path and its hunks; lines need no order among each other, and nothing is
+    shuffled. A text may be a whole diff or some of its sections."""
+    cut = rf"(?:\A|{LINE_BREAK})(?=\Q{SECTION}\E|\Q{TARGET}\E)"
+    pieces = diffs.select("diff_id", F.explode(F.split("text", cut, -1)).alias("piece")).where(F.col("piece").startswith(TARGET))
+    head = F.split("piece", LINE_BREAK, 2)[0]
+    path = F.translate(trim_space(F.substring(head, len(TARGET) + 1, 1 << 30)), "\\", "/")
+    found = pieces.select("diff_id", path.alias("file_path"), F.explode(F.regexp_extract_all("piece", F.lit(rf"(?:{LINE_BREAK})({HUNK})"), F.lit(1))).alias("hunk")).where("file_path <> ''")
+    part = lambda i: F.regexp_extract("hunk", HUNK, i)
+    size = lambda i: F.coalesce(F.nullif(part(i), F.lit("")).cast("int"), F.lit(1))
+    return found.select("diff_id", "file_path", part(1).cast("int").alias("old_start"), size(2).alias("old_size"), part(3).cast("int").alias("new_start"), size(4).alias("new_size"))
+
+
 def changed_lines(diffs: DataFrame) -> DataFrame:
     """`diffs` (diff_id, text) to distinct (diff_id, file_path, side, line); side is 'added' or 'removed'.
 
-    A file's section reaches from its `+++ b/` line to the next section; within one text,
-    lines keep their order by an ordinal."""
-    lines = diffs.select("diff_id", F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
-    w = Window.partitionBy("diff_id").orderBy("pos")
-    head = F.when(F.col("line").startswith("diff --git "), F.lit("")).when(F.col("line").startswith("+++ b/"), F.translate(trim_space(F.substring("line", 7, 1 << 30)), "\\", "/"))
-    own = lines.withColumn("file_path", F.last(head, ignorenulls=True).over(w)).where(F.col("line").startswith("@@ -") & (F.col("file_path") != ""))
-    pattern = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
-    part = lambda i: F.regexp_extract("line", pattern, i)
-    size = lambda i: F.coalesce(F.nullif(part(i), F.lit("")).cast("int"), F.lit(1))
-    own = own.where(F.col("line").rlike(pattern))
+    A file's section reaches from its `+++ b/` line to the next section; a size that is left
+    out is 1, one of 0 gives no line. See `hunks`: rows of one diff need not be together."""
     sides = F.array(
-        F.struct(F.lit("removed").alias("side"), part(1).cast("int").alias("start"), size(2).alias("n")), F.struct(F.lit("added").alias("side"), part(3).cast("int").alias("start"), size(4).alias("n"))
+        F.struct(F.lit("removed").alias("side"), F.col("old_start").alias("start"), F.col("old_size").alias("n")), F.struct(F.lit("added").alias("side"), F.col("new_start").alias("start"), F.col("new_size").alias("n"))
     )
-    spans = own.select("diff_id", "file_path", F.inline(sides)).where("n > 0")
+    spans = hunks(diffs).select("diff_id", "file_path", F.inline(sides)).where("n > 0")
     return spans.select("diff_id", "file_path", "side", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("line")).distinct()
 
 

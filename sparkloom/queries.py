@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom import code_queries
+from sparkloom import code_queries, flow_queries
 from sparkloom.functions import paths, text
 from sparkloom.operators import attempts, budgets, changes, dedup, dependencies, logs, store, validation
 from sparkloom.sources import records
@@ -233,8 +233,8 @@ def q_response_content(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, (f, _) in _ALL.items()} | code_queries.queries()
+    return {k: f for k, (f, _) in _ALL.items()} | code_queries.queries() | flow_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in _ALL.items() if sql} | code_queries.oracle_sql()
+    return {k: sql for k, (_, sql) in _ALL.items() if sql} | code_queries.oracle_sql() | flow_queries.oracle_sql()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: Settings that hold at every size; a cluster's own submit-time settings win where they are given first.
@@ -24,3 +27,17 @@ def local_session(cores: int = 8, memory: str = "8g", app: str = "sparkloom") ->
     spark = builder.config("spark.sql.shuffle.partitions", str(cores)).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share: in the one that spark.checkpoint.dir names, else a temporary one, on a local master alone."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if held.isEmpty() and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="sparkloom-") if held.isEmpty() else held.get()
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path

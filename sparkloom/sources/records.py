@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import trim_space
+from sparkloom.operators.changes import SECTION
 
 
 def read_diffs(spark: SparkSession, path: str) -> DataFrame:
@@ -13,6 +14,16 @@ def read_diffs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("diff_id"), F.col("value").alias("text"))
 
 
+def read_diff_sections(spark: SparkSession, path: str) -> DataFrame:
+    """diff_id (the file's path) and text, a row for each file's section of each captured diff, without the mark that begins it.
+
+    Records end where the next section begins, so Spark splits a large diff between tasks as
+    it does with lines. `changed_lines` gives the same rows for these as for whole diffs. What
+    stands before the first section is a row of its own."""
+    found = spark.read.option("lineSep", "\n" + SECTION).text(path)
+    return found.select(F.col("_metadata.file_path").alias("diff_id"), F.regexp_replace("value", rf"\A\Q{SECTION}\E", "").alias("text"))
+
+
 def read_changed_paths(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.translate(trim_space(F.col("value")), "\\", "/").alias("file_path")).where("file_path <> ''")
 
