@@ -65,15 +65,14 @@ def q_path_predicates(spark, sf_dir):
 
 
 @_query(
-    rf"""WITH f AS (SELECT p_partkey, {_PATH} AS p FROM part WHERE p_partkey // 7 % {len(_NAMES)} IN (8, 10, 11, 13, 16)), s AS (SELECT *, CASE WHEN p LIKE 'UNIT_TEST_REPO/%' THEN substr(p, 16) ELSE p END AS c, regexp_replace(p, '\.[^./]*$', '') AS b FROM f)
+    rf"""WITH f AS (SELECT p_partkey, {_PATH} AS p FROM part), s AS (SELECT *, lower(regexp_extract(p, '(\.[^./]+)$', 1)) AS x, CASE WHEN p LIKE 'UNIT_TEST_REPO/%' THEN substr(p, 16) ELSE p END AS c, regexp_replace(p, '\.[^./]*$', '') AS b FROM f)
     SELECT p_partkey, replace(regexp_replace(p, '\.py$', ''), '/', '.') AS module, replace(replace(b, '/', '_'), '-', '_') AS flat, c AS clean,
-    'tests/generated/' || regexp_replace(c, '\.[^./]*$', '') || '/test_t' || p_partkey || CASE WHEN p LIKE '%.ts' THEN '.test.ts' WHEN p LIKE '%.tsx' THEN '.test.ts' ELSE '.py' END AS target,
-    CASE WHEN p LIKE '%.py' THEN 'from ' || replace(regexp_replace(p, '\.py$', ''), '/', '.') || ' import f' ELSE 'import {{ f }} from ''' || regexp_replace(p, '\.tsx?$', '') || '''' END AS import_line FROM s"""
+    'tests/generated/' || regexp_replace(c, '([^/])\.[^./]*$', '\1') || '/test_t' || p_partkey || CASE WHEN x IN ('.ts', '.tsx') THEN '.test.ts' WHEN x IN ('.js', '.jsx') THEN '.test.js' ELSE '.py' END AS target,
+    CASE WHEN x = '.py' THEN 'from ' || replace(regexp_replace(p, '\.py$', ''), '/', '.') || ' import f' ELSE 'import {{ f }} from ' || chr(39) || regexp_replace(p, '\.(tsx|ts|jsx|js)$', '') || chr(39) END AS import_line FROM s"""
 )
 def q_module_paths(spark, sf_dir):
     p, lang = F.col("file_path"), F.col("language")
     some = _paths(spark, sf_dir).withColumn("language", paths.language_of(p))
-    some = some.where((F.floor(F.col("p_partkey") / 7) % len(_NAMES)).isin(8, 10, 11, 13, 16))
     return some.select(
         "p_partkey", paths.python_module(p).alias("module"), paths.module_name(p).alias("flat"), paths.sanitized_source(p).alias("clean"),
         paths.output_path("tests/generated", p, F.concat(F.lit("t"), F.col("p_partkey").cast("string")), lang).alias("target"), paths.import_line(F.lit("f"), p, lang).alias("import_line"),
@@ -133,9 +132,9 @@ def q_trivial_functions(spark, sf_dir):
     return _functions(spark, sf_dir).select("o_orderkey", trivial.alias("trivial"))
 
 
-@_query(f"WITH {_FUNCTIONS} SELECT file_path, bool_and(trivial) AS is_config_like FROM (SELECT * FROM t WHERE o_orderkey % {len(_BODIES)} < 3) GROUP BY file_path")
+@_query(f"WITH {_FUNCTIONS} SELECT file_path, bool_and(trivial) AS is_config_like FROM t GROUP BY file_path")
 def q_config_like_files(spark, sf_dir):
-    return changes.config_like_files(_functions(spark, sf_dir).where(F.col("o_orderkey") % len(_BODIES) < 3))
+    return changes.config_like_files(_functions(spark, sf_dir))
 
 
 @_query(
@@ -164,31 +163,33 @@ def q_generation_gates(spark, sf_dir):
     return changes.with_gates(c).select("o_orderkey", "has_behavioral_change", "skip_reason", "should_generate")
 
 
-#: Of a file's n-th function: 0 stays, 1 gets another signature, 2 another name, 3 goes, 4 is new.
-_VERSIONS = "SELECT o_custkey % 60 AS file, row_number() OVER (PARTITION BY o_custkey % 60 ORDER BY o_orderkey) - 1 AS n, o_orderkey AS k FROM orders"
-
-
 @_query(
-    f"""WITH f AS (SELECT * FROM ({_VERSIONS}) WHERE n < 20) SELECT 'src/' || file || '.py' AS file_path, CASE n % 5 WHEN 2 THEN 'to' || n WHEN 3 THEN 'fn' || n ELSE 'fn' || n END AS function_name,
-    CASE n % 5 WHEN 0 THEN 'logic_change' WHEN 1 THEN 'signature_change' WHEN 2 THEN 'rename' WHEN 3 THEN 'deletion' ELSE 'logic_change' END AS change_type, CASE WHEN n % 5 = 4 THEN NULL ELSE 'fn' || n END AS previous_name FROM f"""
+    """WITH f AS (SELECT o_orderkey // 32 AS file, row_number() OVER (PARTITION BY o_orderkey // 32 ORDER BY o_orderkey) - 1 AS n FROM orders),
+    c AS (SELECT file, 'fn' || n AS function_name, CASE n % 5 WHEN 1 THEN 'signature_change' WHEN 3 THEN 'deletion' ELSE 'logic_change' END AS change_type, CASE WHEN n % 5 <> 4 THEN 'fn' || n END AS previous_name FROM f WHERE n % 5 <> 2
+    UNION ALL SELECT file, 'to' || n, 'rename', 'fn' || n FROM f WHERE n % 10 = 2 UNION ALL SELECT file, 'dup' || n, 'deletion', 'dup' || n FROM f WHERE n % 10 = 2
+    UNION ALL SELECT file, 'to' || n, 'logic_change', NULL FROM f WHERE n % 10 = 7 UNION ALL SELECT file, 'fn' || n, 'deletion', 'fn' || n FROM f WHERE n % 10 = 7)
+    SELECT 'src/' || file || '.py' AS file_path, function_name, change_type, previous_name FROM c"""
 )
 def q_classify_changes(spark, sf_dir):
+    """Of a file's n-th function: 0 stays, 1 gets another signature, 2 another name (an equal one comes later and goes), 7 another name and class, 3 and 8 go, 4 and 9 are new."""
     w = Window.partitionBy("file").orderBy("o_orderkey")
-    f = _t(spark, sf_dir, "orders").withColumn("file", F.col("o_custkey") % 60).withColumn("n", F.row_number().over(w) - 1).where("n < 20")
+    f = _t(spark, sf_dir, "orders").withColumn("file", F.floor(F.col("o_orderkey") / 32)).withColumn("n", F.row_number().over(w) - 1)
     case = F.col("n") % 5
+    none = F.lit(None).cast("string")
 
-    def version(name: Column, signature: Column) -> DataFrame:
+    def version(rows: DataFrame, name: Column, signature: Column, owner: Column, at: int = 0) -> DataFrame:
         body = F.concat(name, F.lit("(): "), F.repeat(F.char(F.col("n") + 97), 60))
-        return f.select(
-            F.format_string("src/%d.py", "file").alias("file_path"), F.lit("python").alias("language"), F.col("n").cast("int").alias("ordinal"), name.alias("function_name"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), body.alias("source_code"), body.alias("context_code"),
-            signature.alias("signature"), F.lit(None).cast("string").alias("enclosing_class_name"), F.array().cast("array<string>").alias("called_functions"), F.lit(0).alias("branch_count"), F.lit(False).alias("has_validation"), "n",
+        return rows.select(
+            F.format_string("src/%d.py", "file").alias("file_path"), F.lit("python").alias("language"), (F.col("n") + at).cast("int").alias("ordinal"), name.alias("function_name"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), body.alias("source_code"), body.alias("context_code"),
+            signature.alias("signature"), owner.alias("enclosing_class_name"), F.array().cast("array<string>").alias("called_functions"), F.lit(0).alias("branch_count"), F.lit(False).alias("has_validation"),
         )
 
-    old = F.concat(F.lit("fn"), F.col("n").cast("string"))
-    name = F.when(case == 2, F.concat(F.lit("to"), F.col("n").cast("string"))).otherwise(old)
-    now = version(name, F.concat(F.char(F.col("n") + 65), F.when(case == 1, "(b)").otherwise("(a)"))).where("n % 5 <> 3")
-    before = version(old, F.concat(F.char(F.col("n") + 65), F.lit("(a)"))).where("n % 5 <> 4")
-    return changes.classify(now.drop("n"), before.drop("n")).select("file_path", "function_name", "change_type", "previous_name")
+    of = lambda x: F.concat(F.lit(x), F.col("n").cast("string"))
+    head = F.char(F.col("n") + 65)
+    owner = F.when(case == 2, "C").otherwise(none)
+    now = version(f.where("n % 5 <> 3"), F.when(case == 2, of("to")).otherwise(of("fn")), F.concat(head, F.when(case == 1, "(b)").otherwise("(a)")), F.when(F.col("n") % 10 == 7, "D").otherwise(owner))
+    before = version(f.where("n % 5 <> 4"), of("fn"), F.concat(head, F.lit("(a)")), owner).unionByName(version(f.where("n % 10 = 2"), of("dup"), F.concat(head, F.lit("(a)")), owner, 1000))
+    return changes.classify(now, before).select("file_path", "function_name", "change_type", "previous_name")
 
 
 # ---------------------------------------------------------------- extraction
@@ -206,13 +207,24 @@ def q_python_functions(spark, sf_dir):
 
 
 @_query(
-    """SELECT n_nationkey, 'add' || n_nationkey AS function_name, 1 AS start_line, 3 AS end_line, 1 AS branch_count, 'go' AS calls FROM nation UNION ALL SELECT n_nationkey, 'twice', 4, 4, 0, '' FROM nation
-    UNION ALL SELECT n_nationkey, n_name || '.open', 6, 8, 2, 'this.check' FROM nation"""
+    """SELECT n_nationkey, 'add' || n_nationkey AS function_name, 1 AS start_line, 3 AS end_line, 1 AS branch_count, 'add' || n_nationkey || ',go' AS calls, 'function add' || n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN '(a, b=...)' ELSE '(a, b = 1)' END AS signature FROM nation
+    UNION ALL SELECT n_nationkey, 'twice', 4, 4, 0, 'async', CASE WHEN n_nationkey % 2 = 0 THEN 'async function twice(x)' ELSE 'function twice(x)' END FROM nation
+    UNION ALL SELECT n_nationkey, n_name || '.open', 6, 8, 2, 'open,this.check', CASE WHEN n_nationkey % 2 = 0 THEN 'async function ' || n_name || '.open(key)' ELSE 'function open(key)' END FROM nation UNION ALL SELECT n_nationkey, 'k', 10, 10, 0, 'k', 'function k(a)' FROM nation"""
 )
 def q_script_functions(spark, sf_dir):
-    code = F.concat(F.lit("export function add"), F.col("n_nationkey").cast("string"), F.lit("(a, b) {\n  if (a) { return go(\"}\"); } // { open\n}\nconst twice = (x) => x * 2;\nclass "), F.col("n_name"), F.lit(" {\n  async open(key) {\n    for (const k of key) { this.check(k) ? 1 : 2 }\n  }\n}\n"))
+    code = F.concat(F.lit("export function add"), F.col("n_nationkey").cast("string"), F.lit("(a, b = 1) {\n  if (a) { return go(\"}\"); } // { open\n}\nconst twice = async (x) => x * 2;\nclass "), F.col("n_name"), F.lit(" {\n  async open(key) {\n    for (const k of key) { this.check(k) ? 1 : 2 }\n  }\n}\nfunction k(a) { return /[{]/ }\nconst g = useCallback((a) => a)\nexport class Out {\n  run() { }\n}\n"))
+    files = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("file_path"), _pick("n_nationkey", ("javascript", "typescript")).alias("language"), code.alias("content"))
+    return source_code.extract_functions(files).select(F.col("file_path").cast("long").alias("n_nationkey"), "function_name", "start_line", "end_line", "branch_count", F.array_join("called_functions", ",").alias("calls"), "signature")
+
+
+@_query(
+    """SELECT n_nationkey, 'run' AS function_name, 1 AS start_line FROM nation UNION ALL SELECT n_nationkey, n_name || '_open', 8 FROM nation UNION ALL SELECT n_nationkey, 'Full_constructor', 13 FROM nation"""
+)
+def q_script_functions_without_diff(spark, sf_dir):
+    """Methods of exported classes count here; a constructor that only sets `this.x` does not."""
+    code = F.concat(F.lit("async function run(a) {\n}\nexport default class "), F.col("n_name"), F.lit(" {\n  constructor(a) {\n    this.a = a;\n\n  }\n  open() { return /}/ }\n}\nif (a) { b(() => 1) }\nclass Full {\n\n  constructor() {\n    this.a = 1;\n    go()\n  }\n}\n"))
     files = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("file_path"), _pick("n_nationkey", ("javascript", "typescript")).alias("language"), code.alias("content"))
-    return source_code.extract_functions(files).select(F.col("file_path").cast("long").alias("n_nationkey"), "function_name", "start_line", "end_line", "branch_count", F.array_join("called_functions", ",").alias("calls"))
+    return source_code.extract_functions(files, diff_free=True).select(F.col("file_path").cast("long").alias("n_nationkey"), "function_name", "start_line")
 
 
 @_query(
@@ -241,6 +253,10 @@ _TESTS = (
     ("javascript", "import f from 'placeholder'\nit('a', () => {\n})", "it_a", True, "fake_import_js"),
     ("python", "def test_a():\n    raise NotImplementedError", "test_a", True, "stub_body"),
     ("python", " ", "", True, "empty"),
+    ("javascript", "it('a', () => {\n  if (x) /[(]/.test(y)\n})\nit('b', () => {\n})", "it_a,it_b", True, ""),
+    ("typescript", "it('a', () => {\n  const f = () => <p>{a && (<b>x</b>)} <i/></p>\n})\nit('b', () => {\n})", "it_a,it_b", None, ""),
+    ("javascript", "it('b', () => {})\nit('a', () => {\x0c})", "it_b,it_a", True, ""),
+    ("javascript", "it('b', () => { f(1 2) })\nit('a', () => {\n})", "it_b,it_a", False, "syntax_error"),
 )
 
 
@@ -277,13 +293,13 @@ def q_import_checks(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", validation.import_failure(_pick("p_partkey", _IMPORTS), F.lit("python"), F.lit("src/app.py")).alias("reason"))
 
 
-_SCRIPTS = ("return 'a b'", 'return "ab"', "return  'a b' // x", "return 'ab'", "a = /[(]/g /* c */ + 1", "a = /[(]/g+1", "f(`x ${y} z`)", "f( `x ${y} z` )", "f(`x ${y}  z`)")
-_SAME = (0, 1, 0, 2, 3, 3, 4, 4, 5)
+_SCRIPTS = ("return 'a b'", 'return "ab"', "return  'a b' // x", "return 'ab'", "a = /[(]/g /* c */ + 1", "a = /[(]/g+1", "f(`x ${y} z`)", "f( `x ${y} z` )", "f(`x ${y}  z`)", "return\n x", "return x", "a\n++b", "a++\nb", "if (x) /[(]/.test(y)", "if(x)/[(]/.test( y ) // z", "a\n++ b")
+_SAME = (0, 1, 0, 2, 3, 3, 4, 4, 5, 6, 7, 8, 9, 10, 10, 8)
 
 
-@_query(f"WITH c AS (SELECT c_custkey, {_sql('c_custkey', _SAME)} AS a, {_sql('c_custkey // 9', _SAME)} AS b FROM customer) SELECT c_custkey, a = b AS same FROM c")
+@_query(f"WITH c AS (SELECT c_custkey, {_sql('c_custkey', _SAME)} AS a, {_sql(f'c_custkey // {len(_SAME)}', _SAME)} AS b FROM customer) SELECT c_custkey, a = b AS same FROM c")
 def q_canonical_scripts(spark, sf_dir):
-    c = _t(spark, sf_dir, "customer").withColumn("n", F.floor(F.col("c_custkey") / 9)).select("c_custkey", F.lit("typescript").alias("language"), _pick("c_custkey", _SCRIPTS).alias("a"), _pick("n", _SCRIPTS).alias("b"))
+    c = _t(spark, sf_dir, "customer").withColumn("n", F.floor(F.col("c_custkey") / len(_SCRIPTS))).select("c_custkey", F.lit("typescript").alias("language"), _pick("c_custkey", _SCRIPTS).alias("a"), _pick("n", _SCRIPTS).alias("b"))
     return c.select("c_custkey", (source_code.canonical_form("language", "a") == source_code.canonical_form("language", "b")).alias("same"))
 
 
@@ -357,12 +373,12 @@ def q_resolved_script_imports(spark, sf_dir):
 
 @_query(
     """WITH r AS (SELECT l_orderkey AS change_id, 'f' || l_partkey % 7 AS fn, CASE WHEN l_suppkey % 3 = 0 THEN NULL WHEN l_suppkey % 3 = 1 THEN 'src/a.py' ELSE 'lib/site-packages/b.py' END AS file, l_linenumber * 10000000 + l_partkey * 1000 + l_suppkey AS call_at,
-    CASE WHEN l_partkey % 2 = 0 THEN 'check' ELSE 'trace' END AS call FROM lineitem WHERE l_orderkey < 2000), b AS (SELECT *, CASE call WHEN 'check' THEN 2 ELSE -5 END - 3 AS score FROM r),
+    CASE WHEN l_partkey % 2 = 0 THEN 'check' ELSE 'trace' END AS call FROM lineitem), b AS (SELECT *, CASE call WHEN 'check' THEN 2 ELSE -5 END - 3 AS score FROM r),
     m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY change_id, fn ORDER BY score DESC, call_at) AS r FROM b) WHERE r = 1), t AS (SELECT *, row_number() OVER (PARTITION BY change_id ORDER BY score DESC, fn) AS rank FROM m)
     SELECT change_id, rank::INT AS rank, fn AS function_name, score::INT AS score, CASE WHEN file = 'src/a.py' THEN 'code' ELSE 'import_only' END AS mode, CASE WHEN file = 'src/a.py' THEN 'def g(): 1' WHEN file IS NULL THEN '# ' || fn || ' (third-party)' ELSE 'from lib.site-packages.b import ' || fn END AS content FROM t WHERE rank <= 20 AND score > -4"""
 )
 def q_selected_dependencies(spark, sf_dir):
-    i = _t(spark, sf_dir, "lineitem").where("l_orderkey < 2000")
+    i = _t(spark, sf_dir, "lineitem")
     file = F.when(F.col("l_suppkey") % 3 == 1, "src/a.py").when(F.col("l_suppkey") % 3 == 2, "lib/site-packages/b.py")
     resolved = i.select(F.col("l_orderkey").alias("change_id"), (F.col("l_linenumber") * 10000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("call_at"), F.when(F.col("l_partkey") % 2 == 0, "check").otherwise("trace").alias("call"), F.lit("").alias("caller"), file.alias("source_file"), F.concat(F.lit("f"), (F.col("l_partkey") % 7).cast("string")).alias("function_name"), F.lit("def g(): 1").alias("source_code"))
     files = spark.createDataFrame([("src/a.py",), ("lib/site-packages/b.py",)], "file_path string")
@@ -373,14 +389,14 @@ def q_selected_dependencies(spark, sf_dir):
 
 
 @_query(
-    """WITH s AS (SELECT p_partkey, lower(regexp_replace(p_name, '[^a-z]+', '_', 'g') || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '_' || p_size END) AS s FROM part WHERE p_partkey % 10 = 0), t AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN 'test_' || regexp_replace(p_name, '[^a-z]+', '_', 'g') || '.py' WHEN 1 THEN string_split(p_name, ' ')[1] || '.test.ts' ELSE 'test_' || p_size || '.py' END AS name FROM part),
+    """WITH s AS (SELECT p_partkey, lower(regexp_replace(p_name, '[^a-z]+', '_', 'g') || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '_' || p_size END) AS s FROM part), t AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN 'test_' || regexp_replace(p_name, '[^a-z]+', '_', 'g') || '.py' WHEN 1 THEN string_split(p_name, ' ')[1] || '.test.ts' ELSE 'test_' || p_size || '.py' END AS name FROM part),
     c AS (SELECT name, regexp_replace(regexp_replace(regexp_replace(regexp_replace(name, '\\.[^.]*$', ''), '\\.test$', ''), '^test_', ''), '^_+|_+$', '', 'g') AS t FROM t)
     SELECT p_partkey, 'tests/' || name AS test_path FROM s JOIN c ON length(s) >= 4 AND (contains(name, s) OR (length(t) >= 4 AND (contains(t, s) OR contains(s, t))))"""
 )
 def q_related_tests(spark, sf_dir):
     p = _t(spark, sf_dir, "part")
     flat = F.regexp_replace("p_name", "[^a-z]+", "_")
-    sources = p.where("p_partkey % 10 = 0").select("p_partkey", F.concat(F.lit("src/k"), F.col("p_partkey").cast("string"), F.lit("/"), flat, F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.concat(F.lit("_"), F.col("p_size").cast("string"))), F.lit(".py")).alias("file_path"))
+    sources = p.select("p_partkey", F.concat(F.lit("src/k"), F.col("p_partkey").cast("string"), F.lit("/"), flat, F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.concat(F.lit("_"), F.col("p_size").cast("string"))), F.lit(".py")).alias("file_path"))
     case = F.col("p_partkey") % 3
     name = F.when(case == 0, F.concat(F.lit("test_"), flat, F.lit(".py"))).when(case == 1, F.concat(F.split("p_name", " ")[0], F.lit(".test.ts"))).otherwise(F.concat(F.lit("test_"), F.col("p_size").cast("string"), F.lit(".py")))
     tests = p.select(F.concat(F.lit("tests/"), name).alias("file_path")).distinct()
@@ -414,9 +430,20 @@ def q_unresolved_by_file(spark, sf_dir):
     return attempts.unresolved_by_file(targets, outcomes).select(F.col("source_file").alias("c_nationkey"), F.array_join("failed", ",").alias("failed"), F.array_join("not_attempted", ",").alias("not_attempted"))
 
 
-@_query(r"SELECT page_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(html, '\b([A-Za-z_]\w*)\s*[(\[]', 1)), lambda x: x NOT IN ('f', 'log', 'len', 'print'))), ',') AS calls FROM pages")
-def q_external_calls(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", F.array_join(validation.external_calls(F.col("html"), F.array(F.lit("f"), F.lit("log")), ["len", "print"]), ",").alias("calls"))
+_TO_MOCK = (
+    ("def f(a, db: Session = Depends(get)):\n    q# = store#.save(1)\n    q#.go(2)\n    self.run(x)\n    json.loads(s)\n    return cache#[k]", "store#.save(),cache#[...],db = Depends(...)"),
+    ("def f(a):\n    api#.get(1)\n    api#.get(2)\n    api#.put(rows[0])\n    rows = [1]\n    return cls[0]", "api#.get(),api#.put()"),
+    ("\n\n  function f(a = New#(1), b = 2) {\n    console.log(a);\n    if (n# == 3) { return state#[1] + state#[2] }\n  }", "state#[...],a = New#(...)"),
+    ("def f():\n    n# == 3\n    n#.go()\n    return g(1)", ""),
+    (" ", ""),
+)
+
+
+@_query(f"SELECT c_custkey, replace({_sql('c_custkey', tuple(x[1] for x in _TO_MOCK))}, '#', c_nationkey::VARCHAR) AS mocks FROM customer")
+def q_to_mock(spark, sf_dir):
+    """Pairs of thing and method, subscripts and made defaults; what a body assigns (`n# ==` counts as that) and a fixed list are left out."""
+    source = F.replace(_pick("c_custkey", tuple(x[0] for x in _TO_MOCK)), F.lit("#"), F.col("c_nationkey").cast("string"))
+    return _t(spark, sf_dir, "customer").select("c_custkey", F.array_join(validation.to_mock(source), ",").alias("mocks"))
 
 
 @_query(
@@ -455,10 +482,10 @@ def q_capped_blocks(spark, sf_dir):
     return budgets.capped_blocks(blocks).select(F.col("target_id").alias("conv_id"), F.array_join(F.transform("kept", lambda x: F.split(x, r"\|")[0]), ",").alias("kept"))
 
 
-@_query(f"SELECT conv_id, CASE WHEN turn % 3 = 0 THEN 'T' || turn WHEN turn % 3 = 1 THEN 'T' || turn || chr(10) || role END AS context, {_q(text.POLICY)} || '|' || role || CASE WHEN turn % 2 = 0 THEN '|r' ELSE '' END AS rules, turn FROM conversations WHERE turn % 3 < 2")
+@_query(f"SELECT conv_id, CASE WHEN turn % 3 = 0 THEN 'T' || turn WHEN turn % 3 = 1 THEN 'T' || turn || chr(10) || role END AS context, {_q(text.POLICY)} || '|' || role || CASE WHEN turn % 2 = 0 THEN '|r' ELSE '' END AS rules, turn FROM conversations")
 def q_request_rules(spark, sf_dir):
-    c = _t(spark, sf_dir, "conversations").where("turn % 3 < 2")
-    title = F.concat(F.lit(" T"), F.col("turn").cast("string"), F.lit(" \n"))
+    c = _t(spark, sf_dir, "conversations")
+    title = F.when(F.col("turn") % 3 < 2, F.concat(F.lit(" T"), F.col("turn").cast("string"), F.lit(" \n"))).otherwise("\n ")
     rules = text.combined_rules(text.POLICY, F.array("role"), F.when(F.col("turn") % 2 == 0, F.array(F.lit("r"))))
     return c.select("conv_id", text.request_context(title, F.when(F.col("turn") % 3 == 1, F.col("role")).otherwise("  ")).alias("context"), F.array_join(rules, "|").alias("rules"), "turn")
 

@@ -16,6 +16,7 @@ def estimate_tokens(text: Column) -> Column:
 
 
 #: Where Python's str.splitlines() breaks.
+LINE_BREAKS = "\n\x0b\f\r\x1c\x1d\x1e\x85\u2028\u2029"
 LINE_BREAK = r"\r\n|[\n\x0b\f\r\x1c\x1d\x1e\x85\u2028\u2029]"
 
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import paths
-from sparkloom.functions.source_code import bare_body, canonical_form, most_alike, similarity
-from sparkloom.functions.text import LINE_BREAK, trim_space
+from sparkloom.functions.source_code import canonical_form, similarity
+from sparkloom.functions.text import LINE_BREAK, strip_space, trim_space
+from sparkloom.operators.outcomes import split_once
 
 RENAME_AT = 0.58
 #: Calls that do not count, and the lines of a trivial body.
@@ -25,6 +25,8 @@ SIDE_EFFECTS = (
     r"\b\w+\.(append|extend|update|pop|remove|delete|commit|rollback|add|flush|execute|send|publish|write|save|close)\s*\(",
     r"\b_\w+\s*\[.+\]\s*=",
 )
+#: Fixed value: a line that only opens a function or class.
+HEADER_LINE = r"^\s*((async\s+)?(def|function)|class)\s+\w+"
 MARKUP = r"return\s*[\(<]|=>\s*[\(<]|<[A-Z][a-zA-Z]+|</[a-zA-Z]"
 
 
@@ -79,61 +81,94 @@ def impacted(functions: DataFrame, lines: DataFrame, key: str | Sequence[str] =
 
 
 _FIELDS = "function_name start_line end_line source_code context_code signature enclosing_class_name called_functions branch_count has_validation".split()
-CHANGE_DDL = (
-    "file_path string, language string, function_name string, start_line int, end_line int, source_code string, context_code string, signature string, change_type string, previous_name string, "
-    "previous_signature string, previous_source_code string, previous_context_code string, enclosing_class_name string, called_functions array<string>, branch_count int, has_validation boolean, ordinal int"
-)
+_PREVIOUS = ("name", "function_name"), ("signature", "signature"), ("source_code", "source_code"), ("context_code", "context_code")
+#: Letters that are counted one by one; all others count together.
+_LETTERS = [chr(c) for c in range(33, 127)]
+
+
+def bare_body(source: Column, name: Column) -> Column:
+    """Without white space and without the last part of the function's name."""
+    last = F.element_at(F.split(name, r"\."), -1)
+    return F.replace(strip_space(F.coalesce(source, F.lit(""))), last, F.lit(""))
+
+
+def letter_counts(text: Column) -> Column:
+    own = [F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in _LETTERS]
+    return F.array(*own, F.length(F.regexp_replace(text, r"[!-~]", "")))
+
+
+def _at_most(a: Column, b: Column, common: Column) -> Column:
+    """The most that two texts with so many letters in common can be alike, as twice that over both lengths."""
+    return F.when((a == 0) & (b == 0), 1.0).otherwise(2.0 * common / (a + b))
+
+
+def rename_candidates(current: DataFrame, previous: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Pairs of a current function that no previous one has the name of, and a previous one of its file and class, that may be alike by RENAME_AT.
+
+    What two texts share in order is no more than the letters that both have, each as often as
+    the one with fewer has it. Pairs that stay below the limit by their lengths, or by those
+    counts, are dropped in the join itself; the rest go on to be compared."""
+    new = current.join(previous.select(*keys, "function_name").distinct(), [*keys, "function_name"], "left_anti")
+
+    def side(df: DataFrame, x: str) -> DataFrame:
+        body = bare_body(F.col("source_code"), F.col("function_name"))
+        row = df.select(*keys, F.coalesce("enclosing_class_name", F.lit("")).alias("__class"), F.col("ordinal").alias(f"{x}_at"), F.col("function_name").alias(f"{x}_name"), body.alias(f"{x}_body"), F.coalesce("signature", F.lit("")).alias(f"{x}_signature"))
+        return row.withColumns({f"{x}_size": F.length(f"{x}_body"), f"{x}_letters": letter_counts(F.col(f"{x}_body"))})
+
+    n, o = (lambda c: F.col(f"n_{c}")), (lambda c: F.col(f"o_{c}"))
+    heads = _at_most(F.length(n("signature")), F.length(o("signature")), F.least(F.length(n("signature")), F.length(o("signature"))))
+    by_size = 0.75 * _at_most(n("size"), o("size"), F.least(n("size"), o("size"))) + 0.25 * heads
+    both = F.aggregate(F.zip_with(n("letters"), o("letters"), lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    by_letters = 0.75 * _at_most(n("size"), o("size"), both) + 0.25 * heads
+    pairs = side(new, "n").join(side(previous, "o"), [*keys, "__class"])
+    # a hair below the limit, as the bound is rounded
+    return pairs.where(by_size >= RENAME_AT - 1e-9).where(by_letters >= RENAME_AT - 1e-9).select(*keys, "n_at", "o_at", "o_name", "n_body", "o_body", "n_signature", "o_signature")
 
 
 def classify(current: DataFrame, previous: DataFrame, request: str | None = None) -> DataFrame:
-    """Impacted functions of both versions to changes; a file (of a request, if that column is
-    named) is a group, and its functions are matched in order.
+    """Impacted functions of both versions to changes, file by file (of a request, if that column is named).
 
     Same name: signature_change or logic_change. Else the most similar previous function of
     the same class that is not matched yet, from RENAME_AT on: rename (the first wins ties).
-    Else logic_change without a previous function. What no current function took: deletion."""
-
-    def match(key: tuple, now: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        now, before = now.sort_values("ordinal"), before.sort_values("ordinal")
-        olds = before.to_dict("records")
-        by_name = {o["function_name"]: o for o in olds}
-        taken: set[str] = set()
-        out = []
-
-        def note(row: dict, kind: str, old: dict | None, language: str) -> None:
-            out.append({c: row[c] for c in _FIELDS} | ({request: key[0]} if request else {}) | {"file_path": key[-1], "language": language, "change_type": kind, "ordinal": len(out)} | {f"previous_{a}": old and old[b] for a, b in (("name", "function_name"), ("signature", "signature"), ("source_code", "source_code"), ("context_code", "context_code"))})
-
-        for row in now.to_dict("records"):
-            old = by_name.get(row["function_name"])
-            kind = "logic_change"
-            if old is not None:
-                kind = "signature_change" if old["signature"] != row["signature"] else kind
-            else:
-                body, best = bare_body(row["source_code"], row["function_name"]), 0.0
-                for o in olds:
-                    if o["function_name"] in taken or (o["enclosing_class_name"] or None) != (row["enclosing_class_name"] or None):
-                        continue
-                    if most_alike(body, bare_body(o["source_code"], o["function_name"]), row["signature"], o["signature"]) < RENAME_AT:
-                        continue
-                    score = similarity(body, bare_body(o["source_code"], o["function_name"]), row["signature"], o["signature"])
-                    if score >= RENAME_AT and score > best:
-                        old, best, kind = o, score, "rename"
-            if old is not None:
-                taken.add(old["function_name"])
-            note(row, kind, old, row["language"])
-        for o in olds:
-            if o["function_name"] not in taken:
-                note(o, "deletion", o, o["language"])
-        return pd.DataFrame(out, columns=[c.split()[0] for c in ddl.split(", ")])
-
-    ddl = (f"{request} {dict(current.dtypes)[request]}, " if request else "") + CHANGE_DDL
+    Else logic_change without a previous function. What no current function took: deletion.
+
+    Only pairs that may be alike are compared, each where it is, in whatever file. Which of
+    them a function takes depends on what those before it took, so names and scores of a file,
+    and no sources, are folded in the functions' order."""
     keys = [request, "file_path"] if request else ["file_path"]
-    return current.groupBy(*keys).cogroup(previous.groupBy(*keys)).applyInPandas(match, ddl)
+    current, previous = (x.withColumn("ordinal", F.col("ordinal").cast("int")) for x in (current, previous))
+    named = previous.groupBy(*keys, "function_name").agg(F.max_by("ordinal", "ordinal").alias("__by"))
+    scores = rename_candidates(current, previous, keys).withColumn("score", similarity("n_body", "o_body", "n_signature", "o_signature")).where(F.col("score") >= RENAME_AT)
+    offers = scores.groupBy(*keys, F.col("n_at").alias("ordinal")).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), F.col("o_at").alias("at"), F.col("o_name").alias("name")))).alias("__offers"))
+    kind = "array<struct<less:double,at:int,name:string>>"
+    slim = current.select(*keys, "function_name", "ordinal").join(named, [*keys, "function_name"], "left").join(offers, [*keys, "ordinal"], "left")
+    none = F.array().cast(kind)
+    turns = F.array_sort(F.collect_list(F.struct("ordinal", F.col("function_name").alias("name"), F.col("__by").alias("by"), F.coalesce("__offers", none).alias("offers"))))
+    start = F.struct(F.array().cast("array<string>").alias("taken"), F.array().cast("array<struct<ordinal:int,at:int>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        best = F.get(F.filter(x["offers"], lambda o: ~F.array_contains(acc["taken"], o["name"])), F.lit(0))
+        name, at = F.when(x["by"].isNotNull(), x["name"]).otherwise(best["name"]), F.coalesce(x["by"], best["at"])
+        taken = F.when(name.isNull(), acc["taken"]).otherwise(F.concat(acc["taken"], F.array(name)))
+        return F.struct(taken.alias("taken"), F.concat(acc["out"], F.array(F.struct(x["ordinal"].alias("ordinal"), at.alias("at")))).alias("out"))
+
+    matched = slim.groupBy(*keys).agg(turns.alias("t")).select(*keys, F.inline(F.aggregate("t", start, step, lambda acc: acc["out"])))
+    old = previous.select(*keys, F.col("ordinal").alias("at"), *[F.col(b).alias(f"previous_{a}") for a, b in _PREVIOUS])
+    pairs = matched.where("at is not null").join(old, [*keys, "at"]).drop("at")
+    now = current.join(pairs, [*keys, "ordinal"], "left")
+    change = F.when(F.col("previous_name") != F.col("function_name"), "rename").when(F.col("previous_name").isNotNull() & ~F.col("previous_signature").eqNullSafe(F.col("signature")), "signature_change").otherwise("logic_change")
+    now = now.withColumn("change_type", change).withColumn("__late", F.lit(False))
+    gone = previous.join(pairs.select(*keys, F.col("previous_name").alias("function_name")).distinct(), [*keys, "function_name"], "left_anti")
+    gone = gone.withColumns({f"previous_{a}": F.col(b) for a, b in _PREVIOUS}).withColumn("change_type", F.lit("deletion")).withColumn("__late", F.lit(True))
+    columns = [*keys, "language", *_FIELDS[:6], "change_type", *[f"previous_{a}" for a, _ in _PREVIOUS], *_FIELDS[6:], "ordinal", "__late"]
+    whole = now.select(*columns).unionByName(gone.select(*columns))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("__late", "ordinal")) - 1
+    return whole.withColumn("ordinal", place.cast("int")).drop("__late")
 
 
 def should_skip(source: Column, branches: Column, has_validation: Column) -> Column:
     """A small pure function: no side effects, no markup, under four lines that mean something, no branch, no validation."""
-    lines = F.filter(F.split(source, "\n"), lambda x: (trim_space(x) != "") & ~trim_space(x).startswith("@") & ~x.rlike(r"^\s*((async\s+)?(def|function)|class)\s+\w+"))
+    lines = F.filter(F.split(source, "\n"), lambda x: (trim_space(x) != "") & ~trim_space(x).startswith("@") & ~x.rlike(HEADER_LINE))
     small = (F.size(lines) < 4) & (branches == 0) & ~(has_validation | source.rlike(VALIDATION_HINT))
     return F.when(source.rlike("|".join(SIDE_EFFECTS)) | source.rlike(MARKUP), False).otherwise(small)
 
@@ -168,5 +203,12 @@ def config_like_files(functions: DataFrame, request: str | None = None) -> DataF
 
 
 def targets_and_maintenance(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What gets tests; and renames and deletions, whose stored tests are kept up or dropped."""
+    """What gets tests; and renames and deletions, whose stored tests are kept up or dropped. Two plans; see `targets_and_maintenance_once`."""
     return changes.where("should_generate"), changes.where("change_type in ('rename', 'deletion')")
+
+
+def targets_and_maintenance_once(changes: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Both from one pass, written to `path`: no change is both, as renames and deletions get no tests."""
+    kind = F.when(F.col("should_generate"), "target").when(F.col("change_type").isin("rename", "deletion"), "maintenance").otherwise("none")
+    parts = split_once(changes, kind, ["target", "maintenance"], path)
+    return parts["target"], parts["maintenance"]

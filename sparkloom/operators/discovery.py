@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import paths
@@ -17,19 +17,40 @@ def discover_tests(files: DataFrame, most: int = MOST_TESTS) -> DataFrame:
     return files.select("file_path").where(F.col("file_path").rlike(rf"^([^/]+/){{0,2}}({folders})/") & F.col("file_path").rlike(paths.TEST_FILE)).distinct().orderBy("file_path").limit(most)
 
 
+def _grams(text: Column) -> Column:
+    places = F.sequence(F.lit(1), F.greatest(F.length(text) - SHORTEST_STEM + 1, F.lit(1)))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, SHORTEST_STEM)))
+
+
+def contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
+    """(part, whole) pairs of texts where the whole holds the part; both sides distinct, parts of SHORTEST_STEM letters at least.
+
+    A whole that holds a part holds all of its grams, so a part is looked up by one of them:
+    the one that the fewest wholes have. Grams that stand nearly everywhere are looked up by
+    those parts alone that have no other, whose lookups are matches."""
+    held = wholes.select("whole", F.explode(_grams(F.col("whole"))).alias("gram"))
+    often = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = parts.select("part", F.explode(_grams(F.col("part"))).alias("gram"))
+    rarest = rarest.join(often, "gram", "left").groupBy("part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
+    asked = rarest.where("r.n > 0").select("part", "r.gram")
+    return asked.join(held, "gram").where(F.col("whole").contains(F.col("part"))).select("part", "whole")
+
+
 def related_tests(sources: DataFrame, tests: DataFrame) -> DataFrame:
     """(file_path, test_path) pairs: the source's stem stands in the test's name, or the stems hold one another.
 
-    What stands in a name shares its first SHORTEST_STEM letters with some place of it, so
-    pairs meet by an equality join on those and are then looked at; nothing is broadcast."""
+    Stems and names are matched once each, however many files have them; see `contained`."""
     s = sources.select("file_path", F.lower(paths.stem(F.col("file_path"))).alias("s")).where(F.length("s") >= SHORTEST_STEM).distinct()
     low = F.lower(paths.stem(F.col("file_path")))
     t = tests.select(F.col("file_path").alias("test_path"), F.lower(paths.file_name(F.col("file_path"))).alias("name"), F.regexp_replace(F.regexp_replace(low, r"^test_|_test$|^test|test$|\.test$|\.spec$", ""), "^_+|_+$", "").alias("t")).distinct()
-    grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - SHORTEST_STEM + 1, F.lit(1))), lambda i: F.substring(c, i, SHORTEST_STEM)))).alias("g")
-    first = lambda c: F.substring(c, 1, SHORTEST_STEM).alias("g")
-    held = s.select("file_path", "s", first("s")).join(t.select("test_path", "name", "t", grams(F.concat_ws("/", "name", "t"))), "g").where(F.col("name").contains(F.col("s")) | ((F.length("t") >= SHORTEST_STEM) & F.col("t").contains(F.col("s"))))
-    holds = s.select("file_path", "s", grams(F.col("s"))).join(t.where(F.length("t") >= SHORTEST_STEM).select("test_path", "t", first("t")), "g").where(F.col("s").contains(F.col("t")))
-    return held.select("file_path", "test_path").unionAll(holds.select("file_path", "test_path")).distinct()
+    stems = s.select(F.col("s").alias("part")).distinct()
+    clean = t.where(F.length("t") >= SHORTEST_STEM)
+    # what a test goes by: its name and its own stem
+    texts = t.select(F.col("name").alias("whole"), "test_path").unionAll(clean.select("t", "test_path")).distinct()
+    in_tests = contained(stems, texts.select("whole").distinct()).join(texts, "whole").select(F.col("part").alias("s"), "test_path")
+    in_stems = contained(clean.select(F.col("t").alias("part")).distinct(), stems.select(F.col("part").alias("whole")))
+    in_stems = in_stems.join(clean.select(F.col("t").alias("part"), "test_path"), "part").select(F.col("whole").alias("s"), "test_path")
+    return in_tests.unionAll(in_stems).distinct().join(s, "s").select("file_path", "test_path")
 
 
 def matching_test_names(names: DataFrame, prefixes: DataFrame) -> DataFrame:

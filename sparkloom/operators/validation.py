@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.source_code import is_syntax_valid, test_names
-from sparkloom.functions.text import SPACE, trim_space
+from sparkloom.functions.text import LINE_BREAKS, SPACE, split_lines, trim_space
+from sparkloom.operators.outcomes import split_once
 
 #: What generated tests must not hold (Unicode word characters are meant).
 BANNED = (
@@ -53,14 +54,27 @@ def is_component(text: Column, language: Column) -> Column:
     return language.isin("javascript", "typescript") & _any(text, COMPONENT)
 
 
+#: How the last line of a script ends, and of Python where something is to follow.
+SCRIPT_END = r"^\s*\}[\s\)]*;?\s*$"
+PYTHON_OPEN = (r"[\\:]$", r"(==|!=|<=|>=|(?<!\w)=(?!\w)|,|\()\s*$", r"\b(and|or|not)\s*$")
+MOST_OPEN = 3
+
+
 def is_truncated(text: Column, language: Column) -> Column:
-    """By the last line that is not blank, and by brackets that are left open. No text is split for that."""
+    """By the last line that is not blank, and by brackets that are left open. No text is split for that: other line breaks become line feeds."""
     rest = F.regexp_replace(text, rf"{SPACE}+\z", "")
-    last = F.substring_index(F.replace(rest, F.lit("\r"), F.lit("\n")), "\n", -1)
-    script = language.isin("javascript", "typescript") & ~last.rlike(r"^\s*\}[\s\)]*;?\s*$")
-    python = (language == "python") & (last.rlike(r"[\\:]$") | last.rlike(r"(==|!=|<=|>=|(?<!\w)=(?!\w)|,|\()\s*$") | last.rlike(r"\b(and|or|not)\s*$"))
+    last = F.substring_index(F.translate(rest, LINE_BREAKS, "\n" * len(LINE_BREAKS)), "\n", -1)
+    script = language.isin("javascript", "typescript") & ~last.rlike(SCRIPT_END)
+    python = (language == "python") & _any(last, PYTHON_OPEN)
     size = lambda a, b, c: F.octet_length(F.replace(F.replace(F.replace(text, F.lit(a)), F.lit(b)), F.lit(c)))
-    return (rest == "") | F.coalesce(script | python, F.lit(False)) | (size(")", "]", "}") - size("(", "[", "{") > 3)
+    return (rest == "") | F.coalesce(script | python, F.lit(False)) | (size(")", "]", "}") - size("(", "[", "{") > MOST_OPEN)
+
+
+#: Imports that were made up, of Python and of scripts; the modules that are looked at.
+PLACEHOLDERS = r"\b(your_|example_|placeholder_|fake_|dummy_module)\w*"
+FAKE_MODULES = "your_module|example_module|placeholder"
+PYTHON_MODULE = r"^(?:from|import)\s+([\w.]+)"
+SCRIPT_MODULE = r"(?:from|require\()\s*['\"]([^'\"]+)['\"]"
 
 
 def import_failure(text: Column, language: Column, source_file: Column) -> Column:
@@ -68,11 +82,11 @@ def import_failure(text: Column, language: Column, source_file: Column) -> Colum
     some = text.contains("import") | text.contains("from") | text.contains("require(")
     lines = F.when(some, F.transform(F.split(text, r"\r\n|\n|\r"), trim_space)).otherwise(F.array().cast("array<string>"))
     own = F.filter(lines, lambda x: x.startswith("import ") | x.startswith("from "))
-    placeholder = F.exists(own, lambda x: x.rlike(r"\b(your_|example_|placeholder_|fake_|dummy_module)\w*"))
+    placeholder = F.exists(own, lambda x: x.rlike(PLACEHOLDERS))
     parts = F.filter(F.split(F.translate(source_file, "\\", "/"), "/"), lambda x: x != "")
-    modules = F.transform(own, lambda x: F.split(F.regexp_extract(x, r"^(?:from|import)\s+([\w.]+)", 1), r"\."))
+    modules = F.transform(own, lambda x: F.split(F.regexp_extract(x, PYTHON_MODULE, 1), r"\."))
     odd = F.size(F.filter(modules, lambda m: (F.size(m) >= 2) & ~F.arrays_overlap(m, parts)))
-    fake = F.exists(lines, lambda x: F.regexp_extract(x, r"(?:from|require\()\s*['\"]([^'\"]+)['\"]", 1).rlike("your_module|example_module|placeholder"))
+    fake = F.exists(lines, lambda x: F.regexp_extract(x, SCRIPT_MODULE, 1).rlike(FAKE_MODULES))
     return (
         F.when(text.contains("your_module"), "fake_import_your_module")
         .when((language == "python") & placeholder, "placeholder_import")
@@ -96,20 +110,46 @@ def native_failure(text: Column, language: Column, source_file: Column) -> Colum
 def validate(contents: DataFrame) -> DataFrame:
     """`contents` (..., language, content, source_file) with `reason`, '' where all checks pass.
 
-    The parser, the only Python step, sees the survivors of the native checks alone."""
-    first = contents.withColumn("reason", native_failure(F.col("content"), F.col("language"), F.col("source_file")))
-    failed, rest = first.where("reason is not null"), first.where("reason is null")
-    rest = rest.withColumn("__ok", is_syntax_valid("language", "content")).withColumn("__n", F.size(test_names(F.col("language"), F.col("content"))))
-    reason = F.when(~F.col("__ok"), "syntax_error").when(F.col("__n") == 0, "no_tests").when(~F.col("__n").between(FEWEST_TESTS, MOST_TESTS), F.format_string("test_count_out_of_range(%d)", F.col("__n"))).otherwise("")
-    return failed.unionByName(rest.withColumn("reason", reason).drop("__ok", "__n"))
+    The native checks run once. The parsers, the only Python step, get null in place of the
+    texts that failed them. A script whose syntax is not decided counts as one that parses."""
+    first = contents.withColumn("__native", native_failure(F.col("content"), F.col("language"), F.col("source_file")))
+    left = lambda c: F.when(F.col("__native").isNull(), F.col(c))
+    seen = first.withColumn("__language", left("language")).withColumn("__content", left("content"))
+    seen = seen.withColumn("__ok", F.coalesce(is_syntax_valid("__language", "__content"), F.lit(True))).withColumn("__n", F.size(test_names(F.col("__language"), F.col("__content"))))
+    parsed = F.when(~F.col("__ok"), "syntax_error").when(F.col("__n") == 0, "no_tests").when(~F.col("__n").between(FEWEST_TESTS, MOST_TESTS), F.format_string("test_count_out_of_range(%d)", F.col("__n"))).otherwise("")
+    return seen.withColumn("reason", F.coalesce("__native", parsed)).drop("__native", "__language", "__content", "__ok", "__n")
 
 
 def split_valid(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Valid and invalid contents as two plans; `validated_once` gives both from one pass."""
     checked = validate(contents)
     return checked.where("reason = ''"), checked.where("reason <> ''")
 
 
-def external_calls(source: Column, local: Column, builtins: list[str]) -> Column:
-    """Names that are called or subscripted and neither local nor built in."""
-    names = F.regexp_extract_all(source, F.lit(r"\b([A-Za-z_]\w*)\s*[(\[]"), F.lit(1))
-    return F.array_sort(F.array_except(F.array_except(names, local), F.array(*map(F.lit, builtins)) if builtins else F.array().cast("array<string>")))
+def validated_once(contents: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Valid and invalid contents, from one pass that writes them to `path`, a part for each outcome."""
+    parts = split_once(validate(contents), F.when(F.col("reason") == "", "valid").otherwise("invalid"), ["valid", "invalid"], path)
+    return parts["valid"], parts["invalid"]
+
+
+#: Names that need no stand-in, and those that are never state of somebody else.
+NEVER_MOCKED = (
+    "self", "cls", "str", "int", "float", "bool", "list", "dict", "set", "tuple", "type", "re", "os", "sys", "math", "json", "time", "datetime", "timedelta", "pathlib", "Path",
+    "console", "Math", "JSON", "Object", "Array", "Promise", "Error", "String", "Number",
+)
+NEVER_STATE = ("self", "cls")
+#: Names that a body assigns; calls of a thing's method; subscripts; parameters whose default a framework makes.
+ASSIGNED, METHOD_CALL, SUBSCRIPT, MADE_DEFAULT = r"(?mdU)^\s{4,}(\w+)\s*=", r"(?U)\b(\w+)\.(\w+)\s*\(", r"(?U)\b(\w+)\s*\[", r"(?U)(\w+)\s*(?::\s*[\w\[\]| ,]+)?\s*=\s*([A-Z]\w*)\s*\("
+
+
+def to_mock(source: Column) -> Column:
+    """What a test of the function has to put stand-ins for, in order: `thing.method()` of things that it does not assign itself, `name[...]`, `parameter = Default(...)`."""
+    text = F.coalesce(source, F.lit(""))
+    found = lambda x, p, i: F.regexp_extract_all(x, F.lit(p), F.lit(i))
+    own = found(text, ASSIGNED, 1)
+    calls = F.arrays_zip(found(text, METHOD_CALL, 1).alias("a"), found(text, METHOD_CALL, 2).alias("b"))
+    calls = F.transform(F.filter(calls, lambda x: ~x["a"].isin(*NEVER_MOCKED) & ~F.array_contains(own, x["a"])), lambda x: F.concat(x["a"], F.lit("."), x["b"], F.lit("()")))
+    state = F.transform(F.filter(F.array_except(found(text, SUBSCRIPT, 1), own), lambda x: ~x.isin(*NEVER_STATE)), lambda x: F.concat(x, F.lit("[...]")))
+    head = F.element_at(split_lines(trim_space(text)), 1)
+    made = F.transform(F.arrays_zip(found(head, MADE_DEFAULT, 1).alias("a"), found(head, MADE_DEFAULT, 2).alias("b")), lambda x: F.concat(x["a"], F.lit(" = "), x["b"], F.lit("(...)")))
+    return F.when(trim_space(text) == "", F.array().cast("array<string>")).otherwise(F.concat(F.array_distinct(calls), state, made))

@@ -188,7 +188,7 @@ def test_small_helpers(spark):
     lit = F.lit
     one = lambda **c: spark.range(1).select(*[x.alias(k) for k, x in c.items()]).first()
     assert one(a=validation.is_component(lit("return (<Box/>)"), lit("javascript")), b=validation.is_component(lit("return 1"), lit("typescript")), c=validation.is_component(lit("<Box"), lit("python"))).asDict() == {"a": True, "b": False, "c": False}
-    assert one(x=validation.external_calls(lit("a(b[1]) + len(c) + d (2)"), F.array(lit("b")), ["len"]))["x"] == ["a", "d"]
+    assert one(x=validation.to_mock(lit("q(b[1]) + len(c) + d.e (2) + os.f(1)")))["x"] == ["d.e()", "b[...]"]
     names = spark.createDataFrame([(1, "test_f_1"), (1, "test_g_1"), (2, "test_f_2")], "target_id int, name string")
     prefixes = spark.createDataFrame([(1, "test_f_"), (1, "test_old_"), (2, "test_g_")], "target_id int, prefix string")
     assert rows(discovery.matching_test_names(names, prefixes), "target_id", "name") == [(1, "test_f_1")]
