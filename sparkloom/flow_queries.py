@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import changes
 from sparkloom.operators.stored_table import StoredTable
+from sparkloom.plans import assembly, generation
 from sparkloom.session import shared_folder
 from sparkloom.sources import records
 
@@ -24,6 +25,10 @@ def _query(sql: str | None):
     return keep
 
 
+def _q(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -65,6 +70,49 @@ def q_diff_sections(spark, sf_dir):
     return lines.select(F.regexp_extract("diff_id", r"request=(\d+)/", 1).cast("long").alias("request"), "file_path", "side", "line").distinct()
 
 
+#: A file with a class and a function, the module that it imports from, its tests; ¤ is the file's number.
+_CODE = "from src.util¤ import aid\n\nclass Box¤:\n    def run(self, a):\n        if a:\n            return helper¤(a)\n        return api.get(a)\n\ndef helper¤(a):\n    if a is None:\n        raise ValueError(a)\n    return aid(a)\n"
+_UTIL = "def aid(x):\n    check(x)\n    return x\n"
+_TESTS = "def test_helper¤_a():\n    assert helper¤(1)\n\ndef test_other():\n    pass\n"
+_POLICY = "Tests are deterministic and need neither network nor files."
+_HELPER = "def helper¤(a):\n    if a is None:\n        raise ValueError(a)\n    return aid(a)"
+_REQUEST = (
+    "## Task\nWrite 3 to 9 unit tests for {name}.\n\n## Language\npython, pytest\n\n## Imports\n- file: src/unit¤.py\n- module: src.unit¤\n- import: from src.unit¤ import {symbol}\n- no other module than src.unit¤\n- types may stand in package src\n\n"
+    f"## Project rules\n{_POLICY}\nrules of @\n\n## Request rules\n{_POLICY}~\n\n{{mocks}}## Code\n{{code}}\n\n## Dependencies\n{{calls}}\n\n## Existing tests\n"
+)
+_RUN = _REQUEST.format(name="Box¤.run", symbol="Box¤", mocks="## To be mocked\n- api.get()\n\n", code=_CODE[27:].split("\n\ndef")[0].strip(), calls=f"- helper¤ (src/unit¤.py)\n{_HELPER}") + "none"
+_HELP = _REQUEST.format(name="helper¤", symbol="helper¤", mocks="", code=_HELPER, calls=f"- aid (src/util¤.py)\n{_UTIL.strip()}")
+
+
+def _filled(text: str, tests: str) -> str:
+    return f"replace(replace(replace({_q(text)}{tests}, '¤', k::VARCHAR), '@', n::VARCHAR), '~', CASE WHEN n % 2 = 0 THEN '' ELSE chr(10) || 'asked by ' || n END)"
+
+
+@_query(
+    f"""WITH s AS (SELECT s_suppkey AS k, s_nationkey AS n FROM supplier)
+    SELECT n AS request_id, 'Box' || k || '.run' AS function_name, {_filled(_RUN, '')} AS request, '' AS tests, 'target' AS kind FROM s
+    UNION ALL SELECT n, 'helper' || k, {_filled(_HELP, f" || CASE WHEN k % 2 = 0 THEN {_q(_TESTS.split(chr(10) * 2)[0])} ELSE 'none' END")}, CASE WHEN k % 2 = 0 THEN 'test_helper' || k || '_a' ELSE '' END, 'target' FROM s
+    UNION ALL SELECT n, 'gone' || k, NULL, CASE WHEN k % 2 = 0 THEN 'test_gone' || k || '_b' ELSE '' END, 'deletion' FROM s WHERE k % 3 = 0"""
+)
+def q_target_requests(spark, sf_dir):
+    """From diffs and files to requests: a request a nation, a changed file a supplier. Every third file had a function that is gone."""
+    s = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("diff_id"))
+    number = F.col("k").cast("string")
+    of = lambda x: F.replace(F.lit(x), F.lit("¤"), number)
+    gone = F.when(F.col("k") % 3 == 0, of("def gone¤(q):\n    while q:\n        q -= 1\n    raise q\n"))
+    code = s.select("diff_id", of("src/unit¤.py").alias("file_path"), of(_CODE).alias("content"), gone.alias("previous_source"))
+    files = code.unionByName(s.select("diff_id", of("src/util¤.py").alias("file_path"), F.lit(_UTIL).alias("content"), F.lit(_UTIL).alias("previous_source")))
+    section = F.concat(F.lit("diff --git a/x b/x\n+++ b/"), of("src/unit¤.py"), F.lit("\n@@ -1,4 +1,12 @@"))
+    diffs = s.select("diff_id", section.alias("text"))  # a row for each section
+    tests = s.where("k % 2 = 0").select(of("tests/test_unit¤.py").alias("file_path"), of(_TESTS + "\ndef test_gone¤_b():\n    pass\n").alias("content"))
+    named = s.select("diff_id").distinct()
+    rules = named.select("diff_id", F.lit("project_rule").alias("kind"), F.lit(0).alias("ordinal"), F.concat(F.lit("rules of "), F.col("diff_id").cast("string")).alias("rule"))
+    rules = rules.unionByName(named.where("diff_id % 2 = 1").select("diff_id", F.lit("request_rule").alias("kind"), F.lit(0).alias("ordinal"), F.concat(F.lit("asked by "), F.col("diff_id").cast("string")).alias("rule")))
+    targets, upkeep = assembly.assemble(generation.analyse(diffs, files), files, tests, rules, "tests/generated")
+    names = F.array_join("existing_test_names", ",").alias("tests")
+    return targets.select(F.col("diff_id").alias("request_id"), "function_name", "request", names, F.lit("target").alias("kind")).unionByName(upkeep.select(F.col("diff_id").alias("request_id"), "function_name", F.lit(None).cast("string").alias("request"), names, F.col("action_type").alias("kind")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in _ALL.items()}
 

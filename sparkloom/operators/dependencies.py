@@ -14,34 +14,36 @@ MOST_DEPENDENCIES = 20
 LEAST_SCORE = -4
 
 
-def python_imports(files: DataFrame) -> DataFrame:
-    """file_path, ordinal, local_name, imported_name (null for modules), module."""
+def python_imports(files: DataFrame, request: str | None = None) -> DataFrame:
+    """file_path, ordinal, local_name, imported_name (null for modules), module; `request` names a column that goes with them."""
+    key = [request, "file_path"] if request else ["file_path"]
     pairs = lambda pattern, a, b: F.arrays_zip(F.regexp_extract_all("content", F.lit(pattern), F.lit(a)).alias("x"), F.regexp_extract_all("content", F.lit(pattern), F.lit(b)).alias("y"))
-    froms = files.select("file_path", F.posexplode(pairs(r"(?m)^\s*from\s+([.\w]+)\s+import\s+([^\n]+)", 1, 2)).alias("at", "m"))
-    names = froms.select("file_path", "at", F.col("m.x").alias("module"), F.posexplode(F.split(F.regexp_replace("m.y", r"[()]|#.*", ""), ",")).alias("sub", "t"))
-    names = names.select("file_path", (F.col("at") * 1000 + F.col("sub")).alias("ordinal"), "module", F.split(trim_space(F.col("t")), r"\s+as\s+").alias("p")).where(F.col("p")[0] != "")
-    names = names.select("file_path", "ordinal", F.element_at("p", -1).alias("local_name"), F.col("p")[0].alias("imported_name"), "module")
-    mods = files.select("file_path", F.posexplode(pairs(r"(?m)^\s*import\s+([.\w]+)(?:[ \t]+as[ \t]+(\w+))?", 1, 2)).alias("at", "m"))
-    mods = mods.select("file_path", (F.col("at") + 1_000_000_000).alias("ordinal"), F.coalesce(F.nullif("m.y", F.lit("")), F.element_at(F.split("m.x", r"\."), -1)).alias("local_name"), F.lit(None).cast("string").alias("imported_name"), F.col("m.x").alias("module"))
+    froms = files.select(*key, F.posexplode(pairs(r"(?m)^\s*from\s+([.\w]+)\s+import\s+([^\n]+)", 1, 2)).alias("at", "m"))
+    names = froms.select(*key, "at", F.col("m.x").alias("module"), F.posexplode(F.split(F.regexp_replace("m.y", r"[()]|#.*", ""), ",")).alias("sub", "t"))
+    names = names.select(*key, (F.col("at") * 1000 + F.col("sub")).alias("ordinal"), "module", F.split(trim_space(F.col("t")), r"\s+as\s+").alias("p")).where(F.col("p")[0] != "")
+    names = names.select(*key, "ordinal", F.element_at("p", -1).alias("local_name"), F.col("p")[0].alias("imported_name"), "module")
+    mods = files.select(*key, F.posexplode(pairs(r"(?m)^\s*import\s+([.\w]+)(?:[ \t]+as[ \t]+(\w+))?", 1, 2)).alias("at", "m"))
+    mods = mods.select(*key, (F.col("at") + 1_000_000_000).alias("ordinal"), F.coalesce(F.nullif("m.y", F.lit("")), F.element_at(F.split("m.x", r"\."), -1)).alias("local_name"), F.lit(None).cast("string").alias("imported_name"), F.col("m.x").alias("module"))
     return names.unionByName(mods)
 
 
-def script_imports(files: DataFrame) -> DataFrame:
+def script_imports(files: DataFrame, request: str | None = None) -> DataFrame:
     """As python_imports, for ESM imports and require(); names in braces, namespaces and defaults."""
+    key = [request, "file_path"] if request else ["file_path"]
     esm = r"import\s+([^;'\"]+?)\s+from\s+['\"]([^'\"]+)['\"]"
     req = r"(?:const|let|var)\s+([^=;]+?)\s*=\s*require\(\s*['\"]([^'\"]+)['\"]\s*\)"
     out = None
     for k, pattern in enumerate((esm, req)):
         zipped = F.arrays_zip(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)).alias("names"), F.regexp_extract_all("content", F.lit(pattern), F.lit(2)).alias("module"))
-        rows = files.select("file_path", F.posexplode(zipped).alias("at", "m")).select("file_path", "at", F.trim("m.names").alias("names"), F.col("m.module").alias("module"))
-        braces = rows.where("names like '{%}'").select("file_path", "at", "module", F.posexplode(F.split(F.regexp_replace("names", r"^\{|\}$", ""), ",")).alias("sub", "t"))
-        braces = braces.select("file_path", "at", "sub", "module", F.split(F.trim("t"), r"\s+as\s+|\s*:\s*").alias("p")).where(F.col("p")[0] != "")
-        braces = braces.select("file_path", "at", "sub", F.element_at("p", -1).alias("local_name"), F.col("p")[0].alias("imported_name"), "module")
+        rows = files.select(*key, F.posexplode(zipped).alias("at", "m")).select(*key, "at", F.trim("m.names").alias("names"), F.col("m.module").alias("module"))
+        braces = rows.where("names like '{%}'").select(*key, "at", "module", F.posexplode(F.split(F.regexp_replace("names", r"^\{|\}$", ""), ",")).alias("sub", "t"))
+        braces = braces.select(*key, "at", "sub", "module", F.split(F.trim("t"), r"\s+as\s+|\s*:\s*").alias("p")).where(F.col("p")[0] != "")
+        braces = braces.select(*key, "at", "sub", F.element_at("p", -1).alias("local_name"), F.col("p")[0].alias("imported_name"), "module")
         whole = rows.where("names not like '{%}'")
         star = F.col("names").rlike(r"^\*\s+as\s+")
         name = F.when(star, F.regexp_extract("names", r"as\s+(.+)$", 1)).otherwise(F.trim(F.split("names", ",")[0]))
-        whole = whole.select("file_path", "at", F.lit(0).alias("sub"), name.alias("local_name"), F.when(~star, name).alias("imported_name"), "module")
-        part = braces.unionByName(whole).select("file_path", (F.lit(k * 1_000_000_000) + F.col("at") * 1000 + F.col("sub")).alias("ordinal"), "local_name", "imported_name", "module")
+        whole = whole.select(*key, "at", F.lit(0).alias("sub"), name.alias("local_name"), F.when(~star, name).alias("imported_name"), "module")
+        part = braces.unionByName(whole).select(*key, (F.lit(k * 1_000_000_000) + F.col("at") * 1000 + F.col("sub")).alias("ordinal"), "local_name", "imported_name", "module")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -67,31 +69,36 @@ def module_candidates(refs: DataFrame, language: str) -> DataFrame:
     return refs.where("module like '.%'").withColumn("candidates", F.array(base, *tails))
 
 
-def resolve_modules(refs: DataFrame, files: DataFrame, language: str) -> DataFrame:
-    """References with module_path, the first candidate that is a file; others fall away."""
+def resolve_modules(refs: DataFrame, files: DataFrame, language: str, request: str | None = None) -> DataFrame:
+    """References with module_path, the first candidate that is a file (of the same request); others fall away."""
+    own = [request] if request else []
     named = module_candidates(refs, language).select(*refs.columns, F.posexplode("candidates").alias("__at", "module_path"))
-    known = named.join(files.select(F.col("file_path").alias("module_path")).distinct(), "module_path", "left_semi")
+    known = named.join(files.select(*own, F.col("file_path").alias("module_path")).distinct(), [*own, "module_path"], "left_semi")
     first = F.min(F.struct("__at", "module_path")).alias("f")
     return known.groupBy(*refs.columns).agg(first).select(*refs.columns, "f.module_path")
 
 
-def resolve_calls(changes: DataFrame, functions: DataFrame, references: DataFrame) -> DataFrame:
+def resolve_calls(changes: DataFrame, functions: DataFrame, references: DataFrame, request: str | None = None) -> DataFrame:
     """`changes` (change_id, file_path, function_name, enclosing_class_name, source_code, called_functions) to resolved calls.
 
     Where no calls were extracted, names before brackets in the source stand for them.
     A call means the first function of its file with its name or last part; else the import
-    that its first part or last part names, and the function of that name in the module."""
-    calls = changes.select("change_id", "file_path", "enclosing_class_name", F.col("source_code").alias("caller"), F.element_at(F.split("function_name", r"\."), -1).alias("self"), F.posexplode(F.when(F.size("called_functions") > 0, F.col("called_functions")).otherwise(called_functions(F.col("source_code")))).alias("call_at", "call"))
+    that its first part or last part names, and the function of that name in the module. Where
+    `request` names a column of all three, only rows of one request meet."""
+    own = [request] if request else []
+    where = lambda df, b: F.lit(True) if not own else df[request] == F.col(f"__{b}")
+    also = lambda b: [F.col(request).alias(f"__{b}")] if own else []
+    calls = changes.select(*own, "change_id", "file_path", "enclosing_class_name", F.col("source_code").alias("caller"), F.element_at(F.split("function_name", r"\."), -1).alias("self"), F.posexplode(F.when(F.size("called_functions") > 0, F.col("called_functions")).otherwise(called_functions(F.col("source_code")))).alias("call_at", "call"))
     calls = calls.withColumn("bare", F.element_at(F.split("call", r"\."), -1)).where("bare <> self").dropDuplicates(["change_id", "call"])
-    funcs = functions.select(F.col("file_path").alias("fp"), F.col("function_name").alias("fn"), F.col("source_code").alias("code"), F.col("ordinal").alias("ord"), F.element_at(F.split("function_name", r"\."), -1).alias("fbare"))
-    same = calls.join(funcs, (F.col("file_path") == F.col("fp")) & (F.col("bare") == F.col("fbare")))
+    funcs = functions.select(*also("f"), F.col("file_path").alias("fp"), F.col("function_name").alias("fn"), F.col("source_code").alias("code"), F.col("ordinal").alias("ord"), F.element_at(F.split("function_name", r"\."), -1).alias("fbare"))
+    same = calls.join(funcs, where(calls, "f") & (F.col("file_path") == F.col("fp")) & (F.col("bare") == F.col("fbare")))
     same = same.groupBy("change_id", "call").agg(F.min_by(F.struct(F.col("fp").alias("source_file"), F.col("fn").alias("function_name"), F.col("code").alias("source_code")), "ord").alias("s"))
-    refs = references.select(F.col("file_path").alias("rp"), "ordinal", "local_name", "imported_name", "module_path")
-    keys = calls.select("change_id", "file_path", "call", "bare", F.explode(F.array_distinct(F.array(F.split("call", r"\.")[0], F.col("bare")))).alias("key"))
-    via = keys.join(refs, (F.col("file_path") == F.col("rp")) & (F.col("key") == F.col("local_name")))
+    refs = references.select(*also("r"), F.col("file_path").alias("rp"), "ordinal", "local_name", "imported_name", "module_path")
+    keys = calls.select(*own, "change_id", "file_path", "call", "bare", F.explode(F.array_distinct(F.array(F.split("call", r"\.")[0], F.col("bare")))).alias("key"))
+    via = keys.join(refs, where(keys, "r") & (F.col("file_path") == F.col("rp")) & (F.col("key") == F.col("local_name")))
     wanted = F.when(F.col("call").contains(".") & (F.col("key") == F.split("call", r"\.")[0]), F.col("bare")).otherwise(F.coalesce("imported_name", "bare"))
-    via = via.groupBy("change_id", "call").agg(F.min_by(F.struct("module_path", wanted.alias("wanted")), "ordinal").alias("r")).select("change_id", "call", "r.*")
-    far = via.join(funcs, (F.col("module_path") == F.col("fp")) & (F.col("wanted") == F.col("fbare")))
+    via = via.groupBy(*own, "change_id", "call").agg(F.min_by(F.struct("module_path", wanted.alias("wanted")), "ordinal").alias("r")).select(*own, "change_id", "call", "r.*")
+    far = via.join(funcs, where(via, "f") & (F.col("module_path") == F.col("fp")) & (F.col("wanted") == F.col("fbare")))
     far = far.groupBy("change_id", "call").agg(F.min_by(F.struct(F.col("fp").alias("source_file"), F.col("fn").alias("function_name"), F.col("code").alias("source_code")), "ord").alias("f"))
     out = calls.join(same, ["change_id", "call"], "left").join(far, ["change_id", "call"], "left")
     return out.withColumn("d", F.coalesce("s", "f")).where("d is not null").select("change_id", "call_at", "call", "caller", "d.*")
