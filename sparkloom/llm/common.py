@@ -10,6 +10,7 @@ import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,8 @@ _SETTING = threading.Lock()
 #: Parquet looks at its buffers after a hundred rows unless told otherwise; rows of packed
 #: columns may hold a megabyte each.
 _PAGES = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size": str(16 << 20)}
-_SCOPES: list[list[Written]] = []
+#: The scratch scopes of this thread of work, the innermost last; another thread has its own.
+_SCOPES: ContextVar[tuple[list[Written], ...]] = ContextVar("scopes", default=())
 
 
 class Written:
@@ -71,8 +73,8 @@ class Written:
 def table(df: DataFrame, by: str | None = None) -> Written:
     """A table that the current scratch scope drops, JVM exit where there is none."""
     t = Written(df, by)
-    if _SCOPES:
-        _SCOPES[-1].append(t)
+    if scopes := _SCOPES.get():
+        scopes[-1].append(t)
     return t
 
 
@@ -84,11 +86,11 @@ def written(df: DataFrame) -> DataFrame:
 def scratch() -> Iterator[None]:
     """Drops the tables that are `written` inside; what is to stay is to be a Written of its own."""
     made: list[Written] = []
-    _SCOPES.append(made)
+    before = _SCOPES.set((*_SCOPES.get(), made))
     try:
         yield
     finally:
-        _SCOPES.remove(made)
+        _SCOPES.reset(before)
         for t in made:
             t.drop()
 
@@ -347,32 +349,33 @@ def components(edges: DataFrame) -> DataFrame:
     split by AQE, so a node with very many neighbours is no single task.
     """
     spark = edges.sparkSession
-    left = Written(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").distinct())
+    left = table(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").distinct())
     labels: Written | None = None
     while not left.df.isEmpty():
         both = left.df.unionAll(left.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("up"))
-        hook = Written(hook)
+        hook = table(hook)
         p = hook.df
         for _ in range(2):
             q = p.select(F.col("node").alias("up"), F.col("up").alias("upper"))
             p = p.join(q, "up").select("node", F.col("upper").alias("up"))
-        jump = Written(p)
+        jump = table(p)
         p = jump.df
         pa_, pb = p.select(F.col("node").alias("a"), F.col("up").alias("x")), p.select(F.col("node").alias("b"), F.col("up").alias("y"))
         more = left.df.join(pa_, "a").join(pb, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         # A pointer may end above its root: the node itself stays tied to what it points to.
         tied = p.join(p.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").where("up <> top").select(F.col("top").alias("a"), F.col("up").alias("b"))
-        next_left = Written(more.unionAll(tied).distinct())
+        next_left = table(more.unionAll(tied).distinct())
         if labels is None:
-            next_labels = Written(p.select("node", F.col("up").alias("label")))
+            next_labels = table(p.select("node", F.col("up").alias("label")))
         else:
             step = p.select(F.col("node").alias("label"), F.col("up").alias("next"))
-            next_labels = Written(labels.df.join(step, "label", "left").select("node", F.coalesce("next", "label").alias("label")))
+            next_labels = table(labels.df.join(step, "label", "left").select("node", F.coalesce("next", "label").alias("label")))
             labels.drop()
         for t in (left, hook, jump):
             t.drop()
         left, labels = next_left, next_labels
+    left.drop()
     if labels is None:
         return spark.createDataFrame([], "node long, label long")
     return labels.df

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import LOWER, NO_WORD, bounded_rows, eased, mix64, slices, span_hash, utf8, word_spans
+from sparkloom.llm.common import LOWER, NO_WORD, bounded_rows, eased, mix64, slices, span_hash, utf8, word_spans, written
 
 WINDOW = 8
 #: Items have to have this many words for a template; shorter ones are found by their words.
@@ -104,6 +104,9 @@ class Words:
     value: np.ndarray  # a placeholder's value
     inner: np.ndarray  # inside of a name, so no window begins here
     group: np.ndarray  # place in the text, a run with its opener counted once
+    low: np.ndarray  # the bytes in lower case
+    begin: np.ndarray  # where the words begin and end there
+    end: np.ndarray
 
 
 def template(data: np.ndarray, off: np.ndarray) -> Words:
@@ -142,7 +145,7 @@ def template(data: np.ndarray, off: np.ndarray) -> Words:
     inner[1:] &= ~opener[:-1]
     return Words(
         per, h, np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, h))), number | name | unit, np.where(name, run, place + 1), opener, run,
-        (sums[run] - sums[:-1]).view(np.int64), inner, group - np.repeat(group[np.minimum(start, len(s) - 1)] if len(s) else start, per),
+        (sums[run] - sums[:-1]).view(np.int64), inner, group - np.repeat(group[np.minimum(start, len(s) - 1)] if len(s) else start, per), low, s, e,
     )
 
 
@@ -217,8 +220,38 @@ def _values(w: Words, at: np.ndarray, size: np.ndarray, read: np.ndarray) -> pa.
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(value[slot], mask=~known[slot]))
 
 
-_HIT = "h long, lit boolean, id long, at int, n int, strict boolean, v array<long>"
-_Wanted = tuple[np.ndarray, np.ndarray] | None
+_HIT = "h long, h2 long, lit boolean, id long, at int, n int, strict boolean, v array<long>"
+#: Keys that are wanted, if they are few, and a bit for each that might be.
+_Wanted = tuple[np.ndarray | None, np.ndarray] | None
+#: Bits of that filter where the keys themselves are too many to be sent: of fixed size, 16 MB.
+FILTER_BITS = 1 << 27
+
+
+def _might_hold(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    place = h & np.uint64(8 * len(bits) - 1)
+    return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _filter_of(items: DataFrame) -> np.ndarray:
+    """A bit for the key of every window of the items; combined by Spark, so the driver gets no more than the filter's own words."""
+    place = F.col("h").bitwiseAND(FILTER_BITS - 1)
+    words = items.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, int((h & {FILTER_BITS - 1}) & 63))")).alias("x"))
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    for batch in words.toArrow().to_batches():
+        out[batch.column("w").to_numpy(zero_copy_only=False)] = batch.column("x").to_numpy(zero_copy_only=False)
+    return out.view(np.uint8)
+
+
+def _second(w: Words, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A second hash of windows of words, by other hashes of the words, so that equal windows are told by 128 bits."""
+    if not len(at):
+        return np.zeros(0, np.int64)
+    own = span_hash(w.low, w.begin, w.end, 1)
+    h = size.astype(np.uint64)
+    for k in range(int(size.max())):
+        on = np.flatnonzero(k < size)
+        h[on] = mix64(h[on] * _FACTOR + own[at[on] + k])
+    return h.view(np.int64)
 
 
 def _window_rows(ids: np.ndarray, data: np.ndarray, off: np.ndarray, sizes: list[tuple[bool, int]] | None, n: int, wanted: _Wanted) -> pa.RecordBatch:
@@ -242,11 +275,12 @@ def _window_rows(ids: np.ndarray, data: np.ndarray, off: np.ndarray, sizes: list
                     fit[fit] = np.diff(_values(w, at[fit], np.full(int(fit.sum()), size), read[fit]).offsets.to_numpy()) <= size - 2
             at, h, read = (x[np.broadcast_to(fit, at.shape)] for x in (at, h, read))
         if wanted is not None:
-            keys, seen = wanted
-            maybe = seen[(h & np.uint64(len(seen) - 1)).astype(np.int64)]
+            keys, bits = wanted
+            maybe = _might_hold(bits, h)
             at, h, read = at[maybe], h[maybe], read[maybe]
-            k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            at, h, read = (x[keys[k] == h] for x in (at, h, read))
+            if keys is not None:
+                k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                at, h, read = (x[keys[k] == h] for x in (at, h, read))
         if lit and size < SHORTEST:
             # one or two words may stand in a text very often; once says all
             order = np.lexsort((at, h, text[at]))
@@ -264,11 +298,13 @@ def _window_rows(ids: np.ndarray, data: np.ndarray, off: np.ndarray, sizes: list
     h, at, read, size, lit = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, bool))
     # template windows are placed by runs, as a name of one word may stand for one of two
     place = np.where(lit, at - first[text[at]], w.group[at]) if len(at) else at
+    second = np.zeros(len(at), np.int64)
+    second[lit] = _second(w, at[lit], size[lit])
     columns = [
-        pa.array(h.view(np.int64)), pa.array(lit), pa.array(ids[text[at]]), pa.array(place.astype(np.int32)), pa.array(size.astype(np.int32)),
+        pa.array(h.view(np.int64)), pa.array(second), pa.array(lit), pa.array(ids[text[at]]), pa.array(place.astype(np.int32)), pa.array(size.astype(np.int32)),
         pa.array(read == 0), _values(w, at, np.where(lit, 0, size), read),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["h", "lit", "id", "at", "n", "strict", "v"])
+    return pa.RecordBatch.from_arrays(columns, names=["h", "h2", "lit", "id", "at", "n", "strict", "v"])
 
 
 def _rows(df: DataFrame, key: str, sizes: list[tuple[bool, int]] | None, n: int, wanted: _Wanted) -> DataFrame:
@@ -283,22 +319,25 @@ def _rows(df: DataFrame, key: str, sizes: list[tuple[bool, int]] | None, n: int,
 def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, least: float = 0.5, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """doc_id, item_id, n_windows, item_windows, coverage, n_exact, n_slots, consistent: a row for each contaminated pair.
 
-    The benchmark's window hashes filter the documents' windows where they are made, if
-    there are at most `most_broadcast` of them; beyond that both sides are shuffled."""
-    items = _rows(benchmark, "item_id", None, n, None)
+    The benchmark's window hashes filter the documents' windows where they are made, exactly if
+    there are at most `most_broadcast` of them; beyond that a filter of fixed size lets pass
+    what may be one of them, and both sides are shuffled. Windows of words are equal where
+    two hashes of 64 bits are."""
+    items = written(_rows(benchmark, "item_id", None, n, None))
     few = items.count() <= most_broadcast
     sizes = sorted((r["lit"], r["n"]) for r in items.select("lit", "n").distinct().collect())
     known = bounded_rows(items.select("h").distinct(), most_broadcast) if few else None
-    wanted = None
     if known is not None:
         keys = np.unique(np.array([r["h"] for r in known], np.int64).view(np.uint64)) if known else np.zeros(1, np.uint64)
-        seen = np.zeros(1 << max(10, (64 * len(keys)).bit_length()), bool)
-        seen[(keys & np.uint64(len(seen) - 1)).astype(np.int64)] = True
-        wanted = keys, seen
+        bits = np.zeros(1 << max(10, (64 * len(keys)).bit_length()), bool)
+        bits[(keys & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+        wanted = keys, np.packbits(bits, bitorder="little")
+    else:
+        wanted = None, _filter_of(items)
     hits = _rows(docs, "doc_id", sizes, n, wanted)
     per_item = items.groupBy("id", "lit").agg(F.countDistinct("at").alias("item_windows"))
-    left = items.join(per_item, ["id", "lit"]).select("h", "lit", "n", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("strict").alias("item_strict"), F.col("v").alias("item_v"), "item_windows")
-    pairs = hits.join(F.broadcast(left) if known is not None else left, ["h", "lit", "n"])
+    left = items.join(per_item, ["id", "lit"]).select("h", "h2", "lit", "n", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("strict").alias("item_strict"), F.col("v").alias("item_v"), "item_windows")
+    pairs = hits.join(F.broadcast(left) if known is not None else left, ["h", "h2", "lit", "n"])
     pairs = pairs.select("item_id", F.col("id").alias("doc_id"), "lit", "item_at", "item_windows", (F.col("at") - F.col("item_at")).alias("shift"), (F.col("strict") & F.col("item_strict")).alias("strict"), F.arrays_zip(F.col("item_v").alias("a"), F.col("v").alias("b")).alias("slots"))
     # an item's length bounds what is gathered for one alignment
     grouped = pairs.groupBy("doc_id", "item_id", "lit", "shift", "item_windows")
