@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.operators import changes
+from sparkloom.functions import tables
+from sparkloom.operators import asof, changes, store
 from sparkloom.operators.stored_table import StoredTable
 from sparkloom.plans import assembly, generation
 from sparkloom.session import shared_folder
@@ -70,6 +71,45 @@ def q_diff_sections(spark, sf_dir):
     return lines.select(F.regexp_extract("diff_id", r"request=(\d+)/", 1).cast("long").alias("request"), "file_path", "side", "line").distinct()
 
 
+@_query(
+    """WITH v AS (SELECT user_id AS k, event_id AS at, CASE WHEN event_type = 'view' AND event_id % 3 = 0 THEN NULL ELSE event_type || event_id END AS content FROM events),
+    a AS (SELECT o_orderkey, o_custkey AS k, o_orderkey AS at FROM orders)
+    SELECT o_orderkey, content FROM a ASOF LEFT JOIN v ON a.k = v.k AND a.at >= v.at"""
+)
+def q_versions_as_of(spark, sf_dir):
+    """A user's events are the versions of a file, some of them deletions; every order asks for one as of its number."""
+    gone = (F.col("event_type") == "view") & (F.col("event_id") % 3 == 0)
+    name = lambda c: F.concat(F.lit("src/"), F.col(c).cast("string"), F.lit(".py")).alias("file_path")
+    versions = _t(spark, sf_dir, "events").select(name("user_id"), F.col("event_id").alias("commit"), F.when(~gone, F.concat("event_type", F.col("event_id").cast("string"))).alias("content"))
+    asks = _t(spark, sf_dir, "orders").select("o_orderkey", name("o_custkey"), F.col("o_orderkey").alias("commit"))
+    return asof.versions_as_of(asks, versions).select("o_orderkey", F.col("previous_source").alias("content"))
+
+
+@_query(
+    """SELECT c_nationkey || '/' || c_name AS key, 'f' || c_nationkey AS source_file, c_name AS function_name, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'test_a,test_"' || c_custkey || 'é' END AS names FROM customer"""
+)
+def q_mapping_document(spark, sf_dir):
+    """One indented document over all part files, written and read back entry by entry."""
+    c = _t(spark, sf_dir, "customer")
+    names = F.when(F.col("c_custkey") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("test_a"), F.concat(F.lit('test_"'), F.col("c_custkey").cast("string"), F.lit("é"))))
+    rows = c.select(F.concat(F.col("c_nationkey").cast("string"), F.lit("/"), "c_name").alias("key"), F.concat(F.lit("f"), F.col("c_nationkey").cast("string")).alias("source_file"), F.lit("python").alias("language"), F.col("c_name").alias("function_name"), F.lit("t").alias("test_id"), F.lit("x/y").alias("target_file"), names.alias("test_names"))
+    path = shared_folder(spark, "mapping")
+    store.save_document(rows, path, path)
+    return records.read_document(spark, path).select("key", "source_file", "function_name", F.array_join("test_names", ",").alias("names"))
+
+
+@_query(
+    """SELECT n_nationkey, n_name || '.m' AS function_name, 2 AS start_line, 4 AS end_line, 1 AS branch_count, false AS has_validation, 'helper,a.go' AS calls FROM nation
+    UNION ALL SELECT n_nationkey, 'f' || n_nationkey, 7, 9, 0, true, 'check' FROM nation"""
+)
+def q_functions_by_sql(spark, sf_dir):
+    """The rows of q_python_functions, asked for in SQL through LATERAL."""
+    tables.register(spark)
+    code = F.concat(F.lit("class "), F.col("n_name"), F.lit(":\n    def m(self, a: int):\n        for i in helper(a):\n            a.go(i)\n\n@deco\nasync def f"), F.col("n_nationkey").cast("string"), F.lit("(x, /, *rest, y, **z):\n    def inner(): raise\n    check(x)\n"))
+    files = _t(spark, sf_dir, "nation").select("n_nationkey", code.alias("content"))
+    return spark.sql("SELECT n_nationkey, function_name, start_line, end_line, branch_count, has_validation, array_join(called_functions, ',') AS calls FROM {files} f, LATERAL python_functions(f.content)", files=files)
+
+
 #: A file with a class and a function, the module that it imports from, its tests; ¤ is the file's number.
 _CODE = "from src.util¤ import aid\n\nclass Box¤:\n    def run(self, a):\n        if a:\n            return helper¤(a)\n        return api.get(a)\n\ndef helper¤(a):\n    if a is None:\n        raise ValueError(a)\n    return aid(a)\n"
 _UTIL = "def aid(x):\n    check(x)\n    return x\n"

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import posixpath
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.functions import paths
 from sparkloom.functions.source_code import mapping_json
@@ -53,6 +56,29 @@ def save_mapping(store: DataFrame, path: str, root: str, overwrite: bool = False
     as_json(store).select("mapping").write.mode("overwrite" if overwrite else "errorifexists").text(guarded_path(path, root))
 
 
+@F.pandas_udf(T.StringType())
+def _entry(key: pd.Series, entry: pd.Series) -> pd.Series:
+    """One entry of the document: indented by two, its fields sorted, without the brackets around all entries."""
+    whole = [json.dumps({k: json.loads(e)}, indent=2, sort_keys=True) for k, e in zip(key, entry, strict=True)]
+    return pd.Series([x[2:-2] for x in whole], dtype=object)
+
+
+def save_document(store: DataFrame, path: str, root: str, overwrite: bool = False) -> None:
+    """Writes the mapping as one indented document with sorted keys: the part files in their order are its text.
+
+    Keys are range-partitioned and sorted, and each part is rendered on its own; only the
+    first and the last key are asked for beforehand, as they carry the outer brackets."""
+    ends = store.agg(F.min("key").alias("a"), F.max("key").alias("b")).first()
+    out = guarded_path(path, root)
+    mode = "overwrite" if overwrite else "errorifexists"
+    if ends["a"] is None:
+        store.sparkSession.createDataFrame([("{}",)], "value string").coalesce(1).write.mode(mode).text(out)
+        return
+    fields = F.to_json(F.struct(*[c for c in store.columns if c != "key"]), {"ignoreNullFields": "false"})
+    head, tail = F.when(F.col("key") == ends["a"], "{\n").otherwise(""), F.when(F.col("key") == ends["b"], "\n}").otherwise(",")
+    store.orderBy("key").select(F.concat(head, _entry(F.col("key"), fields), tail).alias("value")).write.mode(mode).text(out)
+
+
 def guarded_path(path: str, root: str) -> str:
     """The path without `..`, if it lies in `root`; else an error, so that nothing is written elsewhere."""
     here, top = posixpath.normpath(path), posixpath.normpath(root)

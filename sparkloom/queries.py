@@ -229,7 +229,7 @@ def q_response_content(spark, sf_dir):
         .when(F.col("turn") % 4 == 2, F.to_json(F.struct(F.array(F.struct(F.col("text").alias("text"))).alias("choices"))))
         .otherwise(F.to_json(F.struct(F.col("role").alias("output_text"))))
     )
-    return c.select("conv_id", "turn", records.response_content(body).alias("content"))
+    return records.with_response_content(c.select("conv_id", "turn", body.alias("body"))).select("conv_id", "turn", "content")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -63,25 +63,32 @@ def first_number(*columns: Column) -> Column:
 
 
 def event_context(events: DataFrame, override: Column | None = None) -> DataFrame:
-    """Number, branches, title and body of an event's JSON (column `payload`); a missing number or branch is an error."""
-    at = lambda p: F.get_json_object("payload", p)
+    """Number, branches, title and body of an event's JSON (column `payload`); a missing number or branch is an error, and so is a payload that is no JSON.
+
+    A payload is parsed once, into a variant; fields of any shape are taken from that."""
+    parsed = events.withColumn("__v", F.parse_json(F.coalesce("payload", F.lit("{}"))))
+    at = lambda p: F.try_variant_get("__v", p, "string")
     number = first_number(override if override is not None else F.lit(None).cast("string"), at("$.pull_request.number"), at("$.number"))
     need = lambda c, name: F.when(F.coalesce(c.cast("string"), F.lit("")) == "", F.raise_error(F.lit(f"missing {name}"))).otherwise(c)
-    return events.select(
+    return parsed.select(
         at("$.repository.full_name").alias("repository"), need(number, "number").alias("pull_request_number"), need(at("$.pull_request.base.ref"), "base branch").alias("base_branch"),
         need(at("$.pull_request.head.ref"), "head branch").alias("head_branch"), at("$.pull_request.title").alias("title"), at("$.pull_request.body").alias("body"),
     )
 
 
-def response_content(body: Column) -> Column:
-    """The text of a model's response, whichever of its shapes it has.
+def with_response_content(rows: DataFrame, body: str = "body") -> DataFrame:
+    """Adds `content`, the text of a model's response whichever of its shapes it has, and `bad_json`, whether the body is none.
 
     No choices: output_text. A message whose content is a string, or a list of parts whose
-    texts are joined. Else the choice's own text."""
-    at = lambda p: F.get_json_object(body, p)
-    content = at("$.choices[0].message.content")
-    parts = F.array_join(F.transform(F.from_json(content, "array<struct<text string>>"), lambda x: x["text"]), "")
-    return F.when(F.coalesce(at("$.choices[0]"), F.lit("")) == "", at("$.output_text")).when(content.isNull(), at("$.choices[0].text")).when(content.startswith("["), F.coalesce(parts, content)).otherwise(content)
+    texts are joined. Else the choice's own text. The body is parsed once, into a variant."""
+    v = rows.withColumn("__v", F.try_parse_json(body))
+    at = lambda p, kind="string": F.try_variant_get("__v", p, kind)
+    content = at("$.choices[0].message.content", "variant")
+    parts = F.array_join(F.transform(at("$.choices[0].message.content", "array<variant>"), lambda x: F.coalesce(F.try_variant_get(x, "$.text", "string"), F.lit(""))), "")
+    said = F.when(F.schema_of_variant(content).startswith("ARRAY"), parts).otherwise(at("$.choices[0].message.content"))
+    none = content.isNull() | F.is_variant_null(content)
+    text = F.when(at("$.choices[0]", "variant").isNull(), at("$.output_text")).when(none, at("$.choices[0].text")).otherwise(said)
+    return v.withColumn("content", text).withColumn("bad_json", F.col(body).isNotNull() & F.col("__v").isNull()).drop("__v")
 
 
 RESPONSES = "target_id long, attempt int, http_status int, body string"
@@ -90,10 +97,10 @@ RESPONSES = "target_id long, attempt int, http_status int, body string"
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
     """Captured answers of a model (JSON lines as RESPONSES) to target_id, attempt, status, content, message.
 
-    An HTTP status of 400 or more and a blank text are errors, whose message says so."""
-    rows = spark.read.schema(RESPONSES).json(path)
-    text = F.coalesce(response_content(F.col("body")), F.lit(""))
-    message = F.when(F.col("http_status") >= 400, F.concat_ws(" ", F.col("http_status").cast("string"), "body")).when(trim_space(text) == "", F.lit("empty response"))
+    An HTTP status of 400 or more, a body that is no JSON and a blank text are errors, whose message says so."""
+    rows = with_response_content(spark.read.schema(RESPONSES).json(path))
+    text = F.coalesce("content", F.lit(""))
+    message = F.when(F.col("http_status") >= 400, F.concat_ws(" ", F.col("http_status").cast("string"), "body")).when(F.col("bad_json"), F.lit("no JSON")).when(trim_space(text) == "", F.lit("empty response"))
     return rows.select("target_id", "attempt", F.when(message.isNotNull(), "error").otherwise("answer").alias("status"), F.when(message.isNull(), text).alias("content"), message.alias("message"))
 
 
@@ -105,11 +112,20 @@ def read_runs(spark: SparkSession, path: str, languages: list[str]) -> DataFrame
     return spark.read.schema(RUNS).json(path).where(F.col("language").isin(languages))
 
 
+MAPPING_FIELDS = "source_file string, language string, function_name string, test_id string, target_file string, test_names array<string>"
+
+
+def read_document(spark: SparkSession, path: str) -> DataFrame:
+    """key and the entry's fields of one indented mapping document, in one file or in part files; read entry by entry, so a large one is split between tasks."""
+    entry = spark.read.option("lineSep", "\n  },\n").text(path).select(F.regexp_replace(F.regexp_replace("value", r"\A\{\n", ""), r"(\n  \})?\n?\}?\n?\z", "").alias("e")).where(F.trim("e") != "")
+    kind = f"map<string, struct<{MAPPING_FIELDS}>>"
+    return entry.select(F.explode(F.from_json(F.concat(F.lit("{"), "e", F.lit("\n}}")), kind)).alias("key", "v")).select("key", "v.*")
+
+
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
     """key and the entry's fields of a stored mapping; no rows where the path is not there."""
-    fields = "source_file string, language string, function_name string, test_id string, target_file string, test_names array<string>"
     if not is_there(spark, path):
-        return spark.createDataFrame([], f"key string, {fields}")
-    entry = f"map<string, struct<{fields}>>"
+        return spark.createDataFrame([], f"key string, {MAPPING_FIELDS}")
+    entry = f"map<string, struct<{MAPPING_FIELDS}>>"
     texts = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"\n(?=\{)")).alias("value"))  # one for each source file, or one in all
     return texts.select(F.explode(F.from_json("value", entry)).alias("key", "e")).select("key", "e.*")

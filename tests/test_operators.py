@@ -253,7 +253,7 @@ def test_logs_and_discovery(spark):
 def test_records(spark):
     bodies = ['{"choices":[{"message":{"content":"a"}}]}', '{"choices":[{"message":{"content":[{"text":"b"},{"text":"c"}]}}]}', '{"choices":[{"text":"d"}]}', '{"output_text":"e"}', '{"choices":[],"output_text":"f"}']
     df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, b string")
-    assert [r[1] for r in rows(df.select("i", records.response_content(F.col("b")).alias("c")), "i", "c")] == ["a", "bc", "d", "e", "f"]
+    assert [r[1] for r in rows(records.with_response_content(df, "b"), "i", "content")] == ["a", "bc", "d", "e", "f"]
     event = '{"number": 4, "repository": {"full_name": "o/r"}, "pull_request": {"number": 0, "base": {"ref": "main"}, "head": {"ref": "x"}, "title": "T"}}'
     got = records.event_context(spark.createDataFrame([(event,)], "payload string")).first()
     assert (got["pull_request_number"], got["base_branch"], got["body"]) == (4, "main", None)
