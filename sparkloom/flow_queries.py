@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.functions import tables
-from sparkloom.operators import asof, changes, store
+from sparkloom.functions import tables, text
+from sparkloom.operators import asof, budgets, changes, store, validation
 from sparkloom.operators.stored_table import StoredTable
 from sparkloom.plans import assembly, generation
 from sparkloom.session import shared_folder
@@ -110,6 +110,52 @@ def q_functions_by_sql(spark, sf_dir):
     return spark.sql("SELECT n_nationkey, function_name, start_line, end_line, branch_count, has_validation, array_join(called_functions, ',') AS calls FROM {files} f, LATERAL python_functions(f.content)", files=files)
 
 
+#: For each pattern that generated tests must not hold, a text that does and one that nearly does.
+_BANNED = (
+    ("a *** b", "a ** b, x***y"), ("why ???", "why ??, x???"), ("# ToDo", "todos"), ("x = your_module", "your_modules"), ("create_engine (url)", "recreate_engine(url)"),
+    ("httpx.patch (u)", "httpx.options(u)"), ("psycopg2.connect(d)", "mysql.connect(d)"), ("open(p, 'w')", "open(p, 'r')"), ("pathlib.Path(a).write_text(b)", "Path(a).read_text()"),
+    ("aiohttp . request( 'https://a.co.uk/x'", "aiohttp.request('https://example.com/x'"), ("  const a = require('b')", "let a = require('b')"),
+)
+
+
+@_query("SELECT c_custkey, c_custkey % 2 = 0 AS banned FROM customer")
+def q_banned_patterns(spark, sf_dir):
+    """All eleven patterns, each by a text that holds it and one that nearly does."""
+    texts = F.array(*[F.array(*map(F.lit, pair)) for pair in _BANNED])
+    pair = F.get(texts, (F.floor(F.col("c_custkey") / 2) % len(_BANNED)).cast("int"))
+    content = F.concat(F.lit("def test_a():\n    pass\n"), F.get(pair, (F.col("c_custkey") % 2).cast("int")), F.lit("\n"))
+    return _t(spark, sf_dir, "customer").select("c_custkey", validation.has_banned_content(content).alias("banned"))
+
+
+_EVICTED = ("fixed", "request_rule", "project_rule", "dependency", "test_line")
+
+
+@_query(
+    """WITH t AS (SELECT conv_id, turn, turn % 5 AS kind, (CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END) AS n FROM conversations),
+    s AS (SELECT *, sum(n) OVER (PARTITION BY conv_id) - 90 AS over_, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY CASE kind WHEN 0 THEN 9 ELSE kind END, CASE WHEN kind = 3 THEN -n ELSE 0 END, CASE WHEN kind = 3 THEN turn ELSE -turn END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed, sum(CASE WHEN kind = 0 THEN n ELSE 0 END) OVER (PARTITION BY conv_id) AS fixed FROM t)
+    SELECT conv_id, turn, kind > 0 AND over_ > 0 AND freed < over_ AS evicted, fixed > 90 AS skipped FROM s"""
+)
+def q_eviction_of_all_kinds(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations")
+    kind = F.get(F.array(*map(F.lit, _EVICTED)), (F.col("turn") % 5).cast("int"))
+    items = c.select(F.col("conv_id").alias("target_id"), kind.alias("kind"), F.col("turn").alias("ordinal"), text.estimate_tokens(F.col("text")).alias("tokens"))
+    return budgets.evict_to_budget(items, 90).select(F.col("target_id").alias("conv_id"), F.col("ordinal").alias("turn"), "evicted", "skipped")
+
+
+@_query(
+    """SELECT s_suppkey, 'import unittest' || chr(10) || 'from app.m import Box' || s_suppkey || ', go' || chr(10) || chr(10) || 'def test_a(): pass' || chr(10) AS content FROM supplier WHERE s_suppkey % 2 = 0
+    UNION ALL SELECT s_suppkey, 'import unittest' || chr(10) || 'from app.m import Box' || s_suppkey || ', go, gone, LIMIT' || chr(10) || chr(10) || 'def test_a(): pass' || chr(10) FROM supplier WHERE s_suppkey % 2 = 1"""
+)
+def q_merged_by_source(spark, sf_dir):
+    """Names that a source defines at its top level decide which imports stay; every second source does not parse, so all stay."""
+    s = _t(spark, sf_dir, "supplier")
+    number = F.col("s_suppkey").cast("string")
+    code = F.concat(F.lit("class Box"), number, F.lit(":\n    def gone(self): pass\n    LIMIT = 1\n\nasync def go():\n    pass\na, b = 1, 2\n"), F.when(F.col("s_suppkey") % 2 == 1, "def (").otherwise(""))
+    symbols = store.own_symbols(s.select(F.col("s_suppkey").alias("source_file"), F.lit("python").alias("language"), code.alias("content")))
+    tests = s.select(F.col("s_suppkey").alias("source_file"), F.lit(0).alias("ordinal"), F.concat(F.lit("from app.m import Box"), number, F.lit(", go, gone, LIMIT\n\ndef test_a(): pass\n")).alias("content"))
+    return store.merge_artifacts(tests, symbols).select(F.col("source_file").alias("s_suppkey"), "content")
+
+
 #: A file with a class and a function, the module that it imports from, its tests; ¤ is the file's number.
 _CODE = "from src.util¤ import aid\n\nclass Box¤:\n    def run(self, a):\n        if a:\n            return helper¤(a)\n        return api.get(a)\n\ndef helper¤(a):\n    if a is None:\n        raise ValueError(a)\n    return aid(a)\n"
 _UTIL = "def aid(x):\n    check(x)\n    return x\n"
@@ -124,8 +170,8 @@ _RUN = _REQUEST.format(name="Box¤.run", symbol="Box¤", mocks="## To be mocked\
 _HELP = _REQUEST.format(name="helper¤", symbol="helper¤", mocks="", code=_HELPER, calls=f"- aid (src/util¤.py)\n{_UTIL.strip()}")
 
 
-def _filled(text: str, tests: str) -> str:
-    return f"replace(replace(replace({_q(text)}{tests}, '¤', k::VARCHAR), '@', n::VARCHAR), '~', CASE WHEN n % 2 = 0 THEN '' ELSE chr(10) || 'asked by ' || n END)"
+def _filled(shown: str, tests: str) -> str:
+    return f"replace(replace(replace({_q(shown)}{tests}, '¤', k::VARCHAR), '@', n::VARCHAR), '~', CASE WHEN n % 2 = 0 THEN '' ELSE chr(10) || 'asked by ' || n END)"
 
 
 @_query(

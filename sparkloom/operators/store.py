@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.functions import paths
-from sparkloom.functions.source_code import mapping_json
+from sparkloom.functions.source_code import mapping_json, top_level_names
 from sparkloom.functions.text import split_lines, trim_space
 
 
@@ -104,6 +104,11 @@ def emptied_folders(before: DataFrame, deleted: DataFrame, root: str, column: st
 OWN_MODULES = ("django", "flask", "fastapi", "src", "app", "lib")
 
 
+def own_symbols(sources: DataFrame) -> DataFrame:
+    """`sources` (source_file, language, content) to (source_file, name): what Python sources define at their top level, for merge_artifacts."""
+    return sources.select("source_file", F.explode(top_level_names("language", "content")).alias("name"))
+
+
 def merge_artifacts(tests: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
     """`tests` (source_file, ordinal, content) to one text each: the union of leading imports, sorted, then the bodies in order.
 
