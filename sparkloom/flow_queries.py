@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.functions import tables, text
+from sparkloom.functions import source_code, tables, text
 from sparkloom.operators import asof, budgets, changes, store, validation
 from sparkloom.operators.stored_table import StoredTable
 from sparkloom.plans import assembly, generation
@@ -156,6 +156,77 @@ def q_merged_by_source(spark, sf_dir):
     return store.merge_artifacts(tests, symbols).select(F.col("source_file").alias("s_suppkey"), "content")
 
 
+@_query("SELECT DISTINCT 'src/' || c_nationkey || '/m' || c_custkey % 50 || '.py' AS file_path FROM customer")
+def q_changed_paths(spark, sf_dir):
+    """Lists of changed paths as a shell writes them, blanks and backslashes among them."""
+    c = _t(spark, sf_dir, "customer")
+    line = F.concat(F.lit(" src\\"), F.col("c_nationkey").cast("string"), F.lit("/m"), (F.col("c_custkey") % 50).cast("string"), F.lit(".py \n\n  "))
+    path = shared_folder(spark, "paths")
+    c.select(line.alias("value")).write.text(path)
+    return records.read_changed_paths(spark, path).distinct()
+
+
+@_query(
+    """SELECT conv_id AS target_id, turn + 1 AS attempt, CASE WHEN turn % 5 IN (0, 1, 4) OR (turn % 5 = 2 AND trim(text) = '') THEN 'error' ELSE 'answer' END AS status, CASE WHEN turn % 5 IN (2, 3) AND trim(text) <> '' THEN text END AS content,
+    CASE turn % 5 WHEN 0 THEN '429 busy' WHEN 1 THEN 'no JSON' WHEN 4 THEN 'empty response' END AS message FROM conversations"""
+)
+def q_captured_responses(spark, sf_dir):
+    """Answers of a model as JSON lines: refused, broken, blank and good ones of two shapes."""
+    c = _t(spark, sf_dir, "conversations")
+    case = F.col("turn") % 5
+    said = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices")))
+    body = F.when(case == 0, "busy").when(case == 1, F.concat(F.lit("<"), "text")).when(case == 2, said).when(case == 3, F.to_json(F.struct(F.col("text").alias("output_text")))).otherwise('{"choices": []}')
+    path = shared_folder(spark, "responses")
+    c.select(F.col("conv_id").alias("target_id"), (F.col("turn") + 1).alias("attempt"), F.when(case == 0, 429).otherwise(200).alias("http_status"), body.alias("body")).write.json(path)
+    return records.read_responses(spark, path)
+
+
+@_query("SELECT o_orderkey, 'o/r' AS repository, o_custkey::INT AS number, 'main' AS base, 'b' || o_orderkey AS head FROM orders")
+def q_captured_events(spark, sf_dir):
+    """Event files, one a bucket of orders, each an array of events; fields of other shapes do not matter."""
+    o = _t(spark, sf_dir, "orders")
+    odd = F.when(F.col("o_orderkey") % 2 == 0, F.lit('{"a": [1, {"b": null}]}')).otherwise(F.lit('"text"'))
+    event = F.format_string('{"repository": {"full_name": "o/r"}, "other": %s, "number": "%d", "pull_request": {"number": 0, "base": {"ref": "main"}, "head": {"ref": "b%d"}}}', odd, F.col("o_custkey"), F.col("o_orderkey"))
+    path = shared_folder(spark, "events")
+    o.groupBy((F.col("o_orderkey") % 64).alias("file")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(event), ", "), F.lit("]")).alias("value")).repartition(64, "file").write.partitionBy("file").text(path)
+    files = records.read_events(spark, path)
+    each = files.select(F.explode(F.try_variant_get(F.parse_json("payload"), "$", "array<variant>")).alias("v")).select(F.to_json("v").alias("payload"))
+    got = records.event_context(each)
+    return got.select(F.substring("head_branch", 2, 20).cast("long").alias("o_orderkey"), "repository", F.col("pull_request_number").alias("number"), F.col("base_branch").alias("base"), F.col("head_branch").alias("head"))
+
+
+@_query(
+    """SELECT DISTINCT c_nationkey AS request_id, CASE c_custkey % 4 WHEN 0 THEN 'python' ELSE 'javascript' END AS language FROM customer WHERE c_custkey % 4 = 0 OR (c_custkey % 4 IN (1, 2) AND c_nationkey % 3 = 0)"""
+)
+def q_expected_runs(spark, sf_dir):
+    """Which runs a request calls for: scripts only where the root has a package.json, one run for both script languages."""
+    c = _t(spark, sf_dir, "customer")
+    language = F.get(F.array(F.lit("python"), F.lit("javascript"), F.lit("typescript"), F.lit(None)), (F.col("c_custkey") % 4).cast("int"))
+    touched = c.select(F.col("c_nationkey").alias("request_id"), language.alias("language"))
+    files = c.select(F.col("c_nationkey").alias("request_id"), F.when(F.col("c_nationkey") % 3 == 0, "package.json").otherwise("web/package.json").alias("file_path"))
+    return records.expected_runs(touched, files, ["python", "npm"])
+
+
+@_query("SELECT 'f' || c_nationkey || '::' || c_name AS key, 'x/' || c_custkey AS target_file, 't' || c_custkey % 3 AS names FROM customer")
+def q_saved_mapping(spark, sf_dir):
+    """The mapping saved a source file a line, read back."""
+    c = _t(spark, sf_dir, "customer")
+    file = F.concat(F.lit("f"), F.col("c_nationkey").cast("string"))
+    rows = c.select(store.mapping_key(file, F.col("c_name")).alias("key"), file.alias("source_file"), F.lit("python").alias("language"), F.col("c_name").alias("function_name"), F.lit("t").alias("test_id"), F.concat(F.lit("x/"), F.col("c_custkey").cast("string")).alias("target_file"), F.array(F.concat(F.lit("t"), (F.col("c_custkey") % 3).cast("string"))).alias("test_names"))
+    path = shared_folder(spark, "saved")
+    store.save_mapping(rows, path, path)
+    return records.read_mapping(spark, path).select("key", "target_file", F.array_join("test_names", ",").alias("names"))
+
+
+@_query(
+    """SELECT n_nationkey, 'f("// no", ' || n_nationkey || ') ' || chr(10) || 'x = /[/*]/ + `/* ${n} */` ' || chr(10) || n_name || '()' AS code FROM nation"""
+)
+def q_script_comments(spark, sf_dir):
+    """Comments go; what looks like one in a string, a pattern or a template stays."""
+    code = F.concat(F.lit('f("// no", '), F.col("n_nationkey").cast("string"), F.lit(") // it's `gone`\nx = /[/*]/ + `/* ${n} */` /* a\nb */\n"), "n_name", F.lit("()"))
+    return _t(spark, sf_dir, "nation").select("n_nationkey", source_code.without_comments(code).alias("code"))
+
+
 #: A file with a class and a function, the module that it imports from, its tests; ¤ is the file's number.
 _CODE = "from src.util¤ import aid\n\nclass Box¤:\n    def run(self, a):\n        if a:\n            return helper¤(a)\n        return api.get(a)\n\ndef helper¤(a):\n    if a is None:\n        raise ValueError(a)\n    return aid(a)\n"
 _UTIL = "def aid(x):\n    check(x)\n    return x\n"

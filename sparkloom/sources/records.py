@@ -112,6 +112,27 @@ def read_runs(spark: SparkSession, path: str, languages: list[str]) -> DataFrame
     return spark.read.schema(RUNS).json(path).where(F.col("language").isin(languages))
 
 
+#: What runs the tests of a language, and the file without which it does not.
+RUNNERS = {"python": ("python", None), "javascript": ("npm", "package.json")}
+
+
+def expected_runs(touched: DataFrame, files: DataFrame, tools: list[str]) -> DataFrame:
+    """(request_id, language) of the runs that a request calls for, one for Python and one for both script languages.
+
+    `touched` (request_id, language): what a request changed; `files` (request_id, file_path):
+    its repository's files, as scripts are run where its root has a package.json alone; `tools`
+    are the runners at hand. A run that `read_runs` gives and that is not expected is none of the request's."""
+    runner = F.when(F.col("language").isin("javascript", "typescript"), "javascript").when(F.col("language") == "python", "python")
+    asked = touched.select("request_id", runner.alias("language")).where("language IS NOT NULL").distinct()
+    out = None
+    for language, (tool, needs) in RUNNERS.items():
+        rows = asked.where((F.col("language") == language) & F.lit(tool in tools))
+        if needs:
+            rows = rows.join(files.where(F.col("file_path") == needs).select("request_id").distinct(), "request_id", "left_semi")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 MAPPING_FIELDS = "source_file string, language string, function_name string, test_id string, target_file string, test_names array<string>"
 
 
