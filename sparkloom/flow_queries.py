@@ -181,12 +181,12 @@ def q_captured_responses(spark, sf_dir):
     return records.read_responses(spark, path)
 
 
-@_query("SELECT o_orderkey, 'o/r' AS repository, o_custkey::INT AS number, 'main' AS base, 'b' || o_orderkey AS head FROM orders")
+@_query("SELECT o_orderkey, 'o/r' AS repository, (o_custkey + 1)::INT AS number, 'main' AS base, 'b' || o_orderkey AS head FROM orders")
 def q_captured_events(spark, sf_dir):
     """Event files, one a bucket of orders, each an array of events; fields of other shapes do not matter."""
     o = _t(spark, sf_dir, "orders")
     odd = F.when(F.col("o_orderkey") % 2 == 0, F.lit('{"a": [1, {"b": null}]}')).otherwise(F.lit('"text"'))
-    event = F.format_string('{"repository": {"full_name": "o/r"}, "other": %s, "number": "%d", "pull_request": {"number": 0, "base": {"ref": "main"}, "head": {"ref": "b%d"}}}', odd, F.col("o_custkey"), F.col("o_orderkey"))
+    event = F.format_string('{"repository": {"full_name": "o/r"}, "other": %s, "number": "%d", "pull_request": {"number": 0, "base": {"ref": "main"}, "head": {"ref": "b%d"}}}', odd, F.col("o_custkey") + 1, F.col("o_orderkey"))
     path = shared_folder(spark, "events")
     o.groupBy((F.col("o_orderkey") % 64).alias("file")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(event), ", "), F.lit("]")).alias("value")).repartition(64, "file").write.partitionBy("file").text(path)
     files = records.read_events(spark, path)
