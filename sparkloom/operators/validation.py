@@ -61,9 +61,10 @@ MOST_OPEN = 3
 
 
 def is_truncated(text: Column, language: Column) -> Column:
-    """By the last line that is not blank, and by brackets that are left open. No text is split for that: other line breaks become line feeds."""
+    """By the last line that is not blank, and by brackets that are left open. No text is split for that; the rarer line breaks are looked for in what the usual ones leave."""
     rest = F.regexp_replace(text, rf"{SPACE}+\z", "")
-    last = F.substring_index(F.translate(rest, LINE_BREAKS, "\n" * len(LINE_BREAKS)), "\n", -1)
+    tail = F.substring_index(F.replace(rest, F.lit("\r"), F.lit("\n")), "\n", -1)
+    last = F.substring_index(F.translate(tail, LINE_BREAKS, "\n" * len(LINE_BREAKS)), "\n", -1)
     script = language.isin("javascript", "typescript") & ~last.rlike(SCRIPT_END)
     python = (language == "python") & _any(last, PYTHON_OPEN)
     size = lambda a, b, c: F.octet_length(F.replace(F.replace(F.replace(text, F.lit(a)), F.lit(b)), F.lit(c)))
