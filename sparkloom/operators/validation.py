@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,10 +45,16 @@ def _any(text: Column, patterns: tuple[str, ...]) -> Column:
     return out
 
 
-def has_banned_content(text: Column) -> Column:
+def ascii_words(pattern: str) -> str:
+    """A pattern of BANNED with the word characters of ASCII alone. Java's own `\\b` takes letters of any script, so edges of words are written out."""
+    return re.sub(r"^\(\?(\w*)U\)", lambda m: f"(?{m[1]})" if m[1] else "", pattern).replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+
+
+def has_banned_content(text: Column, unicode: bool = True) -> Column:
+    """Word characters are those of Unicode, or else of ASCII, as engines without Unicode classes take them: there `é***` is banned."""
     out = F.lit(False)
     for words, pattern in zip(BANNED_HOLDS, BANNED, strict=True):
-        out |= _holds(F.lower(text) if pattern.startswith("(?i") else text, words) & text.rlike(pattern)
+        out |= _holds(F.lower(text) if pattern.startswith("(?i") else text, words) & text.rlike(pattern if unicode else ascii_words(pattern))
     return out
 
 

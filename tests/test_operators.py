@@ -273,3 +273,22 @@ def test_queries_match_their_sql(spark):
         columns = sorted(want.columns)
         as_rows = lambda d: sorted(map(repr, d[columns].astype(object).where(d[columns].notna(), None).values.tolist()))
         assert as_rows(got) == as_rows(want), name
+
+
+def test_banned_content_in_both_readings_of_words(spark):
+    texts = [("a é*** b", False, True), ("ñ??? b", False, True), ("étodo ", False, True), ("x***", False, False), (" *** ", True, True), ("TODO", True, True), ("todos", False, False), ("é requests.get(", True, True), ("éopen('x', 'w'", False, True), (None, None, None)]
+    df = spark.createDataFrame(texts, "text string, unicode boolean, ascii boolean")
+    got = df.select("*", validation.has_banned_content(F.col("text")).alias("u"), validation.has_banned_content(F.col("text"), unicode=False).alias("a")).collect()
+    assert [(r.text, r.u, r.a) for r in got] == texts
+
+
+def test_query_of_banned_content_takes_words_as_its_sql(spark, tmp_path):
+    import duckdb
+
+    from sparkloom import queries
+
+    rows = [(0, "schü*** der"), (1, "miñí??? x"), (2, "étodo"), (3, "a***"), (4, "*** b"), (5, "none")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = dict(duckdb.sql(queries.oracle_sql()["q_banned_content"]).fetchall())
+    assert {r.doc_id: r.banned for r in queries.queries()["q_banned_content"](spark, str(tmp_path)).collect()} == want == {0: True, 1: True, 2: True, 3: False, 4: True, 5: False}
