@@ -104,14 +104,14 @@ def import_failure(text: Column, language: Column, source_file: Column) -> Colum
     )
 
 
-def native_failure(text: Column, language: Column, source_file: Column) -> Column:
-    """The first reason of the checks that need no parser, or null."""
+def native_failure(text: Column, language: Column, source_file: Column, unicode: bool = True) -> Column:
+    """The first reason of the checks that need no parser, or null; for `unicode` see `has_banned_content`."""
     return F.coalesce(
         F.when(F.coalesce(trim_space(text), F.lit("")) == "", "empty"),
         F.when(is_truncated(text, language), "truncated"),
         F.when(_holds(F.lower(text), ("#", "notimplementederror")) & text.rlike(STUBS), "stub_body"),
         import_failure(text, language, source_file),
-        F.when(has_banned_content(text), "banned_pattern"),
+        F.when(has_banned_content(text, unicode), "banned_pattern"),
         F.when(language.isin("javascript", "typescript") & _any(text, BANNED_SCRIPT), "banned_js_pattern"),
     )
 

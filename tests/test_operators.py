@@ -292,3 +292,16 @@ def test_query_of_banned_content_takes_words_as_its_sql(spark, tmp_path):
     duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     want = dict(duckdb.sql(queries.oracle_sql()["q_banned_content"]).fetchall())
     assert {r.doc_id: r.banned for r in queries.queries()["q_banned_content"](spark, str(tmp_path)).collect()} == want == {0: True, 1: True, 2: True, 3: False, 4: True, 5: False}
+
+
+def test_query_of_first_failures_takes_words_as_its_sql(spark, tmp_path):
+    import duckdb
+
+    from sparkloom import queries
+
+    rows = [(0, "schü*** der"), (1, "miñí??? x"), (2, "étbd x"), (3, "a*** x"), (4, "é *** b,"), (5, "none")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = dict(duckdb.sql(queries.oracle_sql()["q_first_failure_reason"]).fetchall())
+    assert {r.doc_id: r.reason for r in queries.queries()["q_first_failure_reason"](spark, str(tmp_path)).collect()} == want
+    assert want == {0: "banned_pattern", 1: "banned_pattern", 2: "banned_pattern", 3: "", 4: "truncated", 5: ""}
