@@ -42,13 +42,15 @@ def hunks(diffs: DataFrame) -> DataFrame:
     holds its own path and its hunks; lines need no order among each other, and nothing is
     shuffled. A text may be a whole diff or some of its sections."""
     cut = rf"(?:\A|{LINE_BREAK})(?=\Q{SECTION}\E|\Q{TARGET}\E)"
-    pieces = diffs.select("diff_id", F.explode(F.split("text", cut, -1)).alias("piece")).where(F.col("piece").startswith(TARGET))
+    # outer, as Spark else makes each array twice more to look whether it has elements; the conditions drop the nulls
+    pieces = diffs.select("diff_id", F.explode_outer(F.split("text", cut, -1)).alias("piece")).where(F.col("piece").startswith(TARGET))
     head = F.split("piece", LINE_BREAK, 2)[0]
     path = F.translate(trim_space(F.substring(head, len(TARGET) + 1, 1 << 30)), "\\", "/")
-    found = pieces.select("diff_id", path.alias("file_path"), F.explode(F.regexp_extract_all("piece", F.lit(rf"(?:{LINE_BREAK})({HUNK})"), F.lit(1))).alias("hunk")).where("file_path <> ''")
-    part = lambda i: F.regexp_extract("hunk", HUNK, i)
-    size = lambda i: F.coalesce(F.nullif(part(i), F.lit("")).cast("int"), F.lit(1))
-    return found.select("diff_id", "file_path", part(1).cast("int").alias("old_start"), size(2).alias("old_size"), part(3).cast("int").alias("new_start"), size(4).alias("new_size"))
+    found = pieces.select("diff_id", path.alias("file_path"), F.explode_outer(F.regexp_extract_all("piece", F.lit(rf"(?:{LINE_BREAK})({HUNK})"), F.lit(1))).alias("hunk")).where("file_path <> '' AND hunk IS NOT NULL")
+    span = lambda i: F.substring(F.split_part(F.col("hunk"), F.lit(" "), F.lit(i)), 2, 1 << 30)
+    start = lambda i: F.substring_index(span(i), ",", 1).cast("int")
+    size = lambda i: F.when(span(i).contains(","), F.substring_index(span(i), ",", -1).cast("int")).otherwise(1)
+    return found.select("diff_id", "file_path", start(2).alias("old_start"), size(2).alias("old_size"), start(3).alias("new_start"), size(3).alias("new_size"))
 
 
 def changed_lines(diffs: DataFrame) -> DataFrame:

@@ -48,3 +48,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows that a task takes where it holds them at once, to sort or to gather them.
+TASK_ROWS = 250_000
+
+
+def parts_of(rows: DataFrame, most: int = TASK_ROWS) -> int:
+    """How many parts hold about `most` rows each. The number goes with the input, where settings of a session leave it or let parts grow; rows of a file are counted without being read."""
+    return max(1, -(-rows.count() // most))

@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from sparkloom.operators import changes
 from sparkloom.sources import records
 
@@ -58,3 +60,22 @@ def test_large_diffs_are_read_by_many_tasks(spark, tmp_path):
     assert got == _plain([(f.name, f.read_text()) for f in tmp_path.glob("*.diff")])
     whole = {(r.diff_id.split("/")[-1], r.file_path, r.side, r.line) for r in changes.changed_lines(records.read_diffs(spark, str(tmp_path))).collect()}
     assert got == whole
+
+
+def test_tasks_of_the_query_hold_about_as_many_rows_of_a_larger_table(spark, tmp_path, monkeypatch):
+    from sparkloom import queries, session
+
+    monkeypatch.setattr(session.parts_of, "__defaults__", (500,))
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.parallelismFirst")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    try:
+        for n in (1000, 8000):
+            rows = spark.range(n).selectExpr("id div 4 AS l_orderkey", "id % 97 AS l_partkey", "id % 53 AS l_suppkey", "int(id % 4 + 1) AS l_linenumber")
+            rows.write.mode("overwrite").parquet(str(tmp_path / "lineitem.parquet"))
+            got = queries.queries()["q_hunk_lines"](spark, str(tmp_path))
+            sizes = got.groupBy(F.spark_partition_id()).agg(F.countDistinct("l_orderkey").alias("orders")).collect()
+            assert len(sizes) >= n // 1000 and max(r.orders for r in sizes) <= 250, sizes
+            want = {(i // 4, "removed", i % 4 + 1 + k) for i in range(n) for k in range(i % 97 % 3)} | {(i // 4, "added", i % 53 % 50) for i in range(n)}
+            assert {tuple(r) for r in got.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", kept)
