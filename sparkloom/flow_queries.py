@@ -12,7 +12,7 @@ from sparkloom.functions import source_code, tables, text
 from sparkloom.operators import asof, budgets, changes, store, validation
 from sparkloom.operators.stored_table import StoredTable
 from sparkloom.plans import assembly, generation
-from sparkloom.session import shared_folder
+from sparkloom.session import parts_of, shared_folder
 from sparkloom.sources import records
 
 _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -59,14 +59,17 @@ def q_stored_updates(spark, sf_dir):
     SELECT DISTINCT request, file_path, side, line::INT AS line FROM l"""
 )
 def q_diff_sections(spark, sf_dir):
-    """Diffs of 16 requests, written as one text file each and read section by section; two hunks a section."""
-    i = _t(spark, sf_dir, "lineitem")
+    """Diffs of 16 requests, written as text files and read section by section; two hunks a section.
+
+    Requests are cut by ranges of orders, so that each task sorts and writes about as many sections, however many there are in all."""
+    i = _t(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 16).alias("request"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+    i = i.repartitionByRange(parts_of(i), "request", "l_orderkey")
     file = F.concat(F.lit("src/m"), (F.col("l_partkey") % 40).cast("string"), F.lit(".py"))
     first = F.format_string("@@ -%d,%d +%d,%d @@ def f():", F.col("l_linenumber") * 10, F.col("l_partkey") % 3, F.col("l_suppkey") % 50 + 1, F.col("l_quantity").cast("int") % 4)
     second = F.format_string("@@ -0,0 +%d @@", F.col("l_suppkey") % 50 + 501)
     section = F.concat_ws("\n", F.concat(F.lit("diff --git a/"), file, F.lit(" b/"), file), F.lit("index 1..2"), F.concat(F.lit("--- a/"), file), F.concat(F.lit("+++ b/"), file), first, F.lit("-old"), F.lit("+new @@ -1 +1 @@"), second, F.lit("+more"))
     path = shared_folder(spark, "diffs")
-    i.select((F.col("l_suppkey") % 16).alias("request"), section.alias("value")).repartition(16, "request").write.partitionBy("request").text(path)
+    i.select("request", section.alias("value")).write.partitionBy("request").text(path)
     lines = changes.changed_lines(records.read_diff_sections(spark, f"{path}/*"))
     return lines.select(F.regexp_extract("diff_id", r"request=(\d+)/", 1).cast("long").alias("request"), "file_path", "side", "line").distinct()
 

@@ -79,3 +79,20 @@ def test_tasks_of_the_query_hold_about_as_many_rows_of_a_larger_table(spark, tmp
             assert {tuple(r) for r in got.collect()} == want
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", kept)
+
+
+def test_sections_are_written_by_as_many_tasks_as_the_rows_call_for(spark, tmp_path, monkeypatch):
+    from sparkloom import flow_queries, session
+
+    monkeypatch.setattr(session.parts_of, "__defaults__", (500,))
+    monkeypatch.setattr(flow_queries, "shared_folder", lambda spark, name: str(tmp_path / name))
+    rows = spark.range(16_000).selectExpr("id div 4 AS l_orderkey", "id % 97 AS l_partkey", "id % 2 AS l_suppkey", "int(id % 4 + 1) AS l_linenumber", "double(id % 7) AS l_quantity")
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = [tuple(r) for r in flow_queries.q_diff_sections(spark, str(tmp_path)).collect()]
+    files = [f.read_text().count("diff --git ") for f in (tmp_path / "diffs").glob("request=*/*.txt")]
+    assert sum(files) == 16_000 and max(files) <= 1500, files
+    want = set()
+    for i in range(16_000):
+        at, b = (i % 2, f"src/m{i % 97 % 40}.py"), i % 2 + 1
+        want |= {(*at, "removed", (i % 4 + 1) * 10 + k) for k in range(i % 97 % 3)} | {(*at, "added", b + k) for k in range(i % 7 % 4)} | {(*at, "added", b + 500)}
+    assert len(got) == len(set(got)) and set(got) == want
