@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import paths, prompts, source_code, text
 from sparkloom.operators import attempts, budgets, changes, dependencies, discovery, logs, store, validation
+from sparkloom.session import spread
 from sparkloom.sources import records
 
 _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -157,7 +158,7 @@ _KINDS = ("logic_change", "signature_change", "rename", "deletion", "logic_chang
     SELECT k AS o_orderkey, behaves AS has_behavioral_change, skip_reason, (kind NOT IN ('rename', 'deletion') AND behaves AND skip_reason IS NULL) AS should_generate FROM s"""
 )
 def q_generation_gates(spark, sf_dir):
-    o = _t(spark, sf_dir, "orders").withColumn("n", F.floor(F.col("o_orderkey") / 4)).withColumn("q", F.floor(F.col("o_orderkey") / 16))
+    o = spread(_t(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").withColumn("n", F.floor(F.col("o_orderkey") / 4)).withColumn("q", F.floor(F.col("o_orderkey") / 16))
     language = F.when(F.col("o_orderkey") % 4 < 2, "python").otherwise("javascript")
     c = o.select("o_orderkey", F.lit("f").alias("function_name"), language.alias("language"), _pick("o_orderkey", _OLD).alias("previous_source_code"), _pick("n", _NEW).alias("source_code"), _pick("q", _KINDS).alias("change_type"), F.lit(0).alias("branch_count"), (F.col("o_orderkey") % 3 == 0).alias("has_validation"))
     return changes.with_gates(c).select("o_orderkey", "has_behavioral_change", "skip_reason", "should_generate")
@@ -261,7 +262,8 @@ _TESTS = (
 
 
 def _tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _t(spark, sf_dir, "customer")
+    """Each text is parsed, so the keys are dealt to tasks before."""
+    c = spread(_t(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
     return c.select("c_custkey", _pick("c_custkey", tuple(x[0] for x in _TESTS)).alias("language"), _pick("c_custkey", tuple(x[1] for x in _TESTS)).alias("content"), F.lit("src/app.py").alias("source_file"))
 
 
@@ -299,7 +301,7 @@ _SAME = (0, 1, 0, 2, 3, 3, 4, 4, 5, 6, 7, 8, 9, 10, 10, 8)
 
 @_query(f"WITH c AS (SELECT c_custkey, {_sql('c_custkey', _SAME)} AS a, {_sql(f'c_custkey // {len(_SAME)}', _SAME)} AS b FROM customer) SELECT c_custkey, a = b AS same FROM c")
 def q_canonical_scripts(spark, sf_dir):
-    c = _t(spark, sf_dir, "customer").withColumn("n", F.floor(F.col("c_custkey") / len(_SCRIPTS))).select("c_custkey", F.lit("typescript").alias("language"), _pick("c_custkey", _SCRIPTS).alias("a"), _pick("n", _SCRIPTS).alias("b"))
+    c = spread(_t(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").withColumn("n", F.floor(F.col("c_custkey") / len(_SCRIPTS))).select("c_custkey", F.lit("typescript").alias("language"), _pick("c_custkey", _SCRIPTS).alias("a"), _pick("n", _SCRIPTS).alias("b"))
     return c.select("c_custkey", (source_code.canonical_form("language", "a") == source_code.canonical_form("language", "b")).alias("same"))
 
 

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.functions.source_code import is_syntax_valid, test_names
 from sparkloom.functions.text import LINE_BREAKS, SPACE, split_lines, trim_space
@@ -116,6 +117,11 @@ def native_failure(text: Column, language: Column, source_file: Column, unicode:
     )
 
 
+#: Not deterministic as far as plans go: a condition on the reason stays behind the parsers. Put before them, it would hold all native checks
+#: many times over, as each use of a column is written out.
+_parses = F.pandas_udf(is_syntax_valid.func, T.BooleanType()).asNondeterministic()
+
+
 def validate(contents: DataFrame) -> DataFrame:
     """`contents` (..., language, content, source_file) with `reason`, '' where all checks pass.
 
@@ -124,7 +130,7 @@ def validate(contents: DataFrame) -> DataFrame:
     first = contents.withColumn("__native", native_failure(F.col("content"), F.col("language"), F.col("source_file")))
     left = lambda c: F.when(F.col("__native").isNull(), F.col(c))
     seen = first.withColumn("__language", left("language")).withColumn("__content", left("content"))
-    seen = seen.withColumn("__ok", F.coalesce(is_syntax_valid("__language", "__content"), F.lit(True))).withColumn("__n", F.size(test_names(F.col("__language"), F.col("__content"))))
+    seen = seen.withColumn("__ok", F.coalesce(_parses("__language", "__content"), F.lit(True))).withColumn("__n", F.size(test_names(F.col("__language"), F.col("__content"))))
     parsed = F.when(~F.col("__ok"), "syntax_error").when(F.col("__n") == 0, "no_tests").when(~F.col("__n").between(FEWEST_TESTS, MOST_TESTS), F.format_string("test_count_out_of_range(%d)", F.col("__n"))).otherwise("")
     return seen.withColumn("reason", F.coalesce("__native", parsed)).drop("__native", "__language", "__content", "__ok", "__n")
 

@@ -57,3 +57,12 @@ TASK_ROWS = 250_000
 def parts_of(rows: DataFrame, most: int = TASK_ROWS) -> int:
     """How many parts hold about `most` rows each. The number goes with the input, where settings of a session leave it or let parts grow; rows of a file are counted without being read."""
     return max(1, -(-rows.count() // most))
+
+
+#: Rows that a task takes where Python reads each: a file of short rows is one split, whatever their number.
+PARSED_ROWS = 10_000
+
+
+def spread(rows: DataFrame, key: str, most: int = PARSED_ROWS) -> DataFrame:
+    """The rows dealt by a key to as many tasks as there are times `most` rows, for a step that costs far more than reading them."""
+    return rows.repartition(parts_of(rows, most), key)

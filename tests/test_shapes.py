@@ -85,3 +85,17 @@ def test_events_that_lack_something(spark):
     for bad in ("{}", good.replace('"main"', '""'), good.replace('"12"', '"x"'), "no json"):
         with pytest.raises(Exception, match="missing|MALFORMED"):
             records.event_context(event(bad)).collect()
+
+
+def test_native_checks_of_valid_contents_run_once_and_in_many_tasks(spark, tmp_path, monkeypatch):
+    from sparkloom import code_queries, session
+
+    monkeypatch.setattr(session.spread, "__defaults__", (100,))
+    spark.range(2000).selectExpr("id AS c_custkey").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    got = code_queries.q_valid_tests(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("todo|tbd") == 1
+    at = plan.index("RepartitionByExpression")
+    assert plan.index("todo|tbd") < at and plan[at:].split("]", 1)[1].startswith(", 20")
+    valid = {k for k, x in enumerate(code_queries._TESTS) if x[4] == ""}
+    assert {r.c_custkey for r in got.collect()} == {i for i in range(2000) if i % len(code_queries._TESTS) in valid}
