@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,6 +88,8 @@ _FIELDS = "function_name start_line end_line source_code context_code signature
 _PREVIOUS = ("name", "function_name"), ("signature", "signature"), ("source_code", "source_code"), ("context_code", "context_code")
 #: Letters that are counted one by one; all others count together.
 _LETTERS = [chr(c) for c in range(33, 127)]
+#: Groups of letters, whose counts are compared before those of single letters.
+_GROUPS = 16
 
 
 def bare_body(source: Column, name: Column) -> Column:
@@ -109,22 +113,26 @@ def rename_candidates(current: DataFrame, previous: DataFrame, keys: Sequence[st
 
     What two texts share in order is no more than the letters that both have, each as often as
     the one with fewer has it. Pairs that stay below the limit by their lengths, or by those
-    counts, are dropped in the join itself; the rest go on to be compared."""
+    counts (of groups of letters first, which are few), are dropped in the join itself; the
+    rest go on to be compared."""
     new = current.join(previous.select(*keys, "function_name").distinct(), [*keys, "function_name"], "left_anti")
 
     def side(df: DataFrame, x: str) -> DataFrame:
         body = bare_body(F.col("source_code"), F.col("function_name"))
         row = df.select(*keys, F.coalesce("enclosing_class_name", F.lit("")).alias("__class"), F.col("ordinal").alias(f"{x}_at"), F.col("function_name").alias(f"{x}_name"), body.alias(f"{x}_body"), F.coalesce("signature", F.lit("")).alias(f"{x}_signature"))
-        return row.withColumns({f"{x}_size": F.length(f"{x}_body"), f"{x}_letters": letter_counts(F.col(f"{x}_body"))})
+        row = row.withColumns({f"{x}_size": F.length(f"{x}_body"), f"{x}_letters": letter_counts(F.col(f"{x}_body"))})
+        group = lambda g: reduce(add, [F.get(f"{x}_letters", F.lit(i)) for i in range(g, len(_LETTERS) + 1, _GROUPS)])
+        return row.withColumns({f"{x}_group{g}": group(g) for g in range(_GROUPS)})
 
     n, o = (lambda c: F.col(f"n_{c}")), (lambda c: F.col(f"o_{c}"))
     heads = _at_most(F.length(n("signature")), F.length(o("signature")), F.least(F.length(n("signature")), F.length(o("signature"))))
     by_size = 0.75 * _at_most(n("size"), o("size"), F.least(n("size"), o("size"))) + 0.25 * heads
     both = F.aggregate(F.zip_with(n("letters"), o("letters"), lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
     by_letters = 0.75 * _at_most(n("size"), o("size"), both) + 0.25 * heads
+    by_groups = 0.75 * _at_most(n("size"), o("size"), reduce(add, [F.least(n(f"group{g}"), o(f"group{g}")) for g in range(_GROUPS)])) + 0.25 * heads
     pairs = side(new, "n").join(side(previous, "o"), [*keys, "__class"])
     # a hair below the limit, as the bound is rounded
-    return pairs.where(by_size >= RENAME_AT - 1e-9).where(by_letters >= RENAME_AT - 1e-9).select(*keys, "n_at", "o_at", "o_name", "n_body", "o_body", "n_signature", "o_signature")
+    return pairs.where(by_size >= RENAME_AT - 1e-9).where(by_groups >= RENAME_AT - 1e-9).where(by_letters >= RENAME_AT - 1e-9).select(*keys, "n_at", "o_at", "o_name", "n_body", "o_body", "n_signature", "o_signature")
 
 
 def classify(current: DataFrame, previous: DataFrame, request: str | None = None) -> DataFrame:

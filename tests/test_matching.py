@@ -172,3 +172,28 @@ def test_two_outputs_of_one_pass(spark, tmp_path):
     assert [r.i for r in targets.collect()] == [2] and sorted(r.i for r in upkeep.collect()) == [1, 3]
     again = changes.targets_and_maintenance_once(gated.where("i = 1"), str(tmp_path / "parts"))
     assert [x.count() for x in again] == [0, 1]
+
+
+def test_equal_texts_need_no_matcher(monkeypatch):
+    from sparkloom.functions import source_code
+
+    same = source_code.alike("():" + "a" * 60, "():" + "a" * 60, "f(a)", "f(a)")
+    assert same == 1.0 and source_code.alike("", "", "f(a)", "g(a)") == 0.75 + 0.25 * 0.75
+
+    class Never:
+        def __init__(self, *args, **kwargs):
+            raise AssertionError("compared")
+
+    monkeypatch.setattr(source_code.difflib, "SequenceMatcher", Never)
+    assert source_code.alike("():" + "a" * 60, "():" + "a" * 60, "f(a)", "f(a)") == 1.0
+
+
+def test_groups_of_letters_drop_pairs_before_single_letters(spark):
+    from sparkloom.operators import changes
+
+    rows = [("f.py", None, i, f"{side}{i}", f"def {side}{i}(): " + c * 40, "s") for side, i, c in (("a", 0, "k"), ("b", 1, "l"), ("c", 2, "é"))]
+    schema = "file_path string, enclosing_class_name string, ordinal int, function_name string, source_code string, signature string"
+    new, old = spark.createDataFrame(rows, schema), spark.createDataFrame([(*r[:3], "x" + r[3], *r[4:]) for r in rows], schema)
+    pairs = changes.rename_candidates(new, old, ["file_path"])
+    assert sorted((r.n_at, r.o_at) for r in pairs.collect()) == [(0, 0), (1, 1), (2, 2)]
+    assert "n_group15" in pairs._jdf.queryExecution().optimizedPlan().toString()
