@@ -13,6 +13,7 @@ from sparkloom.functions import paths
 from sparkloom.functions.source_code import canonical_form, similarity
 from sparkloom.functions.text import LINE_BREAK, strip_space, trim_space
 from sparkloom.operators.outcomes import split_once
+from sparkloom.session import merged
 
 RENAME_AT = 0.58
 #: Calls that do not count, and the lines of a trivial body.
@@ -78,10 +79,10 @@ def impacted(functions: DataFrame, lines: DataFrame, key: str | Sequence[str] =
     same = F.lit(True)
     for k in keys:
         same &= F.col(k) == F.col(f"__{k}")
-    hit = functions.join(own, same & F.col("__line").between(F.col("start_line"), F.col("end_line")), "left_semi")
+    hit = functions.join(merged(own), same & F.col("__line").between(F.col("start_line"), F.col("end_line")), "left_semi")
     if empty_side == "none":
         return hit
-    return hit.unionByName(functions.join(own.drop("__line").distinct(), same, "left_anti"))
+    return hit.unionByName(functions.join(merged(own.drop("__line").distinct()), same, "left_anti"))
 
 
 _FIELDS = "function_name start_line end_line source_code context_code signature enclosing_class_name called_functions branch_count has_validation".split()
@@ -195,7 +196,9 @@ def with_gates(changes: DataFrame) -> DataFrame:
     """Adds has_behavioral_change, should_skip_generation, skip_reason and should_generate."""
     old = F.col("previous_source_code")
     fresh = old.isNull() | (F.col("change_type") == "deletion")
-    behaves = F.when(fresh, True).otherwise(canonical_form("language", "source_code") != canonical_form("language", "previous_source_code"))
+    # Spark runs Python for all rows, whatever the condition says; a null costs it next to nothing
+    form = lambda c: canonical_form("language", F.when(~fresh, F.col(c)))
+    behaves = F.when(fresh, True).otherwise(form("source_code") != form("previous_source_code"))
     out = changes.withColumn("has_behavioral_change", behaves)
     kind = F.col("change_type")
     reason = F.when(~F.col("has_behavioral_change") & (kind != "rename"), "cosmetic_change").when(

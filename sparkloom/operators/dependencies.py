@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import paths
 from sparkloom.functions.text import called_functions, trim_space
+from sparkloom.session import merged
 
 MOST_DEPENDENCIES = 20
 LEAST_SCORE = -4
@@ -73,7 +74,7 @@ def resolve_modules(refs: DataFrame, files: DataFrame, language: str, request: s
     """References with module_path, the first candidate that is a file (of the same request); others fall away."""
     own = [request] if request else []
     named = module_candidates(refs, language).select(*refs.columns, F.posexplode("candidates").alias("__at", "module_path"))
-    known = named.join(files.select(*own, F.col("file_path").alias("module_path")).distinct(), [*own, "module_path"], "left_semi")
+    known = named.join(merged(files.select(*own, F.col("file_path").alias("module_path")).distinct()), [*own, "module_path"], "left_semi")
     first = F.min(F.struct("__at", "module_path")).alias("f")
     return known.groupBy(*refs.columns).agg(first).select(*refs.columns, "f.module_path")
 
@@ -91,16 +92,16 @@ def resolve_calls(changes: DataFrame, functions: DataFrame, references: DataFram
     calls = changes.select(*own, "change_id", "file_path", "enclosing_class_name", F.col("source_code").alias("caller"), F.element_at(F.split("function_name", r"\."), -1).alias("self"), F.posexplode(F.when(F.size("called_functions") > 0, F.col("called_functions")).otherwise(called_functions(F.col("source_code")))).alias("call_at", "call"))
     calls = calls.withColumn("bare", F.element_at(F.split("call", r"\."), -1)).where("bare <> self").dropDuplicates(["change_id", "call"])
     funcs = functions.select(*also("f"), F.col("file_path").alias("fp"), F.col("function_name").alias("fn"), F.col("source_code").alias("code"), F.col("ordinal").alias("ord"), F.element_at(F.split("function_name", r"\."), -1).alias("fbare"))
-    same = calls.join(funcs, where(calls, "f") & (F.col("file_path") == F.col("fp")) & (F.col("bare") == F.col("fbare")))
+    same = calls.join(merged(funcs), where(calls, "f") & (F.col("file_path") == F.col("fp")) & (F.col("bare") == F.col("fbare")))
     same = same.groupBy("change_id", "call").agg(F.min_by(F.struct(F.col("fp").alias("source_file"), F.col("fn").alias("function_name"), F.col("code").alias("source_code")), "ord").alias("s"))
     refs = references.select(*also("r"), F.col("file_path").alias("rp"), "ordinal", "local_name", "imported_name", "module_path")
     keys = calls.select(*own, "change_id", "file_path", "call", "bare", F.explode(F.array_distinct(F.array(F.split("call", r"\.")[0], F.col("bare")))).alias("key"))
-    via = keys.join(refs, where(keys, "r") & (F.col("file_path") == F.col("rp")) & (F.col("key") == F.col("local_name")))
+    via = keys.join(merged(refs), where(keys, "r") & (F.col("file_path") == F.col("rp")) & (F.col("key") == F.col("local_name")))
     wanted = F.when(F.col("call").contains(".") & (F.col("key") == F.split("call", r"\.")[0]), F.col("bare")).otherwise(F.coalesce("imported_name", "bare"))
     via = via.groupBy(*own, "change_id", "call").agg(F.min_by(F.struct("module_path", wanted.alias("wanted")), "ordinal").alias("r")).select(*own, "change_id", "call", "r.*")
-    far = via.join(funcs, where(via, "f") & (F.col("module_path") == F.col("fp")) & (F.col("wanted") == F.col("fbare")))
+    far = via.join(merged(funcs), where(via, "f") & (F.col("module_path") == F.col("fp")) & (F.col("wanted") == F.col("fbare")))
     far = far.groupBy("change_id", "call").agg(F.min_by(F.struct(F.col("fp").alias("source_file"), F.col("fn").alias("function_name"), F.col("code").alias("source_code")), "ord").alias("f"))
-    out = calls.join(same, ["change_id", "call"], "left").join(far, ["change_id", "call"], "left")
+    out = calls.join(merged(same), ["change_id", "call"], "left").join(merged(far), ["change_id", "call"], "left")
     return out.withColumn("d", F.coalesce("s", "f")).where("d is not null").select("change_id", "call_at", "call", "caller", "d.*")
 
 
@@ -139,4 +140,4 @@ def select_dependencies(resolved: DataFrame, files: DataFrame, language: str) ->
     known = files.select(F.col("file_path").alias("source_file"), F.lit(True).alias("local")).distinct()
     local = F.coalesce("local", F.lit(False)) & ~F.coalesce(F.col("source_file").contains("site-packages"), F.lit(False))
     content = F.when(local, F.coalesce("source_code", F.lit(""))).otherwise(paths.import_line(F.col("function_name"), F.col("source_file"), F.lit(language)))
-    return top.join(known, "source_file", "left").select("change_id", "rank", "function_name", "source_file", "score", F.when(local, "code").otherwise("import_only").alias("mode"), content.alias("content"), content.alias("summary"))
+    return top.join(merged(known), "source_file", "left").select("change_id", "rank", "function_name", "source_file", "score", F.when(local, "code").otherwise("import_only").alias("mode"), content.alias("content"), content.alias("summary"))

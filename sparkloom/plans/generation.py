@@ -9,25 +9,29 @@ from sparkloom.functions import paths
 from sparkloom.functions.source_code import extract_functions, test_names
 from sparkloom.functions.text import sanitize_identifier, strip_code_fences
 from sparkloom.operators import attempts, changes, dedup, store, validation
-from sparkloom.session import stored
+from sparkloom.session import PARSED_ROWS, merged, parts_of, stored
 
 
 def analyse(diffs: DataFrame, files: DataFrame) -> DataFrame:
     """Changes of all requests. `diffs`: diff_id, text; `files`: diff_id, file_path, content,
     previous_source (without diff_id they are those of every request). Paths are filtered
     before anything is parsed; a request's lines meet its own files alone. Changed lines and
-    the functions of both versions are stored once, as several joins read them."""
+    the functions of both versions are stored once, as several joins read them. Files are
+    dealt to tasks by their number before they are parsed, and so are the functions that are
+    compared: texts of code pack well, so their bytes leave them to a few tasks."""
     key = ["diff_id", "file_path"]
     lines = stored(changes.changed_lines(diffs), "lines")
     touched = lines.select(*key).distinct()
-    use = files.join(touched, "file_path") if "diff_id" not in files.columns else files.join(touched, key, "left_semi")
+    use = files.join(merged(touched), "file_path") if "diff_id" not in files.columns else files.join(merged(touched), key, "left_semi")
     lang = paths.language_of(F.col("file_path"))
     use = use.withColumn("language", lang).where(F.col("language").isNotNull() & ~paths.is_test_or_generated(F.col("file_path")) & ~paths.is_config_file(F.col("file_path")))
+    use = use.repartition(parts_of(touched, PARSED_ROWS), "file_path")
     now = stored(extract_functions(use, request="diff_id"), "functions")
-    quiet = changes.config_like_files(now, "diff_id").where("is_config_like").select(*key)
+    parts = parts_of(now, PARSED_ROWS)
+    quiet = merged(changes.config_like_files(now, "diff_id").where("is_config_like").select(*key))
     before = extract_functions(use.join(quiet, key, "left_anti").where("previous_source is not null").select(*key, "language", F.col("previous_source").alias("content")), request="diff_id")
-    current = stored(changes.impacted(now.join(quiet, key, "left_anti"), lines.where("side = 'added'"), key), "current")
-    previous = stored(changes.impacted(before, lines.where("side = 'removed'"), key), "previous")
+    current = stored(changes.impacted(now.join(quiet, key, "left_anti"), lines.where("side = 'added'"), key).repartition(parts, *key), "current")
+    previous = stored(changes.impacted(before, lines.where("side = 'removed'"), key).repartition(parts, *key), "previous")
     return changes.with_gates(changes.classify(current, previous, "diff_id"))
 
 

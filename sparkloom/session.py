@@ -50,6 +50,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def merged(rows: DataFrame) -> DataFrame:
+    """The rows as the side of a join that is to be sorted and merged. Spark sends a side to all executors where it thinks it small, by the bytes of packed files; a side that grows with the input is ten times that and more in memory by then, and made by one thread."""
+    return rows.hint("merge")
+
+
 #: Rows that a task takes where it holds them at once, to sort or to gather them.
 TASK_ROWS = 250_000
 

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from sparkloom.operators import budgets
+from sparkloom import flow_queries, session
+from sparkloom.operators import budgets, changes
 from sparkloom.plans import assembly, generation
 
 PYTHON = "from src.util import aid\n\nclass Box:\n    def run(self, a):\n        if a:\n            return helper(a)\n        return api.get(a)\n\ndef helper(a):\n    if a is None:\n        raise ValueError(a)\n    return aid(a)\n"
@@ -52,3 +53,24 @@ def test_lines_of_one_text(spark):
     lines = ["a" * 2000, "b", "c" * 40, "d"]
     df = spark.createDataFrame([("\n".join(lines),), ("",), (None,), ("x\ny",), ("k" * 400 + "\n" + "m" * 600 + "\n" + "z",)], "t string")
     assert [r[0] for r in df.select(budgets.lines_within_budget(F.col("t"))).collect()] == ["a" * 2000, "", "", "x\ny", "k" * 400 + "\n" + "m" * 600]
+
+
+def test_steps_are_dealt_by_numbers_of_rows_and_nothing_that_grows_is_sent_to_all(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_folder", lambda spark, name: str(tmp_path / f"{name}-{len(list(tmp_path.iterdir()))}"))
+    monkeypatch.setattr(session.spread, "__defaults__", (50,))
+    for plan in (generation, assembly):
+        monkeypatch.setattr(plan, "PARSED_ROWS", 50, raising=False)
+    spark.range(400).selectExpr("id AS s_suppkey", "int(id % 25) AS s_nationkey").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    got = flow_queries.q_target_requests(spark, str(tmp_path))
+    rows = got.collect()
+    assert len(rows) == 400 * 2 + 134 and sum(r.request is None for r in rows) == 134
+    assert {r.function_name: r.tests for r in rows if r.tests} == {f"helper{k}": f"test_helper{k}_a" for k in range(0, 400, 2)} | {f"gone{k}": f"test_gone{k}_b" for k in range(0, 400, 6)}
+    tasks = {}
+    for f in tmp_path.iterdir():
+        tasks[f.name.split("-")[0]] = max(tasks.get(f.name.split("-")[0], 0), len(list(f.glob("part-*"))))
+    assert tasks["functions"] >= 8 and tasks["current"] >= 8, tasks
+    lines = spark.createDataFrame([("d", "f", 1)], "diff_id string, file_path string, line int")
+    functions = spark.createDataFrame([("d", "f", 1, 2), ("d", "g", 1, 2), ("d", "f", 3, 4)], "diff_id string, file_path string, start_line int, end_line int")
+    hit = changes.impacted(functions, lines, ["diff_id", "file_path"])
+    assert "Broadcast" not in hit._jdf.queryExecution().sparkPlan().toString()
+    assert {tuple(r) for r in hit.collect()} == {("d", "f", 1, 2), ("d", "g", 1, 2)}
