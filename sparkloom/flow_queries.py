@@ -12,7 +12,7 @@ from sparkloom.functions import source_code, tables, text
 from sparkloom.operators import asof, budgets, changes, store, validation
 from sparkloom.operators.stored_table import StoredTable
 from sparkloom.plans import assembly, generation
-from sparkloom.session import parts_of, shared_folder, spread
+from sparkloom.session import parts_of, shared_folder, spread, stored
 from sparkloom.sources import records
 
 _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -256,7 +256,8 @@ def _filled(shown: str, tests: str) -> str:
 )
 def q_target_requests(spark, sf_dir):
     """From diffs and files to requests: a request a nation, a changed file a supplier. Every third file had a function that is gone."""
-    s = spread(_t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("diff_id")), "k")
+    # stored, as conditions on what is derived would else go before the dealing, into the one task that reads the small file
+    s = stored(spread(_t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("diff_id")), "k"), "rows")
     number = F.col("k").cast("string")
     of = lambda x: F.replace(F.lit(x), F.lit("¤"), number)
     gone = F.when(F.col("k") % 3 == 0, of("def gone¤(q):\n    while q:\n        q -= 1\n    raise q\n"))
