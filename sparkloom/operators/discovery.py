@@ -27,8 +27,8 @@ def _grams(text: Column, size: int | Column) -> Column:
     return F.when(last < 1, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(text, i, size))))
 
 
-def contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
-    """(part, whole) pairs of texts where the whole holds the part; both sides distinct, parts of SHORTEST_STEM letters at least.
+def candidates(parts: DataFrame, wholes: DataFrame) -> DataFrame:
+    """(part, whole) pairs of texts, all in which the whole holds the part and few others; both sides distinct, parts of SHORTEST_STEM letters at least.
 
     A whole that holds a part holds all of its grams, so a part is looked up by one of them:
     the one that the fewest wholes have. A part's grams have more than half of its letters
@@ -45,7 +45,12 @@ def contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
     rarest = parts.select("part", F.explode(_grams(F.col("part"), size)).alias("gram"))
     rarest = rarest.join(merged(often), "gram", "left").groupBy("part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
     asked = rarest.where("r.n > 0").select("part", "r.gram")
-    return asked.join(merged(held), "gram").where(F.col("whole").contains(F.col("part"))).select("part", "whole")
+    return asked.join(merged(held), "gram").select("part", "whole")
+
+
+def contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
+    """(part, whole) pairs of texts where the whole holds the part; see `candidates`."""
+    return candidates(parts, wholes).where(F.col("whole").contains(F.col("part")))
 
 
 def related_tests(sources: DataFrame, tests: DataFrame) -> DataFrame:
